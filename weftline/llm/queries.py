@@ -15,12 +15,24 @@ def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.exact_dedup import exact_dedup
 
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op9_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.sharding import shuffle_into_shards
 
@@ -28,7 +40,7 @@ def op9_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_neardup, op7_bloom_exact_dedup, op9_hypergeometric_sharding)
+    f.__name__: f for f in (op2_simhash_neardup, op3_bin_slack_packing, op7_bloom_exact_dedup, op8_pivotal_mixing, op9_hypergeometric_sharding)
 }
 
 ORACLE_SQL: dict[str, str] = {
