@@ -39,8 +39,14 @@ def op9_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle_into_shards(table(spark, sf_dir, "documents"))
 
 
+def op10_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.secrets import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_neardup, op3_bin_slack_packing, op7_bloom_exact_dedup, op8_pivotal_mixing, op9_hypergeometric_sharding)
+    f.__name__: f for f in (op2_simhash_neardup, op3_bin_slack_packing, op7_bloom_exact_dedup, op8_pivotal_mixing, op9_hypergeometric_sharding, op10_ownership_secrets)
 }
 
 ORACLE_SQL: dict[str, str] = {
