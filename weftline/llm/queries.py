@@ -21,6 +21,12 @@ def op3_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.warc import archive_pages, capture_digests
+
+    return capture_digests(archive_pages(table(spark, sf_dir, "pages")))
+
+
 def op7_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.exact_dedup import exact_dedup
 
@@ -46,10 +52,15 @@ def op10_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_neardup, op3_bin_slack_packing, op7_bloom_exact_dedup, op8_pivotal_mixing, op9_hypergeometric_sharding, op10_ownership_secrets)
+    f.__name__: f for f in (op2_simhash_neardup, op3_bin_slack_packing, op5_warc_transactions, op7_bloom_exact_dedup, op8_pivotal_mixing, op9_hypergeometric_sharding, op10_ownership_secrets)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_warc_transactions": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS keep FROM p)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN keep = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+          CASE WHEN keep <> page_id THEN keep END AS refers_to FROM k""",
     "op7_bloom_exact_dedup": """
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, CAST(count(*) OVER w AS BIGINT) AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
