@@ -21,6 +21,12 @@ def op3_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_collision_counting_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.ann import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op5_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.warc import archive_pages, capture_digests
 
@@ -52,7 +58,7 @@ def op10_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_neardup, op3_bin_slack_packing, op5_warc_transactions, op7_bloom_exact_dedup, op8_pivotal_mixing, op9_hypergeometric_sharding, op10_ownership_secrets)
+    f.__name__: f for f in (op2_simhash_neardup, op3_bin_slack_packing, op4_collision_counting_ann, op5_warc_transactions, op7_bloom_exact_dedup, op8_pivotal_mixing, op9_hypergeometric_sharding, op10_ownership_secrets)
 }
 
 ORACLE_SQL: dict[str, str] = {
