@@ -31,7 +31,7 @@ def test_encoder_equals_tokenizer(text):
 
 
 def test_encoder_forgets_without_harm(monkeypatch):
-    monkeypatch.setattr("weftline.llm.packing.CACHED_WORDS", 3)
+    monkeypatch.setattr("weftline.llm.packing.CACHED", 3)
     own = WordEncoder(DEFINITION)
     for t in ["one two three four five", "six one seven", "two eight nine ten", "one two"]:
         assert own.encode([t])[0] + b"\2\0\0\0" == plain(t).tobytes()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -18,12 +19,12 @@ WINDOW, END_ID = 4096, 2
 #: Pieces that one task packs, on average.
 PIECES_PER_GROUP = 20_000
 #: Words whose ids a worker keeps, in two generations: a full one becomes the old one, from which words in use are taken over.
-CACHED_WORDS = 250_000
+CACHED = 400_000
 _DOCS_AT_ONCE = 256
-#: A text with any character outside this set is given to the tokenizer whole. Within it normalisation is lower-casing and
-#: white space, and the tokenizer's split is ``_WORD``; words are then encoded independently, once each.
-_UNUSUAL = re.compile(r"[^\x09-\x0d\x20-\x7eÀ-ÖØ-öø-ÿŒœ]|<\|")
-_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^\sa-zß-öø-ÿœ0-9]+")
+#: Characters (Latin-1) of ordinary texts. Within them normalisation is lower-casing and white space, and the tokenizer's
+#: split is ``_WORD``; a text with any other, or with what may be a special token, is given to the tokenizer whole.
+_USUAL = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
+_WORD = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zß-öø-ÿ0-9]+")
 
 
 def default_tokenizer() -> str:
@@ -32,8 +33,16 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def is_usual(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, _USUAL) and "<|" not in text
+    except UnicodeEncodeError:
+        return False
+
+
 class WordEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, equal to the tokenizer's own."""
+    """Ids of texts as little-endian unsigned 32-bit bytes, equal to the tokenizer's own: each distinct word is encoded once
+    and kept while in use."""
 
     def __init__(self, definition: str) -> None:
         from tokenizers import Tokenizer
@@ -41,32 +50,45 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True  # the last id of every word, and no other
 
-    def _learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids, owner = np.array(found.ids, dtype="<u4"), found.word_ids
-        cuts = np.flatnonzero(np.diff(np.array(owner, dtype=np.int64))) + 1
-        at = [0, *cuts.tolist()]
-        raw = ids.tobytes()
-        for a, b in zip(at, [*at[1:], len(owner)], strict=True):
-            self.known[words[owner[a]]] = raw[4 * a : 4 * b]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """One bytes object per text."""
-        split = [None if _UNUSUAL.search(t) else _WORD.findall(t.lower()) for t in texts]
-        words = set().union(*(x for x in split if x))
-        if len(self.known) > CACHED_WORDS:
+    def _learn(self, words: set[str]) -> None:
+        if len(self.known) > CACHED:
             self.old, self.known = self.known, {}
         new = []
-        for w in words - self.known.keys():
-            if w in self.old:
-                self.known[w] = self.old[w]
-            else:
+        for w in words:
+            if (held := self.old.get(w)) is None:
                 new.append(w)
+            else:
+                self.known[w] = held
         if new:
-            self._learn(new)
-        look = self.known.__getitem__
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if x is None else b"".join(map(look, x)) for t, x in zip(texts, split, strict=True)]
+            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u4")
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            raw = ids.tobytes()
+            self.known.update(zip(new, (raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """One bytes object per text."""
+        out, gaps, look = [], [], self.known.get
+        for t in texts:
+            if not is_usual(t):
+                out.append([np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()])
+                continue
+            words = _WORD.findall(t.lower())
+            ids = list(map(look, words))
+            if None in ids:
+                gaps.append((len(out), [(k, words[k]) for k, x in enumerate(ids) if x is None]))
+            out.append(ids)
+        if gaps:
+            self._learn({w for _, found in gaps for _, w in found})
+            known, old = self.known, self.old
+            for at, found in gaps:
+                ids = out[at]
+                for k, w in found:
+                    ids[k] = known[w] if w in known else old[w]
+        return [b"".join(x) for x in out]
 
 
 _encoders: dict[int, WordEncoder] = {}
@@ -90,6 +112,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, window: int = WIN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(definition.value)
+        gc.disable()  # nothing here is cyclic, and each full collection walks all words of a batch
         for batch in batches:
             for at in range(0, batch.num_rows, _DOCS_AT_ONCE):
                 ids, texts = (batch.column(k).slice(at, _DOCS_AT_ONCE).to_pylist() for k in (0, 1))
