@@ -63,7 +63,7 @@ def table_bytes(df: DataFrame) -> int:
 
 
 #: A side whose files are no larger than this is broadcast; anything larger takes the shuffled path.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -89,8 +89,9 @@ def bounded_sample(rows: DataFrame, texts: DataFrame, key: str, label: str, per_
     """At most ``per_class`` rows of each class, those with the smallest hash of the key, with their whole texts.
 
     The choice is made on (key, label) alone; the rank limit is applied before the shuffle, so a class that holds most rows
-    costs no more than ``per_class`` rows of each partition. The chosen keys are few (classes x per_class) and are broadcast.
+    costs no more than ``per_class`` rows of each partition. The chosen keys are few (classes x per_class) and are broadcast;
+    of rows that repeat a key one is taken.
     """
     order = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
-    chosen = rows.select(key, label).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_class).drop("_rank")
-    return texts.join(F.broadcast(chosen), key)
+    chosen = rows.select(key, label).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_class).drop("_rank").dropDuplicates([key])
+    return texts.join(F.broadcast(chosen), key).dropDuplicates([key])

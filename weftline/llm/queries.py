@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.llm.common import table
 
 
+def op1_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.language_id import identify_languages
+
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.simhash import near_duplicates
 
@@ -33,6 +39,12 @@ def op5_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_digests(archive_pages(table(spark, sf_dir, "pages")))
 
 
+def op6_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.exact_dedup import exact_dedup
 
@@ -58,7 +70,19 @@ def op10_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_neardup, op3_bin_slack_packing, op4_collision_counting_ann, op5_warc_transactions, op7_bloom_exact_dedup, op8_pivotal_mixing, op9_hypergeometric_sharding, op10_ownership_secrets)
+    f.__name__: f
+    for f in (
+        op1_hierarchical_language_id,
+        op2_simhash_neardup,
+        op3_bin_slack_packing,
+        op4_collision_counting_ann,
+        op5_warc_transactions,
+        op6_kneser_ney_toxicity,
+        op7_bloom_exact_dedup,
+        op8_pivotal_mixing,
+        op9_hypergeometric_sharding,
+        op10_ownership_secrets,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
