@@ -1,4 +1,5 @@
-"""A training corpus in stages, each over everything that the one before it kept."""
+"""A training corpus in five stages, each over everything that the one before it kept: toxicity, exact dedup, SimHash
+near-dedup, mixing to source weights, packing."""
 
 from __future__ import annotations
 
@@ -6,29 +7,56 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm.common import materialise
+from weftline.llm.common import materialise, table
 from weftline.llm.exact_dedup import drop_duplicates
+from weftline.llm.mixing import mixed_documents
+from weftline.llm.packing import pack_documents
 from weftline.llm.simhash import keep_one
+from weftline.llm.toxicity import drop_toxic
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents predicted toxic go."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: of equal texts the row with the largest doc_id stays."""
     return drop_duplicates(docs)
 
 
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: one document of each near-duplicate component stays."""
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: of each component of near-duplicate fingerprints the document with the smallest doc_id stays."""
     return keep_one(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("exact_dedup", exact), ("near_dedup", near)]
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: each document as often as the mix takes it."""
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: the pieces of every document with their sequences and offsets."""
+    return pack_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 
-#: Learned scores, fingerprints and random rounding are beyond SQL; tests/llm holds each stage against brute force.
+#: Learned scores, fingerprints, random rounding and tokens are beyond SQL; tests/llm hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed corpus of ``documents``; every stage's result is written in the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
     return docs
