@@ -97,7 +97,9 @@ def document_text(row: str = "") -> Column:
 
 
 def matched_terms(terms: Column, text: Column, most: int = 8) -> Column:
-    return F.slice(F.filter(terms, lambda t: (t != "") & text.contains(t)), 1, most)
+    """The first ``most`` terms that occur in the text; once they are found the text is searched no further."""
+    none = F.array().cast("array<string>")
+    return F.aggregate(terms, none, lambda kept, t: F.when((F.size(kept) < most) & (t != "") & text.contains(t), F.array_append(kept, t)).otherwise(kept))
 
 
 def snippet(c: Column, most: int = 160) -> Column:

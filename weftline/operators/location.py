@@ -22,7 +22,7 @@ def dictionary_aliases(dictionary: DataFrame, suffix: str = "区") -> DataFrame:
     its aliases; a later entry of an alias replaces an earlier one."""
     own = F.array(F.col("district"), F.regexp_replace("district", suffix + "$", ""))
     names = F.filter(F.concat(own, F.coalesce("aliases", F.array().cast("array<string>"))), lambda a: a.isNotNull() & (a != ""))
-    rows = dictionary.select("ord", "district", F.posexplode(names).alias("k", "alias")).withColumn("pos", F.col("ord") * 1_000_000 + F.col("k"))
+    rows = dictionary.select("ord", "district", F.posexplode(names).alias("k", "alias")).withColumn("pos", F.col("ord").cast("bigint") * 1_000_000 + F.col("k"))
     kept = rows.groupBy("alias").agg(F.max_by("district", "pos").alias("district"), F.min("pos").alias("pos"))
     score = F.when(F.col("district") == F.col("alias"), F.lit(OWN_NAME)).otherwise(F.lit(ALIAS))
     return kept.select("alias", "district", F.lit("dictionary").alias("category"), score.alias("confidence"), F.lit("dictionary").alias("source"), "pos")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline import rules
 from weftline.functions import text as X
-from weftline.operators.dedup import candidate_window
+from weftline.operators.dedup import candidate_window, top_per_group
+from weftline.sources.workspace import shared_path
 
 SIZES = (2, 3, 4)
 
@@ -29,31 +32,46 @@ def char_grams(text: Column, sizes: Sequence[int] = SIZES) -> Column:
     return F.concat(*[F.flatten(F.transform(words, cut(n, before))) for n, before in zip(sizes, [0, *sizes], strict=False)])
 
 
-def gram_counts(docs: DataFrame, id_col: str, text: Column, sizes: Sequence[int] = SIZES, only: DataFrame | None = None) -> DataFrame:
-    """(id, gram, tf). With ``only`` (column gram) just those grams, counted after the semi-join: the whole texts are cut, but
-    only grams that a query has are shuffled."""
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(char_grams(text, sizes)).alias("gram"))
-    if only is not None:
-        rows = rows.join(only.select("gram").distinct(), "gram", "left_semi")
-    return rows.groupBy("id", "gram").agg(F.count("*").alias("tf"))
+def gram_counts(docs: DataFrame, id_col: str, text: Column, sizes: Sequence[int] = SIZES) -> DataFrame:
+    """(id, gram, tf), as ``char_grams`` cuts them. All grams of a text lie in its row, so they are counted there and only
+    distinct grams leave it; a distinct word of a text is cut once."""
+    slim = docs.select(F.col(id_col).alias("id"), X.one_space(F.lower(text)).alias("text"))
+    kind = dict(slim.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                counts: Counter[str] = Counter()
+                for word, times in Counter((batch.column(1)[row].as_py() or "").split()).items():
+                    p, before = f" {word} ", 0
+                    for n in sizes:
+                        if len(p) > before:
+                            for k in range(max(1, len(p) - n + 1)):
+                                counts[p[k : k + n]] += times
+                        before = n
+                at = pa.array([row] * len(counts), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["id", "gram", "tf"])
+
+    return slim.mapInArrow(run, f"id {kind}, gram string, tf long")
 
 
 def tfidf_scores(queries: DataFrame, docs: DataFrame, query_text: Column, doc_text: Column, sizes: Sequence[int] = SIZES) -> DataFrame:
     """(query_id, doc_id, score): cosine of smoothed TF-IDF vectors, ln((1 + n) / (1 + df)) + 1; pairs that share a gram.
 
-    ``queries``: column query_id; ``docs``: column doc_id. Document lengths count every gram; the pairs come from an equi-join
-    on grams, so only pairs with something in common are made.
+    ``queries``: column query_id; ``docs``: column doc_id. Document lengths count every gram. The documents' counts are the index:
+    written once, then joined. The pairs come from an equi-join on grams, so only pairs with something in common are made.
     """
     n = docs.count()
-    all_counts = gram_counts(docs, "doc_id", doc_text, sizes)
-    df = all_counts.groupBy("gram").agg(F.count("*").alias("df"))
-    idf = df.select("gram", (F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    weighed = all_counts.join(idf, "gram").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    asked = gram_counts(queries, "query_id", query_text, sizes).join(idf, "gram").select(F.col("id").alias("query_id"), "gram", (F.col("tf") * F.col("idf")).alias("qw"))
+    path = shared_path(docs.sparkSession, "grams")
+    index = gram_counts(docs, "doc_id", doc_text, sizes)
+    index.write.parquet(path)
+    counts = docs.sparkSession.read.schema(index.schema).parquet(path)
+    idf = counts.groupBy("gram").agg(F.count("*").alias("df")).select("gram", (F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+    asked = gram_counts(queries, "query_id", query_text, sizes).join(idf, "gram").select(F.col("id").alias("query_id"), "gram", "idf", (F.col("tf") * F.col("idf")).alias("qw"))
     q_norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
-    dots = asked.join(weighed, "gram").groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
-    return dots.join(q_norms, "query_id").join(norms, "id").select("query_id", F.col("id").alias("doc_id"), (F.col("dot") / F.col("q_norm") / F.col("norm")).alias("score"))
+    squares = counts.join(idf, "gram").groupBy("id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2.0)))).alias("norm"))
+    dots = asked.join(counts, "gram").groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("tf") * F.col("idf")).alias("dot"))
+    return dots.join(q_norms, "query_id").join(squares, "id").select("query_id", F.col("id").alias("doc_id"), (F.col("dot") / F.col("q_norm") / F.col("norm")).alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -66,17 +84,16 @@ def dense_scores(queries: DataFrame, docs: DataFrame, vec: str = "embedding") ->
     return docs.join(q, F.lit(True), "inner").select("query_id", "doc_id", dot(F.col("_q"), F.col(vec)).alias("score"))
 
 
-def boosted(score: Column, district: Column | None, tag: Column | None, unit: Column | None, types: Sequence[str], terms: Column) -> Column:
-    """The score with additive boosts for a scored pair whose document columns are in scope."""
-    b = rules.BOOSTS
-    given = lambda c, test, v: F.lit(0.0) if c is None else F.when((F.coalesce(c, F.lit("")) != "") & test, F.lit(v)).otherwise(F.lit(0.0))
-    out = score + given(district, F.col("district") == district, b["district"]) if district is not None else score
-    out = out + given(district, F.col("district").isin(*rules.WHOLE_CITY), b["whole_city"])
-    out = out + (given(tag, F.array_contains("applicable_tags", tag), b["tag"]) if tag is not None else F.lit(0.0))
-    out = out + (given(unit, F.col("unit") == unit, b["unit"]) if unit is not None else F.lit(0.0))
-    if types:
-        out = out + F.when(F.col("doc_type").isin(*types), F.lit(b["doc_type"])).otherwise(F.lit(0.0))
-    return out + F.least(F.size(terms) * F.lit(b["term"]), F.lit(b["most_terms"]))
+def boosts(district: Column | None, tag: Column | None, unit: Column | None, types: Sequence[str]) -> Column:
+    """Additive boosts of a pair whose document columns are in scope, without that of matched terms; what is not given adds none."""
+    b, out = rules.BOOSTS, F.lit(0.0)
+
+    def add(given: Column | None, test: Callable[[Column], Column], value: float) -> Column:
+        return F.lit(0.0) if given is None else F.when((F.coalesce(given, F.lit("")) != "") & test(given), F.lit(value)).otherwise(F.lit(0.0))
+
+    out = out + add(district, lambda c: F.col("district") == c, b["district"]) + add(district, lambda c: F.col("district").isin(*rules.WHOLE_CITY), b["whole_city"])
+    out = out + add(tag, lambda c: F.array_contains("applicable_tags", c), b["tag"]) + add(unit, lambda c: F.col("unit") == c, b["unit"])
+    return out + (F.when(F.col("doc_type").isin(*types), F.lit(b["doc_type"])).otherwise(F.lit(0.0)) if types else F.lit(0.0))
 
 
 def search(queries: DataFrame, docs: DataFrame, scores: DataFrame, top_k: int = 3, types: Sequence[str] = ()) -> DataFrame:
@@ -84,15 +101,22 @@ def search(queries: DataFrame, docs: DataFrame, scores: DataFrame, top_k: int =
 
     ``queries``: query_id, query and, as far as given, query_district, query_tag, query_unit. ``docs``: corpus documents with doc_id.
     The best max(3 k, 10) of each query are cut first, then scores of 0 or less and repeated (title, source) go, then k stay.
+
+    Only matched terms need the text. A pair's score without them is known from slim columns, and they add at most a fixed
+    amount, so pairs that cannot reach the window are left out before any text is joined or searched.
     """
     given = {n: F.col(f"query_{n}") if f"query_{n}" in queries.columns else None for n in ("district", "tag", "unit")}
-    terms = X.query_terms(F.col("query"), **given)
-    asked = queries.withColumn("_terms", terms)
-    pairs = scores.join(asked, "query_id").join(docs, "doc_id").withColumn("_text", X.document_text())
-    pairs = pairs.withColumn("matched_terms", X.matched_terms(F.col("_terms"), F.col("_text")))
-    total = boosted(F.col("score"), given["district"], given["tag"], given["unit"], types, F.col("matched_terms"))
-    kept = pairs.withColumn("score", total).select("query_id", "doc_id", "title", "doc_type", "district", "source", "score", X.snippet(F.col("content")).alias("snippet"), "matched_terms")
-    found = candidate_window(kept.filter(F.col("score") > 0), ["query_id"], [F.desc("score"), F.col("doc_id")], ["title", "source"], top_k)
+    slim = docs.select("doc_id", "district", "unit", "doc_type", "applicable_tags")
+    base = scores.join(queries.drop("query"), "query_id").join(slim, "doc_id").select("query_id", "doc_id", (F.col("score") + boosts(given["district"], given["tag"], given["unit"], types)).alias("base"))
+    size, most = max(3 * top_k, 10), rules.BOOSTS["most_terms"]
+    least = top_per_group(base, ["query_id"], [F.desc("base"), F.col("doc_id")], size, "_r").groupBy("query_id").agg(F.min("base").alias("_least"), F.count("*").alias("_n"))
+    near = base.join(least, "query_id").filter((F.col("_n") < size) | (F.col("base") + (most + 1e-9) >= F.col("_least"))).select("query_id", "doc_id", "base")
+    asked = queries.select("query_id", X.query_terms(F.col("query"), **given).alias("_terms"))
+    whole = docs.select("doc_id", "title", "doc_type", "district", "source", X.snippet(F.col("content")).alias("snippet"), X.document_text().alias("_text"))
+    pairs = near.join(asked, "query_id").join(whole, "doc_id").withColumn("matched_terms", X.matched_terms(F.col("_terms"), F.col("_text")))
+    total = F.col("base") + F.least(F.size("matched_terms") * F.lit(rules.BOOSTS["term"]), F.lit(most))
+    kept = pairs.withColumn("score", total).select("query_id", "doc_id", "title", "doc_type", "district", "source", "score", "snippet", "matched_terms").filter(F.col("score") > 0)
+    found = candidate_window(kept, ["query_id"], [F.desc("score"), F.col("doc_id")], ["title", "source"], top_k)
     return found.select("query_id", "rank", "doc_id", "title", "doc_type", "district", "source", F.round("score", 4).alias("score"), "snippet", "matched_terms")
 
 
