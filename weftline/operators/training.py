@@ -25,7 +25,7 @@ def usable_replies(df: DataFrame, reply: str = "reply", pos: str = "pos", low: C
 
 
 def label_map(df: DataFrame, label: str) -> DataFrame:
-    """(label_id, label): the sorted distinct labels from 0. Ids come from range partitions, not from one task's window."""
+    """(label_id, label): the sorted distinct labels from 0. What one task numbers is the distinct labels, a class list."""
     from pyspark.sql import Window
 
     kinds = df.select(label).filter(F.col(label).isNotNull()).distinct()

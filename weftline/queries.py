@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from weftline.functions import urls as U
 from weftline.operators import corpus, crawl, dedup, evaluate, feedback, gazetteer, location, reports, retrieval, training
 from weftline.plans import analyze as plans
 from weftline.sources import readers, sinks
-from weftline.sources.workspace import shared_path
+from weftline.sources.workspace import shared_path, ship
 from weftline.streaming import flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +29,12 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def register(f):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            ship(spark)
+            return f(spark, d)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f

@@ -1,9 +1,11 @@
-"""Working files in the folder that driver and executors share."""
+"""Working files in the folder that driver and executors share, and the package itself for the executors' Python."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -19,3 +21,20 @@ def shared_path(spark: SparkSession, label: str) -> str:
             root = tempfile.mkdtemp(prefix="weftline-")
             spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/weftline-{label}-{uuid.uuid4().hex}"
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, so that functions defined in it can be unpickled there whatever
+    their own path holds. Does nothing where the package is not a folder (it was shipped as an archive already)."""
+    app, package = spark.sparkContext.applicationId, Path(__file__).resolve().parents[1]
+    if app in _shipped or not package.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="weftline-code-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
