@@ -88,10 +88,14 @@ def held_out(doc_id: Column) -> Column:
 def bounded_sample(rows: DataFrame, texts: DataFrame, key: str, label: str, per_class: int) -> DataFrame:
     """At most ``per_class`` rows of each class, those with the smallest hash of the key, with their whole texts.
 
-    The choice is made on (key, label) alone; the rank limit is applied before the shuffle, so a class that holds most rows
-    costs no more than ``per_class`` rows of each partition. The chosen keys are few (classes x per_class) and are broadcast;
-    of rows that repeat a key one is taken.
+    The choice is made on (key, label) alone. A class's size gives a hash below which about three times ``per_class`` of its rows lie;
+    only those are shuffled and ranked, so the cost does not grow with the class or with the number of partitions. The chosen keys
+    are few (classes x per_class) and are broadcast; of rows that repeat a key one is taken.
     """
+    slim = rows.select(key, label)
+    sizes = materialise(slim.groupBy(label).agg(F.count("*").alias("_n")).withColumnRenamed(label, "_label"), "classes")
+    place = F.xxhash64(key) / F.lit(float(1 << 64)) + 0.5
+    low = slim.join(small(sizes), F.col(label) == F.col("_label")).filter(place * F.col("_n") < 3 * per_class + 50).select(key, label)
     order = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
-    chosen = rows.select(key, label).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_class).drop("_rank").dropDuplicates([key])
+    chosen = low.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_class).drop("_rank").dropDuplicates([key])
     return texts.join(F.broadcast(chosen), key).dropDuplicates([key])
