@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.sources.workspace import ship
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: bytes.translate table that lower-cases A-Z only.
@@ -40,12 +42,24 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+#: Rows of one Arrow batch where whole texts go through Python: batches of a few MB, so a worker's memory stays small.
+TEXT_BATCH = 1000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialise(df: DataFrame, label: str, arrow_rows: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors, and gives
-    the planner a true size."""
+    the planner a true size. ``arrow_rows`` holds for this write; the session's setting is put back."""
     spark = df.sparkSession
+    ship(spark)
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_ARROW_ROWS)
+    if arrow_rows is not None:
+        spark.conf.set(_ARROW_ROWS, str(arrow_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise, small
+from weftline.llm.common import TEXT_BATCH, materialise, small
 
 #: Rows that one leaf of the tree rounds, on average; leaves or nodes that one node above combines.
 ROWS_PER_LEAF, FAN_IN = 50_000, 64
 #: No document is taken more often than this.
 MOST_COPIES = 3
 _EPS = 1e-9
+#: A document of more than this part of its source's words in a leaf is paired with all smaller ones at once.
+LARGE_SHARE = 256
 _ROW = "doc_id long, source string, size long, source_size long, target double"
 
 
@@ -125,7 +127,7 @@ def mix(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str =
     repeated rows are rows like any other (repeats of one row share a leaf). An empty table gives an empty result. Other
     columns are ignored.
     """
-    sized = materialise(word_sizes(docs, id_col, text_col, source_col), "sized")
+    sized = materialise(word_sizes(docs, id_col, text_col, source_col), "sized", TEXT_BATCH)
     targets = materialise(source_targets(sized), "targets").withColumnRenamed("source", "_s")
     leaves = max(1, -(-sized.count() // ROWS_PER_LEAF))
     rows = sized.join(small(targets), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise
+from weftline.llm.common import TEXT_BATCH, materialise
 
 WINDOW, END_ID = 4096, 2
 #: Pieces that one task packs, on average.
@@ -200,7 +200,7 @@ def _packed(pdf: pd.DataFrame, group: int, window: int) -> pd.DataFrame:
 
 def pack(cut: DataFrame, window: int = WINDOW) -> DataFrame:
     """``cut`` (of ``pieces``, without ids) with sequence_id and offset."""
-    held = materialise(cut.withColumn("rid", F.monotonically_increasing_id()), "pieces")
+    held = materialise(cut.withColumn("rid", F.monotonically_increasing_id()), "pieces", TEXT_BATCH)
     groups = max(1, -(-held.count() // PIECES_PER_GROUP))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise
+from weftline.llm.common import TEXT_BATCH, materialise
 
 #: Fixed patterns of the base kinds, and the least length of what must be that long (group 2, else the match).
 _ASSIGN = re.compile(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -120,7 +120,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null text is empty and has no spans. Null ids and repeated rows are documents like any other; repeats of a row are one
     repository. An empty table gives an empty result. Other columns are ignored.
     """
-    scanned = materialise(scan(docs, id_col, text_col, owner_col, repository_col), "scanned")
+    scanned = materialise(scan(docs, id_col, text_col, owner_col, repository_col), "scanned", TEXT_BATCH)
     places = scanned.filter("size(found) > 0").select("rid", "owner", "repository", F.explode("found").alias("f")).select("rid", "owner", "repository", "f.*")
     owned = materialise(ownership(places), "owned")
     kind = F.when(F.col("n_owners") >= copied_owners, F.lit("example")).when(F.col("random") & (F.col("n_owners") == 1), F.lit("live"))

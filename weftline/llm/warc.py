@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise, shared_path, small
+from weftline.llm.common import TEXT_BATCH, materialise, shared_path, small
 
 #: Payloads of at least this many bytes are stored once; later ones refer to it.
 REVISIT_BYTES = 1000
@@ -127,7 +127,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             done.append((f"{folder}/{name}", rows, size))
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), *(pa.array([d[c] for d in done], pa.int64()) for c in (1, 2))], names=["path", "records", "bytes"])
 
-    return materialise(joined.mapInArrow(run, _MANIFEST), "manifest")
+    return materialise(joined.mapInArrow(run, _MANIFEST), "manifest", TEXT_BATCH)
 
 
 def _members(stream: pa.NativeFile, step: int = 1 << 20) -> Iterator[bytes]:
