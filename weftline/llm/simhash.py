@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from weftline.llm.common import ASCII_LOWER, materialise, small
+from weftline.llm.common import ASCII_LOWER, TEXT_BATCH, materialise, small
 from weftline.llm.components import connected_components
 
 SEED = 42
@@ -18,6 +18,8 @@ SEED = 42
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LANES = (np.arange(8) * 256).astype(np.int64)
 _CHUNK = 1 << 16
+#: Fingerprints whose probes one task makes (65 each, combined in memory before the shuffle), and the most such tasks.
+CODES_PER_TASK, MOST_PARTS = 10_000, 20_000
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -86,9 +88,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are linked like any other. Repeated rows come out once each. A null doc_id takes part as a document but never names a
     component; a component of null ids only has a null component_id. An empty table gives an empty result.
     """
-    prints = materialise(fingerprints(docs, id_col, text_col, words), "prints")
+    prints = materialise(fingerprints(docs, id_col, text_col, words), "prints", TEXT_BATCH)
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    links = materialise(hamming_links(nodes.select("fp")), "links")
+    parts = min(MOST_PARTS, nodes.count() // CODES_PER_TASK + 1)
+    links = materialise(hamming_links(nodes.select("fp").repartition(parts)), "links")
     groups = materialise(connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "groups")
     rooted = nodes.join(small(groups.withColumnRenamed("node", "member")), F.col("fp") == F.col("member"), "left").select("fp", "node", F.coalesce("component", "fp").alias("root"))
     rooted = materialise(rooted, "rooted")
