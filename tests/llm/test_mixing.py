@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from weftline.llm.mixing import mix, mixed_documents, pivotal_step, round_source
+from weftline.llm.mixing import mix, mixed_documents, pivotal_step, round_source, settle_large
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -85,6 +85,27 @@ def test_rounding_is_unbiased():
     assert np.allclose(sums / 4000, 0.4, atol=0.03)
 
 
+def test_large_documents_are_settled_first():
+    sizes, sums, kept = [900, 500, *[10] * 300], np.zeros(302), []
+    for s in range(3000):
+        parts = [0.4] * 302
+        k = settle_large(sizes, parts, np.random.default_rng(s))
+        assert k == 2 and set(parts[:2]) <= {0.0, 1.0} and abs(np.dot(sizes, parts) - 0.4 * sum(sizes)) < 1e-6
+        sums += parts
+        kept.append(parts[5])
+    assert np.allclose(sums / 3000, 0.4, atol=0.03) and min(kept) > 0
+    parts = [0.5, 0.5]
+    assert settle_large([100, 3], parts, np.random.default_rng(0)) == 0 and parts == [0.5, 0.5]
+
+
+def test_a_large_document_does_not_move_its_source_off_target(spark):
+    rows = [(0, "w " * 20_000, "s"), (1, "t " * 20_000, "t")] + [(2 + i, "w " * 300, "s") for i in range(767)] + [(1000 + i, "t " * 90, "t") for i in range(3667)]
+    got = mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    for s in "st":
+        target = next(r.target for r in got if r.source == s)
+        assert abs(sum(r.taken for r in got if r.source == s) / target - 1) < 0.005
+
+
 def test_mixed_documents_take_effect(spark):
     rows = [(i, "a b c", "s" if i else "t") for i in range(40)] + [(99, "", "s"), (7, "a b c", "s")]
     df = spark.createDataFrame(rows, SCHEMA)

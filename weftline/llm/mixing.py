@@ -71,10 +71,32 @@ def _integral(p: float) -> bool:
     return p < _EPS or p > 1 - _EPS
 
 
+def settle_large(sizes: list[int], parts: list[float], rng: np.random.Generator) -> int:
+    """Round the leading documents of more than 1 / ``LARGE_SHARE`` of the source's words here; how many were rounded.
+
+    All fractions are alike and sizes fall. Each large document is paired with the pool of all that follow: it is taken
+    with its fraction as probability, and the words that it gains or gives up are spread over the pool as a change of the
+    common fraction. So words and expected copies are kept, and no large document is left to the end, where what stays
+    fractional is rounded alone. It stops where the pool could not take the change.
+    """
+    pool = total = sum(sizes)
+    for k, size in enumerate(sizes):
+        p, rest = parts[k], pool - size
+        if size * LARGE_SHARE <= total or _integral(p) or p * rest < (1 - p) * size or (1 - p) * rest < p * size:
+            return k
+        taken = rng.random() < p
+        parts[k] = float(taken)
+        parts[k + 1 :] = [p - (1 - p) * size / rest if taken else p + p * size / rest] * (len(parts) - k - 1)
+        pool = rest
+    return len(sizes)
+
+
 def round_source(sizes: list[int], parts: list[float], rng: np.random.Generator) -> tuple[list[float], int]:
     """Round the fractional parts of one source in order; the place of the one that stays fractional, or -1."""
     held = -1
-    for k, p in enumerate(parts):
+    start = settle_large(sizes, parts, rng) if max(parts) - min(parts) < _EPS and min(sizes) > 0 else 0
+    for k in range(start, len(parts)):
+        p = parts[k]
         if sizes[k] <= 0 or _integral(p):
             parts[k] = float(p > 0.5)
             continue
@@ -95,12 +117,16 @@ def round_source(sizes: list[int], parts: list[float], rng: np.random.Generator)
 def _rounded(pdf: pd.DataFrame, seed: int, node: int, last: bool) -> pd.DataFrame:
     """Round each source's rows of a leaf or node, largest first so that what stays fractional tends to be small; column
     ``part`` then has the fraction of rows not yet decided, else null."""
+    if (pdf["size"] <= 0).all():
+        return pdf.assign(part=np.nan, node=node // FAN_IN)
     pdf = pdf.sort_values(["size", "turn", "doc_id"], ascending=[False, True, True], kind="stable")
     out = []
     for source, rows in pdf.groupby("source", dropna=False, sort=True):
         salt = 0 if pd.isna(source) else zlib.crc32(str(source).encode()) + 1
         rng = np.random.default_rng([seed, node, salt])
-        parts, held = round_source(rows["size"].tolist(), rows["part"].tolist(), rng)
+        full = int((rows["size"] > 0).sum())  # rows without words come last and take no part
+        parts, held = round_source(rows["size"].tolist()[:full], rows["part"].tolist()[:full], rng) if full else ([], -1)
+        parts += [0.0] * (len(rows) - full)
         if held >= 0 and last:
             parts[held], held = float(rng.random() < parts[held]), -1
         parts = np.array(parts)
