@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from weftline.operators.dedup import candidate_window, top_per_group
 from weftline.sources.workspace import shared_path
 
 SIZES = (2, 3, 4)
+#: Queries that are scored in one pass over the texts.
+QUERY_BLOCK = 512
 
 
 def char_grams(text: Column, sizes: Sequence[int] = SIZES) -> Column:
@@ -32,34 +35,93 @@ def char_grams(text: Column, sizes: Sequence[int] = SIZES) -> Column:
     return F.concat(*[F.flatten(F.transform(words, cut(n, before))) for n, before in zip(sizes, [0, *sizes], strict=False)])
 
 
+def count_grams(text: str | None, sizes: Sequence[int] = SIZES) -> Counter[str]:
+    """The grams of ``char_grams`` with their counts; a distinct word of a text is cut once."""
+    counts: Counter[str] = Counter()
+    for word, times in Counter((text or "").split()).items():
+        p, before = f" {word} ", 0
+        for n in sizes:
+            if len(p) > before:
+                for k in range(max(1, len(p) - n + 1)):
+                    counts[p[k : k + n]] += times
+            before = n
+    return counts
+
+
+def _plain(text: Column) -> Column:
+    return X.one_space(F.lower(text)).alias("text")
+
+
 def gram_counts(docs: DataFrame, id_col: str, text: Column, sizes: Sequence[int] = SIZES) -> DataFrame:
-    """(id, gram, tf), as ``char_grams`` cuts them. All grams of a text lie in its row, so they are counted there and only
-    distinct grams leave it; a distinct word of a text is cut once."""
-    slim = docs.select(F.col(id_col).alias("id"), X.one_space(F.lower(text)).alias("text"))
+    """(id, gram, tf). All grams of a text lie in its row, so they are counted there and only distinct grams leave it."""
+    slim = docs.select(F.col(id_col).alias("id"), _plain(text))
     kind = dict(slim.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                counts: Counter[str] = Counter()
-                for word, times in Counter((batch.column(1)[row].as_py() or "").split()).items():
-                    p, before = f" {word} ", 0
-                    for n in sizes:
-                        if len(p) > before:
-                            for k in range(max(1, len(p) - n + 1)):
-                                counts[p[k : k + n]] += times
-                        before = n
+                counts = count_grams(batch.column(1)[row].as_py(), sizes)
                 at = pa.array([row] * len(counts), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["id", "gram", "tf"])
 
     return slim.mapInArrow(run, f"id {kind}, gram string, tf long")
 
 
+def block_products(asked: DataFrame, docs: DataFrame, doc_text: Column, sizes: Sequence[int] = SIZES, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, doc_id, dot): sums of tf x weight over the grams that a query (query_id, gram, weight) and a text share.
+
+    A block of queries is a sparse matrix by gram, bounded by their texts and broadcast; each text is counted where it lies and
+    multiplied with it, so no (query, gram, text) row is ever made. There is one pass over the texts for each block.
+    """
+    spark = docs.sparkSession
+    slim = docs.select("doc_id", _plain(doc_text))
+    q_kind, d_kind = dict(asked.dtypes)["query_id"], dict(slim.dtypes)["doc_id"]
+    names = [r[0] for r in asked.select("query_id").distinct().orderBy("query_id").collect()]  # the stated set of queries
+    out = None
+    for at in range(0, len(names), block):
+        part = names[at : at + block]
+        place = {q: k for k, q in enumerate(part)}
+        rows = asked.filter(F.col("query_id").isin(part)).orderBy("gram").collect()
+        grams, starts = {}, []
+        for k, r in enumerate(rows):
+            if r.gram not in grams:
+                grams[r.gram] = len(grams)
+                starts.append(k)
+        shared = spark.sparkContext.broadcast((part, grams, np.array([*starts, len(rows)], np.int64), np.array([place[r.query_id] for r in rows], np.int64), np.array([r.weight for r in rows])))
+        one = slim.mapInArrow(_product(shared, sizes), f"query_id {q_kind}, doc_id {d_kind}, dot double")
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else spark.createDataFrame([], f"query_id {q_kind}, doc_id {d_kind}, dot double")
+
+
+def _product(shared, sizes: Sequence[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, grams, starts, queries, weights = shared.value
+        ids = pa.array(names)
+        for batch in batches:
+            who, rows, dots = [], [], []
+            for row in range(batch.num_rows):
+                found = [(grams[g], tf) for g, tf in count_grams(batch.column(1)[row].as_py(), sizes).items() if g in grams]
+                if not found:
+                    continue
+                g, tf = np.array(found, np.int64).T
+                n = starts[g + 1] - starts[g]
+                flat = np.repeat(starts[g] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                total = np.bincount(queries[flat], weights=weights[flat] * np.repeat(tf, n), minlength=len(names))
+                hit = np.flatnonzero(np.bincount(queries[flat], minlength=len(names)))
+                who.append(hit)
+                rows.append(np.full(len(hit), row))
+                dots.append(total[hit])
+            if who:
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(who))), batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(dots))], names=["query_id", "doc_id", "dot"])
+
+    return run
+
+
 def tfidf_scores(queries: DataFrame, docs: DataFrame, query_text: Column, doc_text: Column, sizes: Sequence[int] = SIZES) -> DataFrame:
     """(query_id, doc_id, score): cosine of smoothed TF-IDF vectors, ln((1 + n) / (1 + df)) + 1; pairs that share a gram.
 
-    ``queries``: column query_id; ``docs``: column doc_id. Document lengths count every gram. The documents' counts are the index:
-    written once, then joined. The pairs come from an equi-join on grams, so only pairs with something in common are made.
+    ``queries``: column query_id; ``docs``: column doc_id. Document frequencies and lengths count every gram; the documents' counts
+    are the index, written once. The products come from query blocks (``block_products``).
     """
     n = docs.count()
     path = shared_path(docs.sparkSession, "grams")
@@ -67,11 +129,11 @@ def tfidf_scores(queries: DataFrame, docs: DataFrame, query_text: Column, doc_te
     index.write.parquet(path)
     counts = docs.sparkSession.read.schema(index.schema).parquet(path)
     idf = counts.groupBy("gram").agg(F.count("*").alias("df")).select("gram", (F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    asked = gram_counts(queries, "query_id", query_text, sizes).join(idf, "gram").select(F.col("id").alias("query_id"), "gram", "idf", (F.col("tf") * F.col("idf")).alias("qw"))
-    q_norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
-    squares = counts.join(idf, "gram").groupBy("id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2.0)))).alias("norm"))
-    dots = asked.join(counts, "gram").groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("tf") * F.col("idf")).alias("dot"))
-    return dots.join(q_norms, "query_id").join(squares, "id").select("query_id", F.col("id").alias("doc_id"), (F.col("dot") / F.col("q_norm") / F.col("norm")).alias("score"))
+    weighed = gram_counts(queries, "query_id", query_text, sizes).join(idf, "gram").select(F.col("id").alias("query_id"), "gram", (F.col("tf") * F.col("idf")).alias("qw"), "idf").persist()
+    q_norms = weighed.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
+    asked = weighed.join(q_norms, "query_id").select("query_id", "gram", (F.col("qw") * F.col("idf") / F.col("q_norm")).alias("weight"))
+    norms = counts.join(idf, "gram").groupBy("id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2.0)))).alias("norm"))
+    return block_products(asked, docs, doc_text, sizes).join(norms, F.col("doc_id") == F.col("id")).select("query_id", "doc_id", (F.col("dot") / F.col("norm")).alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:
