@@ -167,7 +167,7 @@ def context_prompt(unit: Column, tag: Column, title: Column, body: Column, distr
     return messages(rules.SYSTEM_WITH_CONTEXT, user)
 
 
-def render_chat(prompt: Column, default_system: str = "You are Qwen, created by Alibaba Cloud. You are a helpful assistant.", generation: bool = True) -> Column:
+def render_chat(prompt: Column, default_system: str = rules.CHAT_SYSTEM, generation: bool = True) -> Column:
     """Messages (role, content) in the chat markup. Consecutive tool results share one user turn."""
     own = F.element_at(prompt, 1)["role"] == "system"
     head = F.when(own, F.lit("")).otherwise(F.lit(f"<|im_start|>system\n{default_system}<|im_end|>\n"))
