@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline import rules
-from weftline.functions.text import contains_any, first_group, no_space, within
+from weftline.functions.text import contains_any, first_group, let, no_space, within
 
 
 def _match(c: Column, pattern: str) -> Column:
@@ -22,20 +22,21 @@ def purified_category(name: Column, table: Sequence = tuple(rules.PURIFY_RULES),
 
 def taxonomy_category(name: Column, given: Column, table: Sequence = tuple(rules.TAXONOMY_RULES)) -> Column:
     """The given category if it is one that is kept, else by keyword, community or road ending, else ``poi_misc``."""
-    text = no_space(name)
-    road = F.lit(False)
-    for end in rules.ROAD_ENDS:
-        road = road | text.endswith(end)
-    by_name = F.when(text.rlike(rules.COMMUNITY_NAME), F.lit("community")).when(road, F.lit("road")).otherwise(F.lit("poi_misc"))
-    by_rule = F.coalesce(*[F.when(contains_any(text, words), F.lit(label)) for label, words in table], by_name)
-    return F.when(given.isin(*rules.TAXONOMY_KEPT), given).otherwise(by_rule)
+    def by_rule(text: Column) -> Column:
+        road = F.lit(False)
+        for end in rules.ROAD_ENDS:
+            road = road | text.endswith(end)
+        by_name = F.when(text.rlike(rules.COMMUNITY_NAME), F.lit("community")).when(road, F.lit("road")).otherwise(F.lit("poi_misc"))
+        return F.coalesce(*[F.when(contains_any(text, words), F.lit(label)) for label, words in table], by_name)
+
+    return F.when(given.isin(*rules.TAXONOMY_KEPT), given).otherwise(let(no_space(name), by_rule))
 
 
 def clean_alias(name: Column, category: Column) -> Column:
     """Alias of a place by category; empty if none is left."""
-    text = F.regexp_replace(no_space(name), rules.BRACKETED, "")
-    text = F.when(category == "subway_station", F.replace(text, F.lit("地铁站"), F.lit(""))).when(category == "bus_stop", F.replace(text, F.lit("公交站"), F.lit(""))).otherwise(text)
-    return F.when(category == "street", F.regexp_extract(text, rules.ALIAS_STREET, 0)).when(within(text, 2, 30), text).otherwise(F.lit(""))
+    strip = lambda t: F.when(category == "subway_station", F.replace(t, F.lit("地铁站"), F.lit(""))).when(category == "bus_stop", F.replace(t, F.lit("公交站"), F.lit(""))).otherwise(t)
+    pick = lambda t: F.when(category == "street", F.regexp_extract(t, rules.ALIAS_STREET, 0)).when(within(t, 2, 30), t).otherwise(F.lit(""))
+    return let(let(F.regexp_replace(no_space(name), rules.BRACKETED, ""), strip), pick)
 
 
 def curated_name(name: Column, category: Column) -> Column:
@@ -56,9 +57,8 @@ def should_drop(name: Column, words: Sequence[str] = tuple(rules.CURATE_DROP), n
 
 def community_name(name: Column, words: Sequence[str] = tuple(rules.COMMUNITY_DROP), patterns: Sequence[str] = tuple(rules.COMMUNITY_PATTERNS)) -> Column:
     """A community's name by the first pattern that fits; empty if dropped."""
-    text = F.regexp_replace(no_space(name), rules.BRACKETED, "")
-    found = F.coalesce(*[_match(text, p) for p in patterns], F.lit(""))
-    return F.when(contains_any(text, words) | ~within(text, 2, 24), F.lit("")).otherwise(found)
+    found = lambda t: F.coalesce(*[_match(t, p) for p in patterns], F.lit(""))
+    return let(F.regexp_replace(no_space(name), rules.BRACKETED, ""), lambda t: F.when(contains_any(t, words) | ~within(t, 2, 24), F.lit("")).otherwise(found(t)))
 
 
 def coordinates(location: Column) -> tuple[Column, Column]:
@@ -77,8 +77,7 @@ def place_key(name: Column, location: Column) -> Column:
 
 def district_by_list(text: Column, names: Sequence[str] = tuple(rules.DISTRICTS), suffix: str = "区") -> Column:
     """The first district of the list whose full or short name occurs; empty if none."""
-    t = no_space(text)
-    return F.coalesce(*[F.when(t.contains(n) | t.contains(n.removesuffix(suffix)), F.lit(n)) for n in names], F.lit(""))
+    return let(no_space(text), lambda t: F.coalesce(*[F.when(t.contains(n) | t.contains(n.removesuffix(suffix)), F.lit(n)) for n in names], F.lit("")))
 
 
 def district_by_position(title: Column, content: Column, pattern: str = rules.DISTRICT_IN_TEXT, default: str = rules.DEFAULT_DISTRICT, suffix: str = "区") -> Column:
@@ -103,7 +102,7 @@ def plausible_station(text: Column) -> Column:
 
 
 def looks_blocked(html: Column, markers: Sequence[str] = tuple(rules.BLOCKED_MARKERS)) -> Column:
-    return contains_any(F.lower(F.coalesce(html, F.lit(""))), [m.lower() for m in markers])
+    return let(F.lower(F.coalesce(html, F.lit(""))), lambda low: contains_any(low, [m.lower() for m in markers]))
 
 
 def precision_zone(district: Column, township: Column) -> Column:

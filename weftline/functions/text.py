@@ -5,7 +5,7 @@ White space is Unicode's (ideographic and no-break spaces included), which a pla
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +15,12 @@ from weftline import rules
 SPACE = r"(?U)\s+"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once however often it is used: Catalyst would otherwise copy its expression into every
+    branch that names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def no_space(c: Column) -> Column:
     """Without any white space."""
     return F.regexp_replace(F.coalesce(c, F.lit("")), SPACE, "")
@@ -48,8 +54,7 @@ def first_pattern(c: Column, patterns: Sequence[tuple[str, str]] = tuple(rules.S
 
 def listed_words(c: Column, words: Sequence[str] = tuple(rules.SENSITIVE_WORDS)) -> Column:
     """All listed words that occur, case ignored, in list order."""
-    low = F.lower(c)
-    return F.filter(F.array(*map(F.lit, words)), lambda w: low.contains(F.lower(w)))
+    return let(F.lower(c), lambda low: F.filter(F.array(*map(F.lit, words)), lambda w: low.contains(F.lower(w))))
 
 
 def contains_any(c: Column, words: Sequence[str]) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from weftline import rules
+from weftline.functions.text import let
 
 
 def without_parameter(url: Column, name: str = "key") -> Column:
@@ -21,10 +22,14 @@ def query_parameter(url: Column, name: str) -> Column:
 
 def asked(url: Column, districts: list[str] | tuple[str, ...] = tuple(rules.DISTRICTS)) -> Column:
     """struct(district, keyword, page) that a paged search URL asked for; district and keyword empty if no district leads."""
-    words, page = F.coalesce(query_parameter(url, "keywords"), F.lit("")), F.coalesce(query_parameter(url, "page"), F.lit("1")).try_cast("int")
-    district = F.coalesce(*[F.when(words.startswith(d), F.lit(d)) for d in districts], F.lit(""))
-    keyword = F.when(district != "", F.substring(words, F.char_length(district) + 1, F.char_length(words))).otherwise(F.lit(""))
-    return F.struct(district.alias("district"), keyword.alias("keyword"), page.alias("page"))
+    page = F.coalesce(query_parameter(url, "page"), F.lit("1")).try_cast("int")
+
+    def split(words: Column) -> Column:
+        cut = lambda d: F.struct(F.lit(d).alias("district"), F.substring(words, len(d) + 1, 1_000_000).alias("keyword"), page.alias("page"))
+        none = F.struct(F.lit("").alias("district"), F.lit("").alias("keyword"), page.alias("page"))
+        return F.coalesce(*[F.when(words.startswith(d), cut(d)) for d in districts], none)
+
+    return let(F.coalesce(query_parameter(url, "keywords"), F.lit("")), split)
 
 
 def document_id(url: Column) -> Column:

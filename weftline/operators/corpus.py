@@ -13,6 +13,7 @@ from weftline.functions import html as H
 from weftline.functions.places import district_by_position
 from weftline.functions.urls import document_id, source_label
 from weftline.operators.dedup import first_wins, top_per_group
+from weftline.sources.workspace import spread
 
 
 def normalised(docs: DataFrame) -> DataFrame:
@@ -35,7 +36,8 @@ def imported(rows: DataFrame, pos: str = "pos") -> DataFrame:
 def page_documents(pages: DataFrame, crawl_time: datetime, url: str = "url", html: str = "html", least: int = 100) -> DataFrame:
     """Documents of pages by the HTML parser: id, title[:200], doc_type, district, source, source_url, crawl_time, tags,
     content[:5000]; pages of under ``least`` characters of content are dropped."""
-    parts = pages.select(F.col(url).alias("source_url"), H.parse_page(F.coalesce(html, F.lit(""))).alias("p"))
+    slim = spread(pages.select(F.col(url).alias("source_url"), F.coalesce(html, F.lit("")).alias("html")))
+    parts = slim.select("source_url", H.parse_page("html").alias("p"))
     rows = parts.select("source_url", F.coalesce("p.title", F.lit("未知标题")).alias("title"), F.col("p.content").alias("content")).filter(F.char_length("content") >= least)
     return rows.select(
         document_id(F.col("source_url")).alias("id"), F.substring("title", 1, 200).alias("title"), F.lit("政策").alias("doc_type"), district_by_position(F.col("title"), F.col("content")).alias("district"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline import rules
 from weftline.functions.text import distinct_matches, no_space
+from weftline.sources.workspace import spread
 
 #: Aliases of one automaton; a longer dictionary takes one pass over the texts per part.
 ALIASES_AT_ONCE = 200_000
@@ -35,7 +36,7 @@ def contained(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: str,
     number of aliases, and texts are not moved. An automaton holds at most ``ALIASES_AT_ONCE`` aliases.
     """
     names = [r[0] for r in aliases.select("alias").distinct().filter((F.col("alias") != "") & ~F.col("alias").isin(*stop)).orderBy("alias").toLocalIterator()]
-    slim = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    slim = spread(texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     kind = dict(slim.dtypes)["id"]
     out = None
     for at in range(0, len(names) or 1, ALIASES_AT_ONCE):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weftline import rules
 from weftline.functions import text as X
 from weftline.operators.dedup import candidate_window, top_per_group
-from weftline.sources.workspace import shared_path
+from weftline.sources.workspace import shared_path, spread
 
 SIZES = (2, 3, 4)
 #: Queries that are scored in one pass over the texts.
@@ -54,7 +54,7 @@ def _plain(text: Column) -> Column:
 
 def gram_counts(docs: DataFrame, id_col: str, text: Column, sizes: Sequence[int] = SIZES) -> DataFrame:
     """(id, gram, tf). All grams of a text lie in its row, so they are counted there and only distinct grams leave it."""
-    slim = docs.select(F.col(id_col).alias("id"), _plain(text))
+    slim = spread(docs.select(F.col(id_col).alias("id"), _plain(text)))
     kind = dict(slim.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +74,7 @@ def block_products(asked: DataFrame, docs: DataFrame, doc_text: Column, sizes: S
     multiplied with it, so no (query, gram, text) row is ever made. There is one pass over the texts for each block.
     """
     spark = docs.sparkSession
-    slim = docs.select("doc_id", _plain(doc_text))
+    slim = spread(docs.select("doc_id", _plain(doc_text)))
     q_kind, d_kind = dict(asked.dtypes)["query_id"], dict(slim.dtypes)["doc_id"]
     names = [r[0] for r in asked.select("query_id").distinct().orderBy("query_id").collect()]  # the stated set of queries
     out = None

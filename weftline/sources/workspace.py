@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -23,6 +23,18 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/weftline-{label}-{uuid.uuid4().hex}"
 
 
+#: A table of fewer bytes for each core is dealt over all cores before work that is done row by row.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if the planner's estimate of its size is small (a small file is one partition, whatever the work on
+    its rows); a large table stays as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SPREAD_BYTES * cores else df
+
+
 _shipped: set[str] = set()
 
 
