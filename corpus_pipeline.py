@@ -1,5 +1,5 @@
-"""A training corpus in five stages, each over everything that the one before it kept: toxicity, exact dedup, SimHash
-near-dedup, mixing to source weights, packing."""
+"""A training corpus in five stages, each over everything that the one before it kept: toxicity, exact dedup, near-
+dedup by shingles, mixing to source weights, packing."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.llm.common import materialise, table
 from weftline.llm.exact_dedup import drop_duplicates
 from weftline.llm.mixing import mixed_documents
+from weftline.llm.near_copies import keep_one_copy
 from weftline.llm.packing import pack_documents
-from weftline.llm.simhash import keep_one
 from weftline.llm.toxicity import drop_toxic
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,8 +28,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: of each component of near-duplicate fingerprints the document with the smallest doc_id stays."""
-    return keep_one(docs)
+    """Of each component of near copies (5-word shingles, similarity 0.8 and more) the document with the smallest doc_id stays."""
+    return keep_one_copy(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,76 @@
+from itertools import combinations
+
+import numpy as np
+
+import corpus_pipeline
+from weftline.llm.near_copies import near_copies, shingle_hashes
+
+SCHEMA = "doc_id long, text string"
+
+
+def shingles(text):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in combinations(sorted(sets), 2):
+        common = len(sets[a] & sets[b])
+        if 10 * common >= 8 * (len(sets[a]) + len(sets[b]) - common):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+def planted(rng):
+    """Texts with edited copies (up to six words of 200), a chain whose ends differ, and a long line that all share."""
+    words, rows = [f"w{i}" for i in range(3000)], []
+    line = [f"l{i}" for i in range(20)]
+    for _ in range(20):
+        base = rng.choice(words, 200).tolist() + line
+        for n in (0, 1, 2, 3, 4, 6):
+            edit = list(base)
+            for k in rng.choice(200, n, replace=False):
+                edit[k] = "Edited"
+            rows.append((len(rows), " ".join(edit)))
+    chain = rng.choice(words, 300).tolist()
+    for k in range(12):
+        rows.append((len(rows), " ".join(chain[15 * k : 15 * k + 150])))
+    return rows + [(len(rows) + k, t) for k, t in enumerate(["", None, " \t", "one", "ONE", "one two", "a b c d e", "a b c d e a b c d e"])]
+
+
+def test_near_copies_against_brute_force(spark):
+    rows = planted(np.random.default_rng(4))
+    got = near_copies(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    want = brute(rows)
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == want
+    assert len(set(want.values())) < 60 and len({want[i] for i in range(120, 132)}) == 1
+
+
+def test_sample_table_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    assert {r.doc_id: r.component_id for r in near_copies(docs).collect()} == brute([tuple(r) for r in docs.collect()])
+
+
+def test_pipeline_stage_drops_planted_near_copies(spark, sf):
+    rows = planted(np.random.default_rng(5))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, df, sf)
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == sorted(set(brute(rows).values()))
+
+
+def test_repeats_nulls_and_empty(spark):
+    rows = [(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, "zz"), (5, "A b c d")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r.doc_id or -1, r.component_id or -1) for r in near_copies(df).collect())
+    assert got == [(-1, -1), (-1, 1), (1, 1), (1, 1), (5, 1)]
+    assert near_copies(df.filter("false")).count() == 0
+    assert len(shingle_hashes("a b c d e f")) == 2 and len(shingle_hashes("a b")) == 1 and len(shingle_hashes(" ")) == 0

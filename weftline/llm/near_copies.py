@@ -1,0 +1,159 @@
+"""Near copies of texts by word shingles: MinHash bands give candidates, the exact Jaccard similarity decides."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from weftline.llm.common import ASCII_LOWER, TEXT_BATCH, materialise, small
+from weftline.llm.components import connected_components
+
+#: Words of a shingle and the least Jaccard similarity of two texts' shingle sets that makes them near copies.
+WORDS, LEAST = 5, 0.8
+#: Bands and minima of each. A pair at 0.8 shares no band, so is no candidate, with probability (1 - 0.8^4)^32 = 5e-8.
+BANDS, ROWS = 32, 4
+SEED = 42
+_KEYS = np.random.default_rng(SEED).integers(1, 1 << 64, (2, BANDS * ROWS), np.uint64, endpoint=False)
+_XOR, _TIMES = _KEYS[0][:, None], _KEYS[1][:, None] | np.uint64(1)
+_PLACES = np.random.default_rng(SEED + 1).integers(1, 1 << 63, 64, np.uint64) | np.uint64(1)
+_CHUNK = 1 << 12
+#: Words whose hashes a worker keeps.
+CACHED = 200_000
+
+
+def shingle_hashes(text: str | None, words: int = WORDS, known: dict[bytes, int] | None = None) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's shingles, sorted. A text of fewer words is one shingle; one without words has none."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()  # splits at \x20 and \x09-\x0D
+    if not tokens:
+        return np.empty(0, np.uint64)
+    known = {} if known is None else known
+    codes = list(map(known.get, tokens))
+    if None in codes:
+        if len(known) > CACHED:
+            known.clear()
+        for k in [k for k, c in enumerate(codes) if c is None]:
+            codes[k] = known[tokens[k]] = xxh64_intdigest(tokens[k], SEED)
+    code, width = np.array(codes, np.uint64), min(words, len(tokens))
+    n = len(code) - width + 1
+    mixed = np.zeros(n, np.uint64)
+    for k in range(width):
+        mixed += code[k : k + n] * _PLACES[k]
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(times)
+    return np.unique(mixed ^ (mixed >> np.uint64(31)))
+
+
+def set_key(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit name of a shingle set; the empty set is zero."""
+    return xxh64_intdigest(hashes.tobytes(), SEED) if len(hashes) else 0
+
+
+def bands_of(hashes: np.ndarray) -> list[int]:
+    """Signed 64-bit bucket of each band: the band's number and its minima. The empty set is in no bucket."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), _CHUNK):
+        np.minimum(least, ((hashes[at : at + _CHUNK] ^ _XOR) * _TIMES).min(1), out=least)
+    found = [xxh64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
+    return np.array(found, np.uint64).view(np.int64).tolist()
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """(doc_id, key, n, bands) of every whole text: its shingle set's name, size and buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            keys, sizes, bands = [], [], []
+            for x in batch.column(1):
+                hashes = shingle_hashes(x.as_py(), words, known)
+                keys.append(set_key(hashes))
+                sizes.append(len(hashes))
+                bands.append(bands_of(hashes))
+            columns = [batch.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "bands"])
+
+    return _slim(docs, id_col, text_col).mapInArrow(run, "doc_id long, key long, n long, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """(key, hashes) of every whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            sets = [shingle_hashes(x.as_py(), words, known) for x in batch.column(1)]
+            keys = np.array([set_key(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "hashes"])
+
+    return _slim(docs, id_col, text_col).mapInArrow(run, "key long, hashes array<long>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): those of ``pairs`` whose shingle sets have a Jaccard similarity of ``least`` and more."""
+    one = sets.select(F.col("key").alias("a"), F.col("hashes").alias("_ha"))
+    two = sets.select(F.col("key").alias("b"), F.col("hashes").alias("_hb"))
+    both = pairs.join(one, "a").join(two, "b").withColumn("_common", F.size(F.array_intersect("_ha", "_hb")))
+    return both.filter(F.col("_common") >= F.lit(least) * (F.size("_ha") + F.size("_hb") - F.col("_common")) - 1e-9).select("a", "b")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """(doc_id, component_id) of every document: the smallest doc_id reachable over near copies.
+
+    Documents are near copies if their sets of ``words``-word shingles have a Jaccard similarity of ``least`` and more; components
+    are transitive. Equal sets are one node, and all texts without words are one.
+
+    In each bucket all members are first compared with one, that which most others share buckets with. A large group of near copies
+    usually is one component after that. Members of a bucket that are not in one component by then are compared pairwise across
+    components, without a bound: what is skipped is connected already, so no component is lost.
+    """
+    prints = materialise(signatures(docs, id_col, text_col, words), "signatures", TEXT_BATCH)
+    nodes = materialise(prints.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    places = nodes.select("key", "n", F.explode("bands").alias("bucket"))
+    crowds = materialise(places.groupBy("bucket").agg(F.count("*").alias("crowd")).filter("crowd > 1").withColumnRenamed("bucket", "_bucket"), "crowds")
+    held = materialise(places.join(small(crowds), F.col("bucket") == F.col("_bucket")).select("bucket", "key", "n", "crowd"), "held")
+    seen = materialise(held.groupBy("key").agg(F.sum("crowd").alias("company")).withColumnRenamed("key", "_key"), "company")
+    texts = shingle_sets(docs, id_col, text_col, words)
+    sets = materialise(texts.join(small(seen.select("_key")), F.col("key") == F.col("_key"), "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes")), "sets", TEXT_BATCH)
+
+    ranked = held.join(small(seen), F.col("key") == F.col("_key")).select("bucket", "key", "n", "company")
+    hubs = materialise(ranked.groupBy("bucket").agg(F.max(F.struct("company", "key", "n")).alias("hub")).select(F.col("bucket").alias("_bucket"), "hub.key", "hub.n").toDF("_bucket", "_hub", "_m"), "hubs")
+    close = lambda n, m: F.least(n, m) >= F.lit(least) * F.greatest(n, m) - 1e-9
+    star = held.join(small(hubs), F.col("bucket") == F.col("_bucket")).filter((F.col("key") != F.col("_hub")) & close(F.col("n"), F.col("_m")))
+    first = materialise(_similar(star.select(F.col("_hub").alias("a"), F.col("key").alias("b")).distinct(), sets, least), "links")
+    groups = materialise(connected_components(first).toDF("_node", "_group"), "groups")
+
+    grouped = materialise(held.join(small(groups), F.col("key") == F.col("_node"), "left").select("bucket", "key", "n", F.coalesce("_group", "key").alias("group")), "grouped")
+    split = grouped.groupBy("bucket").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).filter("_low != _high").select(F.col("bucket").alias("_bucket"))
+    split = materialise(split, "split")
+    rest = materialise(grouped.join(small(split), F.col("bucket") == F.col("_bucket"), "left_semi"), "rest")
+    other = rest.select(F.col("bucket").alias("_bucket"), F.col("key").alias("_key"), F.col("n").alias("_m"), F.col("group").alias("_group"))
+    across = rest.join(other, (F.col("bucket") == F.col("_bucket")) & (F.col("key") < F.col("_key")) & (F.col("group") != F.col("_group")) & close(F.col("n"), F.col("_m")))
+    pairs = materialise(across.select(F.col("key").alias("a"), F.col("_key").alias("b")).distinct(), "pairs")
+    second = materialise(_similar(pairs, sets, least), "links")
+
+    roots = materialise(connected_components(first.union(second)).toDF("_node", "_root"), "roots")
+    rooted = materialise(nodes.join(small(roots), F.col("key") == F.col("_node"), "left").select("key", "node", F.coalesce("_root", "key").alias("root")), "rooted")
+    lowest = materialise(rooted.groupBy("root").agg(F.min("node").alias("component_id")).withColumnRenamed("root", "_root"), "lowest")
+    final = materialise(rooted.join(small(lowest), F.col("root") == F.col("_root")).select(F.col("key").alias("_key"), "component_id"), "final")
+    return prints.join(small(final), F.col("key") == F.col("_key")).select("doc_id", "component_id")
+
+
+def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """``docs`` with the document that names its component of near copies and without the others of it, columns unchanged.
+
+    Rows with a null id stay.
+    """
+    found = near_copies(docs, id_col, text_col, words, least)
+    gone = materialise(found.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "copies")
+    return docs.join(small(gone), F.col(id_col) == F.col("_gone"), "left_anti").select(*docs.columns)
