@@ -79,3 +79,12 @@ def test_ownership_counts(spark):
 def test_empty(spark):
     assert scan_secrets(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     assert scan(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0 and _HEX.search("f" * 24)
+
+
+def test_value_in_many_documents_of_one_source_is_an_example(spark):
+    text = "key token='Zx8fQ2mm91LkPq' end"
+    rows = [(i, text, "hot") for i in range(10)] + [(100 + i, text.replace("Zx8", "Yy7"), "hot") for i in range(9)] + [(200 + i, text.replace("Zx8", "Ww6"), f"s{i}") for i in range(2)]
+    rows += [(300, text.replace("Zx8", "Vv5"), "hot")] * 12
+    got = {r.doc_id: (r.n_live, r.n_example) for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {got[i] for i in range(10)} == {(0, 1)} and {got[100 + i] for i in range(9)} == {(1, 0)}
+    assert got[200] == got[201] == (0, 0) and got[300] == (1, 0)  # two owners; repeats of a row are one repository

@@ -28,6 +28,8 @@ _ANY = r"(?i:passw|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[A-Za-z0
 KINDS = ("assign", "access", "hex", "live", "example")
 #: A value that this many owners hold is a copied example; one that a single owner holds, and that looks random, is live.
 COPIED_OWNERS = 3
+#: So is a value that this many repositories hold, whoever owns them.
+COPIED_REPOSITORIES = 10
 #: Least characters and bits per character (Shannon, over its own characters) of a value that looks random.
 LIVE_LENGTH, LIVE_ENTROPY = 12, 2.75
 
@@ -109,12 +111,13 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.sum("repositories").alias("n_repositories"), F.count("*").alias("n_owners"), F.sum("n").alias("n_uses"))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id", copied_owners: int = COPIED_OWNERS) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id", copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
 
     ``spans`` joins kind:start:end of the base spans and of the method's: over the whole corpus each candidate value is
-    counted by distinct repositories and owners; one held by a single owner that looks random is ``live``, one held by at least
-    ``copied_owners`` owners is an ``example``. Places are code points, the end exclusive; order is by start, then kind as in
+    counted by distinct repositories and owners; one held by at least ``copied_owners`` owners or in at least ``copied_repositories``
+    repositories is an ``example``, one in fewer repositories of a single owner that looks random is ``live``. A value in few
+    repositories of several owners, fewer than ``copied_owners``, gets neither: it is nobody's own, nor widely copied. Places are code points, the end exclusive; order is by start, then kind as in
     ``KINDS``, then end. A null owner or repository counts as one of its own.
 
     Null text is empty and has no spans. Null ids and repeated rows are documents like any other; repeats of a row are one
@@ -123,7 +126,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scanned = materialise(scan(docs, id_col, text_col, owner_col, repository_col), "scanned", TEXT_BATCH)
     places = scanned.filter("size(found) > 0").select("rid", "owner", "repository", F.explode("found").alias("f")).select("rid", "owner", "repository", "f.*")
     owned = materialise(ownership(places), "owned")
-    kind = F.when(F.col("n_owners") >= copied_owners, F.lit("example")).when(F.col("random") & (F.col("n_owners") == 1), F.lit("live"))
+    kind = F.when((F.col("n_owners") >= copied_owners) | (F.col("n_repositories") >= copied_repositories), F.lit("example")).when(F.col("random") & (F.col("n_owners") == 1), F.lit("live"))
     judged = places.join(owned.withColumnRenamed("hash", "_hash"), F.col("hash") == F.col("_hash")).withColumn("kind", kind).filter("kind IS NOT NULL")
     added = judged.groupBy("rid").agg(F.collect_list(F.struct("start", F.when(F.col("kind") == "live", 3).otherwise(4).alias("rank"), "stop", "kind")).alias("added")).withColumnRenamed("rid", "_rid")
     # Base spans are split again only in rows that the method adds to; a document's spans are bounded by its text.
