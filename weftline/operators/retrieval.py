@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -146,6 +147,42 @@ def dense_scores(queries: DataFrame, docs: DataFrame, vec: str = "embedding") ->
     return docs.join(q, F.lit(True), "inner").select("query_id", "doc_id", dot(F.col("_q"), F.col(vec)).alias("score"))
 
 
+def dense_block_scores(queries: DataFrame, docs: DataFrame, window: int, vec: str = "embedding", block: int = 1024) -> DataFrame:
+    """(query_id, doc_id, score): of every query the pairs that can be among its best ``window`` (score, then doc_id); vectors that
+    are null have no score.
+
+    Queries are taken in blocks (hash of the id, about ``block`` each) that are shipped to where the documents lie; each batch of
+    documents keeps its own best ``window`` of a query, which no other batch can displace from outside. Products are summed in
+    the order of the dimensions, so equal vectors have equal scores.
+    """
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col(vec).cast("array<double>").alias("_q")).filter("_q IS NOT NULL").persist()
+    parts = asked.count() // block + 1
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(vec).cast("array<double>").alias("_v")).filter("_v IS NOT NULL")
+
+    def scorer(rows: list) -> DataFrame:
+        ids, vectors = np.array([r.query_id for r in rows], np.int64), np.array([r._q for r in rows], np.float64)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1024):
+                    batch = whole.slice(at, 1024)
+                    names = batch.column(0).to_numpy(zero_copy_only=False)
+                    order = np.argsort(names, kind="stable")
+                    names, v = names[order], np.array(batch.column(1).to_pylist(), np.float64)[order]
+                    score = np.zeros((len(ids), len(names)))
+                    for k in range(v.shape[1]):
+                        score += vectors[:, k, None] * v[None, :, k]
+                    best = np.argsort(-score, axis=1, kind="stable")[:, :window]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(names[best].ravel()), pa.array(np.take_along_axis(score, best, 1).ravel())], names=["query_id", "doc_id", "score"])
+
+        return slim.mapInArrow(run, "query_id long, doc_id long, score double")
+
+    blocks = (asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k).collect() for k in range(parts))
+    found = [scorer(rows) for rows in blocks if rows]
+    asked.unpersist()
+    return reduce(DataFrame.union, found) if found else slim.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
+
+
 def boosts(district: Column | None, tag: Column | None, unit: Column | None, types: Sequence[str]) -> Column:
     """Additive boosts of a pair whose document columns are in scope, without that of matched terms; what is not given adds none."""
     b, out = rules.BOOSTS, F.lit(0.0)

@@ -801,6 +801,20 @@ def srt2_ded5_udf2_dense_window(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "rank", "doc_id", "label", F.round("score", 4).alias("score"))
 
 
+@query(
+    f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, e.label, {_DOT} AS score FROM q, embeddings e),
+    w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s), c AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY r) AS k FROM w WHERE r <= 10),
+    f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM c WHERE k = 1) SELECT query_id, CAST(rank AS INT) AS rank, doc_id, label, round(score, 4) AS score FROM f WHERE rank <= 3"""
+)
+def srt2_ded5_udf2_dense_search(spark: SparkSession, d: str) -> DataFrame:
+    """The search of ``srt2_ded5_udf2_dense_window`` for the whole stated query set: every row whose id is divisible by 100."""
+    docs = t(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    asked = docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+    pairs = retrieval.dense_block_scores(asked, docs.select("doc_id", "embedding"), 10).join(docs.select("doc_id", "label"), "doc_id")
+    out = dedup.candidate_window(pairs, ["query_id"], [F.desc("score"), F.col("doc_id")], ["label"], 3)
+    return out.select("query_id", "rank", "doc_id", "label", F.round("score", 4).alias("score"))
+
+
 # --- evaluation and training -------------------------------------------------------------------------------------------------
 
 SCORED_SQL = """x AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label AS l, i, avg(CAST(v AS DOUBLE)) AS m FROM x GROUP BY ALL),
