@@ -1055,7 +1055,7 @@ def api_validate(spark: SparkSession, d: str) -> DataFrame:
 def api_analyze(spark: SparkSession, d: str) -> DataFrame:
     """The whole analysis of every user turn against the corpus of benchmark texts; tests hold its parts against brute force."""
     turns = t(spark, d, "conversations").filter("role = 'user'")
-    asked = turns.select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), F.lit("question").alias("tag"), F.substring("text", 1, 60).alias("title"), F.substring("text", 1, 3000).alias("body"))
+    asked = turns.select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), F.lit("question").alias("tag"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("body"))
     docs = corpus.normalised(t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("item_id").alias("doc_id"), F.substring("text", 1, 40).alias("title"), F.col("text").alias("content")))
     out = plans.analyze(asked, aliases(spark), docs, names=DIRECT)
     return out.select("request_id", "is_valid", "location.district", "location.confidence", "location.method", "primary_unit", F.size("retrieval").alias("hits"), F.get("retrieval", F.lit(0))["doc_id"].alias("first_doc"), "reply")
