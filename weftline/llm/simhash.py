@@ -1,4 +1,4 @@
-"""SimHash near-duplicates through multi-index hashing."""
+"""SimHash near-duplicates at two bits through a meeting of single-bit flips of whole codes."""
 
 from __future__ import annotations
 
@@ -59,12 +59,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def hamming_links(prints: DataFrame) -> DataFrame:
     """(x, y): a spanning set of the links between distinct fingerprints (column fp) at two or fewer differing bits.
 
-    The fingerprint has two segments of 32 bits. Within each segment the ball of radius one is enumerated with the other
-    segment as it is: 32 + 32 probes, and the code itself. Two codes at distance two or less, and no others, meet at such
-    a probe, whichever segments their differing bits fall in. A table entry holds the codes that probed it as 64 bits (which
-    bit each flipped) and a flag (the code itself), so the entry is combined map-side and bounded by 65 codes however
-    large a group of near copies is; all codes of an entry are linked to one of them rather than pairwise, after their
-    complete distance is verified.
+    Each code and its 64 single-bit flips are keys of one table on whole codes. Two codes at distance two or less, and no
+    others, meet at such a key. This is exact for two bits only: it is not multi-index hashing, which keys tables by segment and
+    can raise the radius; at two bits that would fetch all codes with an equal segment, near or not, and verify them. A table entry
+    holds the codes that probed it as 64 bits (which bit each flipped) and a flag (the code itself), so the entry is combined
+    map-side and bounded by 65 codes however large a group of near copies is; all codes of an entry are linked to one of them
+    rather than pairwise, after their complete distance is verified.
     """
     probes = prints.select(
         F.explode(
