@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -9,18 +12,46 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, else the context's checkpoint folder.
+
+    A temporary folder stands in only where the session names none and driver and executors are one process (as in tests);
+    on a cluster a missing setting is an error, since executors cannot read the driver's own folders.
+    """
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        return root.rstrip("/")
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = tempfile.mkdtemp(prefix="weftline-")
+    spark.sparkContext.setCheckpointDir(root)
+    return root
+
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; a temporary folder stands in only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            root = held.get()
-        else:
-            root = tempfile.mkdtemp(prefix="weftline-")
-            spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/weftline-{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, removed when the driver exits."""
+    path = f"{shared_dir(spark)}/weftline-{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+@atexit.register
+def _remove_written() -> None:
+    for spark, path in _written:
+        with contextlib.suppress(Exception):
+            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def table_bytes(df: DataFrame) -> int:
+    """The planner's size estimate; for a written table the size of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 #: A table of fewer bytes for each core is dealt over all cores before work that is done row by row.
@@ -31,8 +62,7 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores if the planner's estimate of its size is small (a small file is one partition, whatever the work on
     its rows); a large table stays as it is, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < SPREAD_BYTES * cores else df
+    return df.repartition(cores) if table_bytes(df) < SPREAD_BYTES * cores else df
 
 
 _shipped: set[str] = set()
@@ -40,11 +70,14 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once per application, so that functions defined in it can be unpickled there whatever
-    their own path holds. Does nothing where the package is not a folder (it was shipped as an archive already)."""
+    their own path holds. It has to come before such a function is made into a plan. Does nothing where the package is not a
+    folder (it was shipped as an archive already)."""
     app, package = spark.sparkContext.applicationId, Path(__file__).resolve().parents[1]
     if app in _shipped or not package.is_dir():
         return
-    archive = Path(tempfile.mkdtemp(prefix="weftline-code-")) / f"{package.name}.zip"
+    folder = tempfile.mkdtemp(prefix="weftline-code-")  # the driver serves the archive from here until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / f"{package.name}.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
