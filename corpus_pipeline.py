@@ -7,11 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm.common import materialise, table
+from weftline.llm.common import materialise, prepare, table
 from weftline.llm.exact_dedup import drop_duplicates
 from weftline.llm.mixing import mixed_documents
-from weftline.llm.near_copies import keep_one_copy
 from weftline.llm.packing import pack_documents
+from weftline.llm.simhash import keep_one
 from weftline.llm.toxicity import drop_toxic
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,8 +28,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (5-word shingles, similarity 0.8 and more) the document with the smallest doc_id stays."""
-    return keep_one_copy(docs)
+    """Operator 2: of each component of near copies (5-word shingles, similarity 0.8 and more) one document stays."""
+    return keep_one(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,6 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed corpus of ``documents``; every stage's result is written in the shared folder and read again."""
+    prepare(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
