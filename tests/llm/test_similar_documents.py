@@ -3,7 +3,7 @@ from itertools import combinations
 import numpy as np
 
 import corpus_pipeline
-from weftline.llm.near_copies import near_copies, shingle_hashes
+from weftline.llm.simhash import shingle_hashes, similar_documents
 
 SCHEMA = "doc_id long, text string"
 
@@ -49,7 +49,7 @@ def planted(rng):
 
 def test_near_copies_against_brute_force(spark):
     rows = planted(np.random.default_rng(4))
-    got = near_copies(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    got = similar_documents(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
     want = brute(rows)
     assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == want
     assert len(set(want.values())) < 60 and len({want[i] for i in range(120, 132)}) == 1
@@ -57,10 +57,10 @@ def test_near_copies_against_brute_force(spark):
 
 def test_sample_table_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    assert {r.doc_id: r.component_id for r in near_copies(docs).collect()} == brute([tuple(r) for r in docs.collect()])
+    assert {r.doc_id: r.component_id for r in similar_documents(docs).collect()} == brute([tuple(r) for r in docs.collect()])
 
 
-def test_pipeline_stage_drops_planted_near_copies(spark, sf):
+def test_pipeline_stage_drops_planted_similar_documents(spark, sf):
     rows = planted(np.random.default_rng(5))
     df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.near_dedup(spark, df, sf)
@@ -70,7 +70,7 @@ def test_pipeline_stage_drops_planted_near_copies(spark, sf):
 def test_repeats_nulls_and_empty(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, "zz"), (5, "A b c d")]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = sorted((r.doc_id or -1, r.component_id or -1) for r in near_copies(df).collect())
+    got = sorted((r.doc_id or -1, r.component_id or -1) for r in similar_documents(df).collect())
     assert got == [(-1, -1), (-1, 1), (1, 1), (1, 1), (5, 1)]
-    assert near_copies(df.filter("false")).count() == 0
+    assert similar_documents(df.filter("false")).count() == 0
     assert len(shingle_hashes("a b c d e f")) == 2 and len(shingle_hashes("a b")) == 1 and len(shingle_hashes(" ")) == 0

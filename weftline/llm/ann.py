@@ -7,10 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise
+from weftline.llm.common import materialise, prepare
 
-#: Vectors of an index block and queries of a query block, on average.
-BLOCK, QUERIES = 16384, 1024
+#: Vectors of an index block and queries of a query block, on average: some 20 MB each in a task. Every vector moves once for
+#: each block of queries, every query once for each block of the index.
+BLOCK, QUERIES = 16384, 16384
 #: Projections; collisions that make a candidate; half-width of a full window in standard deviations of a projected distance.
 PROJECTIONS, THRESHOLD, WIDTH = 48, 37, 1.45
 #: The first window as a part of a full one for distance 1, and the factor by which virtual rehashing widens windows.
@@ -34,7 +35,8 @@ class SortedArrays:
 
 
 def search_block(index: SortedArrays, vectors: np.ndarray, norms: np.ndarray, ids: np.ndarray, query: np.ndarray, query_id: int, directions: np.ndarray, k: int, threshold: int, width: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places and cosines of the block's candidates for one query, nearest first, ties to the smaller id: the ``k`` best found.
+    """Places and cosines of the block's candidates for one query, nearest first, ties to the smaller id: the ``k`` best found, of
+    distinct ids.
 
     Windows centred at the query's projections widen step by step over the sorted arrays, and only the entries that a step
     adds are counted; vectors that reach the threshold are verified with their exact cosine. The search ends once a full
@@ -65,7 +67,8 @@ def search_block(index: SortedArrays, vectors: np.ndarray, norms: np.ndarray, id
             fresh = fresh[ids[fresh] != query_id]
             score = (vectors[fresh] * query).sum(axis=1) / (norms[fresh] * norm)
             found, cosines = np.concatenate([found, fresh]), np.concatenate([cosines, score])
-            best = np.lexsort((ids[found], -cosines))[:k]
+            best = np.lexsort((ids[found], -cosines))
+            best = best[np.sort(np.unique(ids[found][best], return_index=True)[1])[:k]]  # of rows that repeat an id the nearest
             found, cosines = found[best], cosines[best]
         if len(found) == k and half >= scale * np.sqrt(max(0.0, 2 - 2 * cosines[-1])):
             return found, cosines
@@ -82,6 +85,12 @@ def valid_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     return rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & fine)
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near one: neither squares nor sums over- or underflow, and
+    all digits, so all cosines, stay."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=-1, keepdims=True))[1])
+
+
 def _cell(k: int, seed: int, count: int, threshold: int, width: float):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -90,12 +99,12 @@ def _cell(k: int, seed: int, count: int, threshold: int, width: float):
             if not len(asked):
                 continue
             block = block.sort_values("vec_id")
-            vectors, ids = np.stack(block["v"].to_numpy()), block["vec_id"].to_numpy()
+            vectors, ids = scaled(np.stack(block["v"].to_numpy())), block["vec_id"].to_numpy()
             norms = np.sqrt((vectors * vectors).sum(axis=1))
             directions = projections(dim, count, seed)
             index = SortedArrays(vectors / norms[:, None], directions)
             for query_id, v in zip(asked["vec_id"], asked["v"], strict=True):
-                found, cosines = search_block(index, vectors, norms, ids, np.asarray(v), query_id, directions, k, threshold, width)
+                found, cosines = search_block(index, vectors, norms, ids, scaled(np.asarray(v, float)), query_id, directions, k, threshold, width)
                 out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[found], "score": cosines}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
@@ -114,9 +123,13 @@ def nearest_neighbours(
     are dealt by a hash of the id; ties go to the smaller id.
 
     Vectors that are null, zero, or hold a null or non-finite component take no part, nor do rows with a null id; vectors
-    meet only others of their length. Of rows that repeat an id each takes part, but not against its own id. An empty table gives an
-    empty result. Other columns are ignored.
+    meet only others of their length. Of rows that repeat an id each takes part, but not against its own id, and the nearest stands
+    for the id: an id is listed once. An empty table gives an empty result. Other columns are ignored.
+
+    Work: a query costs in proportion to the vectors that its windows cover. Where these are a fixed part of all (vectors without
+    structure in many dimensions, whose nearest neighbours are hardly nearer than others), that is the number of vectors.
     """
+    prepare(rows.sparkSession)
     held = materialise(valid_vectors(rows, id_col, vec_col), "vectors")
     blocks = max(1, -(-held.count() // BLOCK))
     asked = held.filter(F.col("vec_id") % every == 0)
@@ -127,4 +140,4 @@ def nearest_neighbours(
     cells = index.groupBy("ib", "qb").cogroup(queries.select("vec_id", "v", "ib", "qb").groupBy("ib", "qb"))
     near = cells.applyInPandas(_cell(k, seed, count, threshold, width), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

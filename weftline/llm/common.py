@@ -2,78 +2,77 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import tempfile
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.sources.workspace import ship
+from weftline.sources.workspace import shared_path, ship, table_bytes
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: bytes.translate table that lower-cases A-Z only.
 ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
-_written: list[tuple[SparkSession, str]] = []
-
+#: Rows of one Arrow batch where whole texts go through Python: batches of a few MB, so a worker's memory stays small.
+TEXT_BATCH = 1000
+_ARROW_ROWS, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (as in tests) a temporary folder is made and set as the context's checkpoint folder.
-    """
-    if root := spark.conf.get("spark.checkpoint.dir", None):
-        return root.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    root = tempfile.mkdtemp(prefix="weftline-")
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+def prepare(spark: SparkSession) -> None:
+    """What Python work needs, before its functions are made into a plan: the package on the executors, and Arrow batches of
+    ``TEXT_BATCH`` rows where the session still has Spark's default (a caller's own setting stays)."""
+    ship(spark)
+    if spark.conf.get(_ARROW_ROWS) == _ARROW_DEFAULT:
+        spark.conf.set(_ARROW_ROWS, str(TEXT_BATCH))
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the driver exits."""
-    path = f"{shared_dir(spark)}/weftline-{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` after ``prepare``."""
+    prepare(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
-#: Rows of one Arrow batch where whole texts go through Python: batches of a few MB, so a worker's memory stays small.
-TEXT_BATCH = 1000
-_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+@contextlib.contextmanager
+def without_gc() -> Iterator[None]:
+    """No cyclic garbage collection inside: each full one walks all objects of a batch. The worker's setting is put back."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
-def materialise(df: DataFrame, label: str, arrow_rows: int | None = None) -> DataFrame:
+def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors, and gives
-    the planner a true size. ``arrow_rows`` holds for this write; the session's setting is put back."""
+    the planner a true size."""
     spark = df.sparkSession
-    ship(spark)
     path = shared_path(spark, label)
-    before = spark.conf.get(_ARROW_ROWS)
-    if arrow_rows is not None:
-        spark.conf.set(_ARROW_ROWS, str(arrow_rows))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_ARROW_ROWS, before)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-@atexit.register
-def _remove_written() -> None:
-    for spark, path in _written:
-        with contextlib.suppress(Exception):
-            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+def fresh(df: DataFrame, *labels: str) -> list[str]:
+    """Column names that ``df`` does not have, in any case of letters: for helper columns beside a caller's own."""
+    have, out = {c.lower() for c in df.columns}, []
+    for label in labels:
+        name = f"_{label}"
+        while name.lower() in have:
+            name = f"_{label}_{uuid.uuid4().hex[:8]}"
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
-def table_bytes(df: DataFrame) -> int:
-    """The planner's size estimate; for a materialised table the size of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their literal names, dots and all."""
+    return [F.col(f"`{n.replace('`', '``')}`") for n in names]
 
 
 #: A side whose files are no larger than this is broadcast; anything larger takes the shuffled path.
@@ -99,17 +98,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def bounded_sample(rows: DataFrame, texts: DataFrame, key: str, label: str, per_class: int) -> DataFrame:
-    """At most ``per_class`` rows of each class, those with the smallest hash of the key, with their whole texts.
+def sampled_keys(rows: DataFrame, key: str, label: str, per_class: int) -> DataFrame:
+    """(key, label): of each class about ``per_class`` distinct keys and rarely more, those whose hash lies below a bound that
+    follows from the class's number of distinct keys (an estimate, which needs no shuffle of keys); a small class whole.
+
+    No rows are ranked: the choice is a filter, whatever the number of partitions or repeats of a key. The few keys that pass
+    are made distinct.
+    """
+    sizes = materialise(rows.groupBy(label).agg(F.approx_count_distinct(key, 0.02).alias("_n")).withColumnRenamed(label, "_label"), "classes")
+    place, aim = F.xxhash64(key) / F.lit(float(1 << 64)) + 0.5, per_class - 2 * per_class**0.5
+    low = rows.select(key, label).join(small(sizes), F.col(label) == F.col("_label"))
+    return low.filter((F.col("_n") <= aim) | (place * F.col("_n") < aim)).select(key, label).distinct()
+
+
+#: A text of more bytes is not learned from in a sample that goes to the driver.
+SAMPLE_TEXT_BYTES = 1 << 16
+
+
+def bounded_sample(rows: DataFrame, texts: DataFrame, key: str, label: str, per_class: int, most_bytes: int = SAMPLE_TEXT_BYTES) -> DataFrame:
+    """(key, label, text): about ``per_class`` rows of each class (``sampled_keys``) with their whole texts of at most ``most_bytes``.
 
-    The choice is made on (key, label) alone. A class's size gives a hash below which about three times ``per_class`` of its rows lie;
-    only those are shuffled and ranked, so the cost does not grow with the class or with the number of partitions. The chosen keys
-    are few (classes x per_class) and are broadcast; of rows that repeat a key one is taken.
+    So the sample is bounded in rows and bytes. The chosen keys are few (classes x per_class) and are broadcast, texts stay
+    where they are. Of rows that repeat a key with different texts the smallest text is taken, in every run.
     """
-    slim = rows.select(key, label)
-    sizes = materialise(slim.groupBy(label).agg(F.count("*").alias("_n")).withColumnRenamed(label, "_label"), "classes")
-    place = F.xxhash64(key) / F.lit(float(1 << 64)) + 0.5
-    low = slim.join(small(sizes), F.col(label) == F.col("_label")).filter(place * F.col("_n") < 3 * per_class + 50).select(key, label)
-    order = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
-    chosen = low.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_class).drop("_rank").dropDuplicates([key])
-    return texts.join(F.broadcast(chosen), key).dropDuplicates([key])
+    chosen = materialise(sampled_keys(rows, key, label, per_class), "chosen")
+    fit = texts.filter(F.octet_length("text") <= most_bytes).join(F.broadcast(chosen), [key, label] if label in texts.columns else [key])
+    return fit.groupBy(key, label).agg(F.min("text").alias("text"))

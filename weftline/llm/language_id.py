@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bounded_sample, held_out
+from weftline.llm.common import bounded_sample, held_out, in_batches
 
 #: Hashed character n-grams (bytes of the lower-cased text, n = 1 to 3) and labelled texts of each language that are learned from.
 BUCKETS, SAMPLE_PER_LANGUAGE = 1 << 13, 400
@@ -33,11 +32,15 @@ FAMILIES = {
     "sinitic": "zh yue wuu",
 }
 _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
-_LETTER = re.compile(r"[^\W\d_]")
 #: Letters of ASCII and all bytes of other characters stay, anything else is a blank.
 _BLANK = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (Unicode category L); numerals such as one half or Roman eight are none."""
+    return any(map(str.isalpha, text))
+
+
 def family(code: str) -> str:
     return _FAMILY.get(code.lower().replace("_", "-").split("-")[0], code)
 
@@ -102,7 +105,7 @@ class LanguageModel:
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score from 0 to 1): the family of the largest margin, then the language that wins most of its pairs
         (ties: the larger sum of margins, then the smaller code)."""
-        if not text or not self.families or not _LETTER.search(text):
+        if not text or not self.families or not has_letter(text):
             return UNDETERMINED, 0.0
         x = features(text)
         score, name = 1.0, next(iter(self.families))
@@ -124,7 +127,7 @@ class LanguageModel:
 
 def fit(samples: list[tuple[str, str]]) -> LanguageModel:
     """Learn from (text, language) pairs; texts without letters teach nothing."""
-    samples = [(t, code) for t, code in samples if t and _LETTER.search(t)]
+    samples = [(t, code) for t, code in samples if t and has_letter(t)]
     model = LanguageModel()
     for code in sorted({code for _, code in samples}):
         model.families.setdefault(family(code), []).append(code)
@@ -142,11 +145,12 @@ def fit(samples: list[tuple[str, str]]) -> LanguageModel:
 
 
 def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """A model of at most ``per_language`` labelled texts of each language, none of them of the held-out fold."""
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang")).filter("lang IS NOT NULL AND doc_id IS NOT NULL")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
-    rows = bounded_sample(named.filter(~held_out(F.col("doc_id"))), texts, "doc_id", "lang", per_language).select("text", "lang", "doc_id")
-    return fit([(r.text, r.lang) for r in sorted(rows.collect(), key=lambda r: (r.lang, r.doc_id, r.text))])
+    """A model of about ``per_language`` labelled texts of each language, none of them of the held-out fold, none longer than
+    ``SAMPLE_TEXT_BYTES``; of rows that repeat an id the smallest (text, language) is taken."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.filter("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL")
+    sample = bounded_sample(rows.filter(~held_out(F.col("doc_id"))).select("doc_id", "lang"), rows, "doc_id", "lang", per_language)
+    return fit(sorted((r.text, r.lang) for r in sample.select("text", "lang").collect()))
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,13 +163,13 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return in_batches(slim, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify_languages(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
-    The model is fitted on the driver from a bounded sample (``per_language`` texts of each language, by hash of the id,
+    The model is fitted on the driver from a bounded sample (about ``per_language`` texts of each language, by hash of the id,
     outside the held-out fold: ids whose crc32 as text leaves 2 modulo 4); every whole text is then scored where it lies, without a
     shuffle. Language, source and id are never inputs of a prediction.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import TEXT_BATCH, materialise
+from weftline.llm.common import in_batches, materialise, prepare, without_gc
 
 WINDOW, END_ID = 4096, 2
 #: Pieces that one task packs, on average.
@@ -21,8 +21,13 @@ PIECES_PER_GROUP = 20_000
 #: Words whose ids a worker keeps, in two generations: a full one becomes the old one, from which words in use are taken over.
 CACHED = 400_000
 _DOCS_AT_ONCE = 256
-#: Characters (Latin-1) of ordinary texts. Within them normalisation is lower-casing and white space, and the tokenizer's
-#: split is ``_WORD``; a text with any other, or with what may be a special token, is given to the tokenizer whole.
+#: The normalisation, split and word ending of the tokenizers whose texts are encoded word by word. With any other
+#: tokenizer every text is given to it whole.
+_NORMALISED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+_ENDING = "</w>"
+#: Characters (Latin-1) of ordinary texts. Within them that normalisation is lower-casing and white space, and the split is
+#: ``_WORD``; a text with any other, or with what may be a special token, is given to the tokenizer whole.
 _USUAL = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
 _WORD = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zß-öø-ÿ0-9]+")
 
@@ -40,9 +45,17 @@ def is_usual(text: str) -> bool:
         return False
 
 
+def splits_as_known(definition: str) -> bool:
+    """Whether a tokenizer's definition has the normalisation, split and word ending that ``WordEncoder`` knows."""
+    d = json.loads(definition)
+    steps, splits = (d.get("normalizer") or {}).get("normalizers"), (d.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    known = splits[0].get("type") == "Split" and splits[0].get("pattern") == _SPLIT and splits[0].get("invert") and [x.get("type") for x in splits[1:]] == ["ByteLevel"]
+    return steps == _NORMALISED and bool(known) and not splits[1].get("add_prefix_space") and not splits[1].get("use_regex") and d["model"].get("end_of_word_suffix") == _ENDING
+
+
 class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, equal to the tokenizer's own: each distinct word is encoded once
-    and kept while in use."""
+    and kept while in use. A tokenizer that splits in another way than the known one encodes every text whole."""
 
     def __init__(self, definition: str) -> None:
         from tokenizers import Tokenizer
@@ -50,9 +63,10 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.by_word = splits_as_known(definition)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True  # the last id of every word, and no other
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(_ENDING)]] = True  # the last id of every word, and no other
 
     def _learn(self, words: set[str]) -> None:
         if len(self.known) > CACHED:
@@ -73,7 +87,7 @@ class WordEncoder:
         """One bytes object per text."""
         out, gaps, look = [], [], self.known.get
         for t in texts:
-            if not is_usual(t):
+            if not self.by_word or not is_usual(t):
                 out.append([np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()])
                 continue
             words = _WORD.findall(t.lower())
@@ -112,20 +126,20 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, window: int = WIN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(definition.value)
-        gc.disable()  # nothing here is cyclic, and each full collection walks all words of a batch
-        for batch in batches:
-            for at in range(0, batch.num_rows, _DOCS_AT_ONCE):
-                ids, texts = (batch.column(k).slice(at, _DOCS_AT_ONCE).to_pylist() for k in (0, 1))
-                rows = []
-                for doc_id, raw in zip(ids, encoder.encode([t or "" for t in texts]), strict=True):
-                    raw += end
-                    for k in range(0, len(raw), step):
-                        cut = raw[k : k + step]
-                        rows.append((doc_id, k // 4, len(cut) // 4, zlib.crc32(cut), len(raw) // 4, *[np.frombuffer(cut, "<u4").astype(np.int32)] * with_ids))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) if n != "ids" else pa.array(list(c), pa.list_(pa.int32())) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
+        with without_gc():
+            for batch in batches:
+                for at in range(0, batch.num_rows, _DOCS_AT_ONCE):
+                    ids, texts = (batch.column(k).slice(at, _DOCS_AT_ONCE).to_pylist() for k in (0, 1))
+                    rows = []
+                    for doc_id, raw in zip(ids, encoder.encode([t or "" for t in texts]), strict=True):
+                        raw += end
+                        for k in range(0, len(raw), step):
+                            cut = raw[k : k + step]
+                            rows.append((doc_id, k // 4, len(cut) // 4, zlib.crc32(cut), len(raw) // 4, *[np.frombuffer(cut, "<u4").astype(np.int32)] * with_ids))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) if n != "ids" else pa.array(list(c), pa.list_(pa.int32())) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
+    return in_batches(slim, run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
 
 
 def fill_window(counts: dict[int, int], lengths: list[int], room: int) -> dict[int, int]:
@@ -200,7 +214,8 @@ def _packed(pdf: pd.DataFrame, group: int, window: int) -> pd.DataFrame:
 
 def pack(cut: DataFrame, window: int = WINDOW) -> DataFrame:
     """``cut`` (of ``pieces``, without ids) with sequence_id and offset."""
-    held = materialise(cut.withColumn("rid", F.monotonically_increasing_id()), "pieces", TEXT_BATCH)
+    prepare(cut.sparkSession)
+    held = materialise(cut.withColumn("rid", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-held.count() // PIECES_PER_GROUP))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

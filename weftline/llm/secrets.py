@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import TEXT_BATCH, materialise
+from weftline.llm.common import in_batches, materialise
 
 #: Fixed patterns of the base kinds, and the least length of what must be that long (group 2, else the match).
 _ASSIGN = re.compile(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -52,10 +52,18 @@ def base_spans(text: str) -> list[tuple[int, int, str, int, int]]:
 
 def candidates(text: str, base: list[tuple[int, int, str, int, int]]) -> list[tuple[int, int]]:
     """Distinct places of values to judge: those of the base spans, and long mixed runs outside them."""
-    out = {(a, b) for *_, a, b in base}
+    out, taken = {(a, b) for *_, a, b in base}, []
+    for a, b, *_ in sorted(base):  # disjoint stretches that base spans cover
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    at = 0
     for m in _LONG.finditer(text):
         a, b = m.span()
-        if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]) and not any(s < b and a < e for s, e, *_ in base):
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        if (at == len(taken) or taken[at][0] >= b) and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
             out.add((a, b))
     return sorted(out)
 
@@ -97,18 +105,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     slim = docs.select(
         F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.col(repository_col).cast("string").alias("repository"), F.col(text_col).cast("string").alias("text")
     )
-    return slim.mapInArrow(run, _SCANNED)
+    return in_batches(slim, run, _SCANNED)
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, n_repositories, n_owners, n_uses) of every candidate value, over the whole corpus.
+    """(hash, n_repositories, n_owners, n_uses) of every candidate value, over the whole corpus; a repository that two owners
+    hold is one.
 
     Counted in steps whose keys hold the owner and the repository, so a value copied everywhere is combined map-side and
     spread, never gathered.
     """
     uses = found.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"))
-    owners = uses.groupBy("hash", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"))
-    return owners.groupBy("hash").agg(F.sum("repositories").alias("n_repositories"), F.count("*").alias("n_owners"), F.sum("n").alias("n_uses"))
+    repositories = uses.groupBy("hash", "repository").agg(F.sum("n").alias("n")).groupBy("hash").agg(F.count("*").alias("n_repositories"), F.sum("n").alias("n_uses"))
+    owners = uses.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("n_owners"))
+    return repositories.join(owners, "hash").select("hash", "n_repositories", "n_owners", "n_uses")
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id", copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES) -> DataFrame:
@@ -117,13 +127,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``spans`` joins kind:start:end of the base spans and of the method's: over the whole corpus each candidate value is
     counted by distinct repositories and owners; one held by at least ``copied_owners`` owners or in at least ``copied_repositories``
     repositories is an ``example``, one in fewer repositories of a single owner that looks random is ``live``. A value in few
-    repositories of several owners, fewer than ``copied_owners``, gets neither: it is nobody's own, nor widely copied. Places are code points, the end exclusive; order is by start, then kind as in
-    ``KINDS``, then end. A null owner or repository counts as one of its own.
+    repositories of several owners, fewer than ``copied_owners``, gets neither: it is nobody's own, nor widely copied. Places are
+    code points, the end exclusive; order is by start, then kind as in ``KINDS``, then end. A null owner or repository counts as one of its own.
 
     Null text is empty and has no spans. Null ids and repeated rows are documents like any other; repeats of a row are one
     repository. An empty table gives an empty result. Other columns are ignored.
     """
-    scanned = materialise(scan(docs, id_col, text_col, owner_col, repository_col), "scanned", TEXT_BATCH)
+    scanned = materialise(scan(docs, id_col, text_col, owner_col, repository_col), "scanned")
     places = scanned.filter("size(found) > 0").select("rid", "owner", "repository", F.explode("found").alias("f")).select("rid", "owner", "repository", "f.*")
     owned = materialise(ownership(places), "owned")
     kind = F.when((F.col("n_owners") >= copied_owners) | (F.col("n_repositories") >= copied_repositories), F.lit("example")).when(F.col("random") & (F.col("n_owners") == 1), F.lit("live"))

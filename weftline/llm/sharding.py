@@ -14,8 +14,8 @@ from weftline.llm.common import materialise
 MAX_PARTITIONS = 4096
 #: Most rows that one task permutes after the exchange, on average.
 ROWS_PER_CELL = 1_000_000
-#: Populations up to here use numpy's sampler.
-_NUMPY_MOST = 10**9 - 1
+#: Populations up to here use numpy's sampler; beyond, standard deviations on either side of the mode that a draw can reach.
+_NUMPY_MOST, _TAIL = 10**9 - 1, 14.0
 
 
 def shard_sizes(rows: int, shards: int) -> list[int]:
@@ -24,34 +24,25 @@ def shard_sizes(rows: int, shards: int) -> list[int]:
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """An exact hypergeometric draw; beyond numpy's range, by splitting the draw into parts that are within it."""
+    """A hypergeometric draw. Beyond numpy's range by inversion: weights relative to that of the mode follow from exact ratios of
+    neighbours and are normalised by their own sum, so no large logarithm is subtracted from another (relative error about
+    1e-10, and 1e-40 of the mass, beyond ``_TAIL`` deviations, is left out)."""
     if draws <= 0 or good <= 0:
         return 0
     if bad <= 0:
         return draws
-    if good + bad <= _NUMPY_MOST:
+    total = good + bad
+    if total <= _NUMPY_MOST:
         return int(rng.hypergeometric(good, bad, draws))
-    mode = (draws + 1) * (good + 1) // (good + bad + 2)
-    from math import exp, lgamma
-
-    choose = lambda n, k: lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
-    low, high = max(0, draws - bad), min(good, draws)
-    p = exp(choose(good, mode) + choose(bad, draws - mode) - choose(good + bad, draws))
-    u, up, down, pu, pd = rng.random() - p, mode, mode, p, p
-    while u > 0 and (up < high or down > low):  # inversion, outwards from the mode
-        if up < high:
-            pu *= (good - up) * (draws - up) / ((up + 1) * (bad - draws + up + 1))
-            up += 1
-            u -= pu
-            if u <= 0:
-                return up
-        if down > low:
-            pd *= down * (bad - draws + down) / ((good - down + 1) * (draws - down + 1))
-            down -= 1
-            u -= pd
-            if u <= 0:
-                return down
-    return mode
+    mode = (draws + 1) * (good + 1) // (total + 2)
+    reach = int(_TAIL * (draws * (good / total) * (bad / total) * max(0, total - draws) / max(1, total - 1)) ** 0.5) + 40
+    low, high = max(0, draws - bad, mode - reach), min(good, draws, mode + reach)
+    k = np.arange(mode, high, dtype=np.float64)
+    up = np.cumprod((good - k) * (draws - k) / ((k + 1) * (bad - draws + k + 1)))
+    k = np.arange(mode, low, -1, dtype=np.float64)
+    down = np.cumprod(k * (bad - draws + k) / ((good - k + 1) * (draws - k + 1)))
+    weights = np.cumsum(np.concatenate((down[::-1], [1.0], up)))
+    return low + int(np.searchsorted(weights, rng.random() * weights[-1], side="right"))
 
 
 def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> list[list[int]]:
@@ -87,7 +78,8 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 40, seed: int = 42, id_co
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    slim = docs.coalesce(MAX_PARTITIONS).select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    slim = materialise(slim, "slim").coalesce(MAX_PARTITIONS)  # texts are read by all tasks of the scan, slim rows by fewer
     key = F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size")
     mixed = slim.sortWithinPartitions(key, "doc_id")  # the first permutation, without a shuffle
     place = F.monotonically_increasing_id()  # partition number, then place in it

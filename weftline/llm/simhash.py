@@ -1,25 +1,40 @@
-"""SimHash near-duplicates at two bits through a meeting of single-bit flips of whole codes."""
+"""SimHash near-duplicates by multi-index hashing: tables on fingerprint segments, small Hamming balls within a segment, and
+verified complete distances."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from weftline.llm.common import ASCII_LOWER, TEXT_BATCH, materialise, small
+from weftline.llm.common import ASCII_LOWER, fresh, in_batches, materialise, quoted, small
 from weftline.llm.components import connected_components
 
 SEED = 42
 #: For each byte value its eight bits, lowest first.
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-_LANES = (np.arange(8) * 256).astype(np.int64)
-_CHUNK = 1 << 16
-#: Fingerprints whose probes one task makes (65 each, combined in memory before the shuffle), and the most such tasks.
-CODES_PER_TASK, MOST_PARTS = 10_000, 20_000
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float32)
+_CHUNK = 1 << 12
+#: Fingerprints whose probes one task makes (about 18 each), and the most such tasks.
+CODES_PER_TASK, MOST_PARTS = 30_000, 20_000
+#: A table entry of more fingerprints is not paired up; its fingerprints take the path of ``flip_links``.
+CROWD = 64
+
+
+def _tokens(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()  # splits at \x20 and \x09-\x0D
+
+
+def _bit_counts(words: np.ndarray) -> np.ndarray:
+    """How many rows of ``words`` (rows, lanes: uint64) have each bit, lowest bit of the first lane first."""
+    wide = np.ascontiguousarray(words, "<u8").view(np.uint8).reshape(len(words), -1)
+    lanes = wide.shape[1]
+    seen = np.bincount((wide + (np.arange(lanes, dtype=np.int64) * 256)).ravel(), minlength=lanes * 256).reshape(lanes, 256)
+    return (seen.astype(np.float32) @ _BITS).ravel()  # exact: counts of a chunk are far below 2**24
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -27,7 +42,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
     A text of fewer words is one shingle; a text without words has fingerprint zero.
     """
-    tokens = (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()  # splits at \x20 and \x09-\x0D
+    tokens = _tokens(text)
     if not tokens:
         return 0
     if len(tokens) <= words:
@@ -36,14 +51,18 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
     starts = np.concatenate(([0], ends[:-words])).tolist()
     stops = (ends[words - 1 :] - 1).tolist()
-    n, total = len(starts), np.zeros(64, np.int64)
+    n, total = len(starts), np.zeros(64)
     for at in range(0, n, _CHUNK):
-        hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[at : at + _CHUNK], stops[at : at + _CHUNK], strict=True)], dtype="<u8")
-        seen = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _LANES).ravel(), minlength=2048).reshape(8, 256)
-        total += (seen @ _BITS).ravel()
+        total += _bit_counts(np.array([[xxh64_intdigest(joined[a:b], SEED)] for a, b in zip(starts[at : at + _CHUNK], stops[at : at + _CHUNK], strict=True)], np.uint64))
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, mark, text); id and mark (a hash of the text) name a row's content."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint of every whole text, as the signed long with the same bits."""
 
@@ -52,19 +71,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.fromiter((fingerprint(x.as_py(), words) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, fp long")
+    return in_batches(_slim(docs, id_col, text_col).drop("mark"), run, "doc_id long, fp long")
+
+
+#: Keys of a fingerprint in the tables of its two 32-bit segments. Of two codes within two bits either the upper segments
+#: agree, or the lower ones differ in one bit at most. Hence the upper segment is looked up as it is, and the lower one with
+#: its ball of radius one. Half a ball is enough: of two lower segments that differ in one bit one has it, and clears it.
+_SEGMENT_KEYS = (
+    "concat(array(shiftrightunsigned(fp, 32) | 4294967296L, fp & 4294967295L),"
+    " transform(filter(sequence(0, 31), i -> (shiftright(fp, i) & 1) = 1), i -> (fp & 4294967295L) ^ shiftleft(1L, i)))"
+)
 
 
-def hamming_links(prints: DataFrame) -> DataFrame:
-    """(x, y): a spanning set of the links between distinct fingerprints (column fp) at two or fewer differing bits.
+def flip_links(prints: DataFrame) -> DataFrame:
+    """(x, y): links that join all fingerprints (column fp) at two or fewer differing bits, without pairing up a group.
 
-    Each code and its 64 single-bit flips are keys of one table on whole codes. Two codes at distance two or less, and no
-    others, meet at such a key. This is exact for two bits only: it is not multi-index hashing, which keys tables by segment and
-    can raise the radius; at two bits that would fetch all codes with an equal segment, near or not, and verify them. A table entry
-    holds the codes that probed it as 64 bits (which bit each flipped) and a flag (the code itself), so the entry is combined
-    map-side and bounded by 65 codes however large a group of near copies is; all codes of an entry are linked to one of them
-    rather than pairwise, after their complete distance is verified.
+    The exact way for crowded table entries: each code and its 64 single-bit flips are keys on whole codes, and codes within
+    two bits meet there. An entry holds which bits its codes flipped as one 64-bit mask, so it is combined map-side and stands for
+    65 codes at most, however large the group; its codes are linked to one of them, after verification.
     """
     probes = prints.select(
         F.explode(
@@ -80,31 +104,260 @@ def hamming_links(prints: DataFrame) -> DataFrame:
     return hub.select("x", F.explode("codes").alias("y")).filter((F.col("x") != F.col("y")) & (F.expr("bit_count(x ^ y)") <= 2)).distinct()
 
 
+def hamming_links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(x, y): links that join all distinct fingerprints (column fp) at two or fewer differing bits.
+
+    Multi-index hashing: each code enters the tables of its segments and probes the small Hamming ball there (``_SEGMENT_KEYS``);
+    codes that share an entry are candidates, and the distance of the complete codes decides. Nearly all entries hold one code or
+    two, which the aggregation of the entries already gives as a pair. Larger ones are few; their codes are fetched again and paired,
+    and beyond ``crowd`` codes go to ``flip_links`` instead, so nothing is paired within a large group and no link is lost.
+    """
+    places = prints.select("fp", F.explode(F.expr(_SEGMENT_KEYS)).alias("key"))
+    entries = materialise(places.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("x"), F.max("fp").alias("y")).filter("n > 1"), "entries")
+    near = F.expr("bit_count(x ^ y)") <= 2
+    links = entries.filter(F.col("n") == 2).filter(near).select("x", "y")
+    larger = materialise(entries.filter("n > 2").select(F.col("key").alias("_key"), F.col("n").alias("_n")), "larger")
+    if larger.isEmpty():
+        return links.distinct()
+    held = materialise(places.join(small(larger), F.col("key") == F.col("_key")).select("key", "fp", "_n"), "held")
+    few = held.filter(F.col("_n") <= crowd)
+    pairs = few.select("key", F.col("fp").alias("x")).join(few.select(F.col("key").alias("_key"), F.col("fp").alias("y")), (F.col("key") == F.col("_key")) & (F.col("x") < F.col("y")))
+    links = links.union(pairs.filter(near).select("x", "y"))
+    many = held.filter(F.col("_n") > crowd).select("fp").distinct()
+    return links.union(flip_links(many)).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
     Fingerprints link at two or fewer differing bits and components are transitive. Copies of a fingerprint are one node, so a
     group of any number of exact copies costs one probe set. Null text and text without words have fingerprint zero and
     are linked like any other. Repeated rows come out once each. A null doc_id takes part as a document but never names a
-    component; a component of null ids only has a null component_id. An empty table gives an empty result.
+    component; a component of null ids only has a null component_id. An empty table gives an empty result. Other columns are ignored.
     """
-    prints = materialise(fingerprints(docs, id_col, text_col, words), "prints", TEXT_BATCH)
+    prints = materialise(fingerprints(docs, id_col, text_col, words), "prints")
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     parts = min(MOST_PARTS, nodes.count() // CODES_PER_TASK + 1)
     links = materialise(hamming_links(nodes.select("fp").repartition(parts)), "links")
-    groups = materialise(connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "groups")
-    rooted = nodes.join(small(groups.withColumnRenamed("node", "member")), F.col("fp") == F.col("member"), "left").select("fp", "node", F.coalesce("component", "fp").alias("root"))
-    rooted = materialise(rooted, "rooted")
-    least = materialise(rooted.groupBy("root").agg(F.min("node").alias("component_id")), "least")
-    final = materialise(rooted.join(least, "root").select(F.col("fp").alias("fp_"), "component_id"), "final")
-    return prints.join(small(final), F.col("fp") == F.col("fp_")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    final = _named(nodes.select(F.col("fp").alias("key"), "node"), links.toDF("a", "b"))
+    return prints.join(small(final), F.col("fp") == F.col("_key")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _named(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(_key, component_id) of every node (key, node: its smallest id): the smallest id that its links (a, b) reach."""
+    groups = materialise(connected_components(links).toDF("_node", "_root"), "groups")
+    rooted = materialise(nodes.join(small(groups), F.col("key") == F.col("_node"), "left").select("key", "node", F.coalesce("_root", "key").alias("root")), "rooted")
+    least = materialise(rooted.groupBy("root").agg(F.min("node").alias("component_id")).withColumnRenamed("root", "_root"), "least")
+    return materialise(rooted.join(small(least), F.col("root") == F.col("_root")).select(F.col("key").alias("_key"), "component_id"), "final")
+
+
+# --- documents of similar shingle sets ---------------------------------------------------------------------------------------
+
+#: Words of a shingle and the least Jaccard similarity of two texts' shingle sets that makes them near copies.
+WORDS, LEAST = 5, 0.8
+#: A pair at exactly that similarity is no candidate with this probability; it falls fast above it (1e-7 at 0.9).
+MISS = 1e-3
+#: Bits of a segment beyond the logarithm of the number of texts: unrelated texts rarely meet. At least, at most.
+SPARE_BITS, LEAST_WIDTH, MOST_WIDTH = 2, 12, 31
+#: Lanes of a fingerprint that are compared before its complete distance, and standard deviations that both bounds allow.
+SKETCH, SIGMAS = 2, 6.0
+#: Words whose hashes a worker keeps.
+CACHED = 200_000
+_PLACES = np.random.default_rng(SEED + 1).integers(1, 1 << 63, 64, np.uint64) | np.uint64(1)
+
+
+def bit_difference(least: float) -> float:
+    """The probability that a bit differs in the SimHashes of two sets of one size and that Jaccard similarity (sets of unequal
+    size are nearer): their indicator vectors enclose an angle of cosine 2 J / (1 + J)."""
+    return math.acos(2 * least / (1 + least)) / math.pi
+
+
+def layout(texts: int, least: float = LEAST, miss: float = MISS) -> tuple[int, int]:
+    """(segments, bits of each) for so many texts: a segment agrees with probability (1 - p) ** bits."""
+    width = min(MOST_WIDTH, max(LEAST_WIDTH, max(1, texts - 1).bit_length() + SPARE_BITS))
+    agree = (1 - bit_difference(least)) ** width
+    return max(1, math.ceil(math.log(miss) / math.log1p(-agree))) if agree < 1 else 1, width
+
+
+def most_bits(bits: int, least: float) -> int:
+    """The complete distance up to which two fingerprints can belong to sets of that similarity."""
+    p = bit_difference(least)
+    return min(bits, math.floor(bits * p + SIGMAS * math.sqrt(bits * p * (1 - p)) + 1))
+
+
+def shingle_hashes(text: str | None, words: int = WORDS, known: dict[bytes, int] | None = None) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's shingles, sorted. A text of fewer words is one shingle; one without words has none."""
+    tokens = _tokens(text)
+    if not tokens:
+        return np.empty(0, np.uint64)
+    known = {} if known is None else known
+    codes = list(map(known.get, tokens))
+    if None in codes:
+        if len(known) > CACHED:
+            known.clear()
+        for k in [k for k, c in enumerate(codes) if c is None]:
+            codes[k] = known[tokens[k]] = xxh64_intdigest(tokens[k], SEED)
+    code, width = np.array(codes, np.uint64), min(words, len(tokens))
+    n = len(code) - width + 1
+    mixed = np.zeros(n, np.uint64)
+    for k in range(width):
+        mixed += code[k : k + n] * _PLACES[k]
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(times)
+    return np.unique(mixed ^ (mixed >> np.uint64(31)))
+
+
+def set_key(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit name of a shingle set; the empty set is zero."""
+    return xxh64_intdigest(hashes.tobytes(), SEED) if len(hashes) else 0
+
+
+class LongSimHash:
+    """Fingerprints of several 64-bit lanes; a lane mixes each shingle's hash with a key of its own."""
+
+    def __init__(self, segments: int, width: int) -> None:
+        self.segments, self.width, self.lanes = segments, width, max(SKETCH, -(-segments * width // 64))
+        keys = np.random.default_rng(SEED).integers(1, 1 << 64, (2, self.lanes), np.uint64, endpoint=False)
+        self._xor, self._times = keys[0], keys[1] | np.uint64(1)
+        self._powers = (1 << np.arange(width)).astype(np.float64)
+        self._rows = max(1, (1 << 20) // (8 * self.lanes))
+
+    def of(self, hashes: np.ndarray) -> tuple[list[int], list[int]]:
+        """(lanes as signed longs, table keys: segment number and value)."""
+        if not len(hashes):
+            return [0] * self.lanes, []
+        total = np.zeros(64 * self.lanes)
+        for at in range(0, len(hashes), self._rows):
+            x = (hashes[at : at + self._rows, None] ^ self._xor) * self._times
+            total += _bit_counts(x ^ (x >> np.uint64(32)))
+        bits = 2 * total > len(hashes)
+        value = (bits[: self.segments * self.width].reshape(self.segments, self.width) @ self._powers).astype(np.int64)
+        return np.packbits(bits, bitorder="little").view("<i8").tolist(), (value | np.arange(self.segments) << self.width).tolist()
+
+
+def signatures(docs: DataFrame, shape: tuple[int, int], id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """(doc_id, mark, key, n, lanes, places) of every whole text: its shingle set's name, size, fingerprint and table keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        hasher = LongSimHash(*shape)
+        for batch in batches:
+            sets = [shingle_hashes(x.as_py(), words, known) for x in batch.column(2)]
+            keys, prints = np.array([set_key(s) for s in sets], np.uint64).view(np.int64), [hasher.of(s) for s in sets]
+            columns = [pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([p[c] for p in prints], pa.list_(pa.int64())) for c in (0, 1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "mark", "key", "n", "lanes", "places"])
+
+    return in_batches(_slim(docs, id_col, text_col), run, "doc_id long, mark long, key long, n long, lanes array<long>, places array<long>")
+
+
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """(key, hashes) of every whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            sets = [shingle_hashes(x.as_py(), words, known) for x in batch.column(1)]
+            keys = np.array([set_key(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "hashes"])
+
+    return in_batches(_slim(docs, id_col, text_col).drop("mark"), run, "key long, hashes array<long>")
+
+
+def _distance(a: str, b: str) -> Column:
+    """Differing bits of two arrays of lanes."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+
+
+class _Verifier:
+    """Decides candidate pairs: sizes and the first lanes, then the complete distance, then the exact similarity of the sets."""
+
+    def __init__(self, nodes: DataFrame, sets: DataFrame, bits: int, least: float) -> None:
+        self.nodes, self.sets, self.least = nodes, sets, least
+        self.sketch_most, self.most = most_bits(64 * SKETCH, least), most_bits(bits, least)
+
+    def _with(self, pairs: DataFrame, table: DataFrame, column: Column, at_once: bool) -> DataFrame:
+        one, two = (table.select(F.col("key").alias(f"_{c}"), column.alias(f"_{c}v")) for c in "ab")
+        if at_once:
+            one, two = small(one), small(two)
+        return pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
+
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` (a, b) whose sizes and first lanes allow the similarity."""
+        both = self._with(pairs, self.nodes, F.struct("n", F.slice("lanes", 1, SKETCH).alias("lanes")), True)
+        sizes = F.least("_av.n", "_bv.n") >= F.lit(self.least) * F.greatest("_av.n", "_bv.n") - 1e-9
+        return both.filter(sizes & (_distance("_av.lanes", "_bv.lanes") <= self.sketch_most)).select("a", "b")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` (distinct) of sets that have the similarity."""
+        close = self._with(pairs, self.nodes, F.col("lanes"), False).filter(_distance("_av", "_bv") <= self.most).select("a", "b")
+        both = self._with(close, self.sets, F.col("hashes"), False).withColumn("_common", F.size(F.array_intersect("_av", "_bv")))
+        return both.filter(F.col("_common") >= F.lit(self.least) * (F.size("_av") + F.size("_bv") - F.col("_common")) - 1e-9).select("a", "b")
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
+    """(doc_id, mark, component_id) of every row; see ``similar_documents``."""
+    segments, width = shape = layout(docs.count(), least)
+    prints = materialise(signatures(docs, shape, id_col, text_col, words), "signatures")
+    nodes = materialise(prints.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("lanes").alias("lanes"), F.first("places").alias("places")), "nodes")
+    places = nodes.select("key", F.explode("places").alias("place"))
+    entries = materialise(places.groupBy("place").agg(F.count("*").alias("crowd"), F.min("key").alias("a"), F.max("key").alias("b")).filter("crowd > 1"), "entries")
+    larger = materialise(entries.filter("crowd > 2").select(F.col("place").alias("_place"), "crowd"), "larger")
+    held = materialise(places.join(small(larger), F.col("place") == F.col("_place")).select("place", "key", "crowd"), "held")
+
+    slim = materialise(nodes.select("key", "n", "lanes"), "lanes")
+    check = _Verifier(slim, slim, 64 * LongSimHash(segments, width).lanes, least)
+    # An entry of two texts is a pair; in a larger one all are compared with the one that shares most and largest entries.
+    company = materialise(held.groupBy("key").agg(F.sum("crowd").alias("company")).withColumnRenamed("key", "_key"), "company")
+    hubs = held.join(small(company), F.col("key") == F.col("_key")).groupBy("place").agg(F.max(F.struct("company", "key")).alias("hub"))
+    hubs = materialise(hubs.select(F.col("place").alias("_place"), F.col("hub.key").alias("_hub")), "hubs")
+    star = held.join(small(hubs), F.col("place") == F.col("_place")).filter(F.col("key") != F.col("_hub")).select(F.least("_hub", "key").alias("a"), F.greatest("_hub", "key").alias("b"))
+    asked = materialise(check.likely(entries.filter("crowd = 2").select("a", "b").union(star).distinct()), "pairs")
+    wanted = materialise(asked.select(F.col("a").alias("_key")).union(asked.select("b")).union(held.select("key")).distinct(), "wanted")
+    texts = shingle_sets(docs, id_col, text_col, words)
+    check.sets = materialise(texts.join(small(wanted), F.col("key") == F.col("_key"), "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
+    first = materialise(check.links(asked), "links")
+
+    # What is in one component by now is connected; the rest of a larger entry is compared across components, without a bound.
+    groups = materialise(connected_components(first).toDF("_node", "_group"), "groups")
+    grouped = materialise(held.join(small(groups), F.col("key") == F.col("_node"), "left").select("place", "key", F.coalesce("_group", "key").alias("group")), "grouped")
+    split = grouped.groupBy("place").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).filter("_low != _high").select(F.col("place").alias("_place"))
+    rest = materialise(grouped.join(small(materialise(split, "split")), F.col("place") == F.col("_place"), "left_semi"), "rest")
+    lanes = slim.select(F.col("key").alias("_k"), "n", F.slice("lanes", 1, SKETCH).alias("lanes"))
+    rest = materialise(rest.join(small(lanes), F.col("key") == F.col("_k")).drop("_k"), "rest")
+    other = rest.select(*[F.col(c).alias(f"_{c}") for c in rest.columns])
+    fits = (F.least("n", "_n") >= F.lit(least) * F.greatest("n", "_n") - 1e-9) & (_distance("lanes", "_lanes") <= check.sketch_most)
+    across = rest.join(other, (F.col("place") == F.col("_place")) & (F.col("key") < F.col("_key")) & (F.col("group") != F.col("_group")) & fits)
+    second = materialise(check.links(materialise(across.select(F.col("key").alias("a"), F.col("_key").alias("b")).distinct(), "pairs")), "links")
+    final = _named(nodes.select("key", "node"), first.union(second))
+    return prints.select("doc_id", "mark", "key").join(small(final), F.col("key") == F.col("_key")).select("doc_id", "mark", "component_id")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """(doc_id, component_id) of every document: the smallest doc_id reachable over near copies.
+
+    Documents are near copies if their sets of ``words``-word shingles have a Jaccard similarity of ``least`` and more; components
+    are transitive. Equal sets are one node, and all texts without words are one. 64 bits do not reach a similarity of 0.8 (such
+    pairs differ in about ten bits, some in twenty), so the fingerprint is longer here: ``layout`` gives as many segments as
+    leave a pair at ``least`` without a common one with probability ``MISS``, each wide enough that unrelated texts seldom meet.
+    Candidates are verified by the complete distance and then by the exact similarity.
+
+    A text of fewer words is one shingle. Repeated rows come out once each; a null doc_id takes part but names no component. An
+    empty table gives an empty result. Other columns are ignored.
+    """
+    return _similar(docs, id_col, text_col, words, least).select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the document that names its component and without the others of it, columns unchanged.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
+    """``docs`` with one document of each component of ``similar_documents``, columns unchanged.
 
-    Rows with a null id stay.
+    The document with the component's smallest id stays; if several texts of the component have that id, the one with the
+    smallest hash of its text. Repeats of the row that stays (one id, one text) stay with it. A row goes only for its own id and text:
+    other texts under an id that goes are not touched. Rows with a null id stay.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    gone = materialise(found.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near")
-    return docs.join(small(gone), F.col(id_col) == F.col("_gone"), "left_anti").select(*docs.columns)
+    found = materialise(_similar(docs, id_col, text_col, words, least).filter("doc_id IS NOT NULL"), "found")
+    stays = materialise(found.groupBy("component_id").agg(F.min(F.when(F.col("doc_id") == F.col("component_id"), F.col("mark"))).alias("_least")).withColumnRenamed("component_id", "_component"), "stays")
+    judged = found.join(small(stays), F.col("component_id") == F.col("_component"))
+    gone_id, gone_mark, mark = fresh(docs, "gone", "gone_mark", "mark")
+    gone = judged.filter((F.col("doc_id") != F.col("component_id")) | (F.col("mark") != F.col("_least"))).select(F.col("doc_id").alias(gone_id), F.col("mark").alias(gone_mark)).distinct()
+    marked = docs.withColumn(mark, F.xxhash64(F.col(text_col).cast("string")))
+    return marked.join(small(materialise(gone, "gone")), (F.col(id_col) == F.col(gone_id)) & (F.col(mark) == F.col(gone_mark)), "left_anti").select(*quoted(docs.columns))

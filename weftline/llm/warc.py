@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import TEXT_BATCH, materialise, shared_path, small
+from weftline.llm.common import in_batches, materialise, shared_path, small
 
 #: Payloads of at least this many bytes are stored once; later ones refer to it.
 REVISIT_BYTES = 1000
@@ -74,6 +74,9 @@ def capture_records(page: int | None, place: str, url: str | None, payload: byte
 
 
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path, by pyarrow; Hadoop's names for S3 are taken as that."""
+    for name in ("s3a://", "s3n://"):
+        path = "s3://" + path.removeprefix(name) if path.startswith(name) else path
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
@@ -127,7 +130,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             done.append((f"{folder}/{name}", rows, size))
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), *(pa.array([d[c] for d in done], pa.int64()) for c in (1, 2))], names=["path", "records", "bytes"])
 
-    return materialise(joined.mapInArrow(run, _MANIFEST), "manifest", TEXT_BATCH)
+    return materialise(in_batches(joined, run, _MANIFEST), "manifest")
 
 
 def _members(stream: pa.NativeFile, step: int = 1 << 20) -> Iterator[bytes]:
@@ -140,10 +143,13 @@ def _members(stream: pa.NativeFile, step: int = 1 << 20) -> Iterator[bytes]:
         return
     inflate, data = zlib.decompressobj(31), first
     while data:
-        yield inflate.decompress(data)
-        data = inflate.unused_data
+        yield inflate.decompress(data, step)
+        data = inflate.unconsumed_tail or inflate.unused_data
         if inflate.eof:
             inflate = zlib.decompressobj(31)
+        elif not data:  # the inner buffer may still hold output of input that is used up
+            while part := inflate.decompress(b"", step):
+                yield part
         if not data:
             data = stream.read(step)
 
@@ -168,7 +174,8 @@ class _Reader(io.RawIOBase):
 
 
 def parse_records(source: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record; an incomplete last record ends the file."""
+    """(headers with lower-case names, block) of each record. An incomplete last record ends the file; it comes out with what
+    there is of its block and the type ``truncated``."""
     while line := source.readline():
         if not line.strip():
             continue
@@ -180,9 +187,7 @@ def parse_records(source: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], b
             headers[name.strip().lower()] = value.strip()
         size = int(headers.get("content-length", 0))
         block = source.read(size)
-        if len(block) < size:
-            return
-        yield headers, block
+        yield headers | {"warc-type": "truncated"} if len(block) < size else headers, block
 
 
 def _row(headers: dict[str, str], block: bytes) -> dict:
@@ -207,7 +212,8 @@ _ARROW = pa.schema(
 
 
 def read_archives(manifest: DataFrame, with_payload: bool = True, rows_at_once: int = 256) -> DataFrame:
-    """One row per record of the files named in column ``path``, streamed record by record (plain or gzipped).
+    """One row per record of the files named in column ``path``, streamed record by record (plain or gzipped); the incomplete last
+    record of a cut file has the type ``truncated`` and belongs to no capture.
 
     Without payloads that column is null (sizes and digests are still those of the bytes read).
     """
@@ -230,7 +236,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = True, rows_at_once:
                         yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     dealt = manifest.select("path").repartition(min(files, 10_000)) if files > 1 else manifest.select("path")
-    return dealt.mapInArrow(run, _RECORD)
+    return in_batches(dealt, run, _RECORD)
 
 
 def assemble_transactions(records: DataFrame) -> DataFrame:
@@ -268,6 +274,9 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """
     manifest = write_archives(pages, folder or shared_path(pages.sparkSession, "warc"), id_col, url_col, html_col)
     records = materialise(read_archives(manifest, with_payload=False), "records")
+    written, read = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], records.filter("type <> 'truncated'").count()
+    if written != read:
+        raise RuntimeError(f"{written} records were written, {read} read back")
     return assemble_transactions(records)
 
 
