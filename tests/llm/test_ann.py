@@ -73,3 +73,22 @@ def test_odd_vectors_few_candidates_and_none(spark):
     assert {q: [i for _, i, _ in v] for q, v in got.items()} == {0: [1, 50], 50: [1, 0]}
     assert abs(got[0][0][2] - math.sqrt(0.5)) < 1e-15 and got[0][1][2] == 0
     assert nearest_neighbours(df.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("block", [4, 16384])
+def test_repeated_ids_do_not_crowd_others_out(spark, monkeypatch, block):
+    monkeypatch.setattr("weftline.llm.ann.BLOCK", block)
+    rng = np.random.default_rng(2)
+    rows = [(7, (np.array([1.0, 0.1, 0, 0]) + rng.normal(0, 0.01, 4)).tolist()) for _ in range(8)] + [(101 + k, rng.normal(0, 1, 4).tolist()) for k in range(6)] + [(0, [1.0, 0.0, 0.0, 0.0])]
+    got = found(nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))[0]
+    best = {}
+    for i, v in rows[:-1]:
+        best[i] = max(best.get(i, -9), v[0] / float(np.sqrt(np.dot(v, v))))
+    want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
+    assert [(i, round(s, 9)) for _, i, s in got] == [(i, round(s, 9)) for i, s in want]
+
+
+def test_huge_and_tiny_vectors(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e200]), (2, [1e-200, 0.0]), (3, [0.0, 1e-300]), (4, [-1e300, 1e300])]
+    got = found(nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))[0]
+    assert [i for _, i, _ in got] == [2, 1, 3, 4] and np.allclose([s for *_, s in got], [1, math.sqrt(0.5), 0, -math.sqrt(0.5)])

@@ -75,3 +75,18 @@ def test_svm_separates():
     svm = fit_svm(x, y)
     assert all(np.sign(svm.margin(v)) == k for v, k in zip(x, y, strict=True))
     assert fit([]).predict("abc") == (UNDETERMINED, 0.0)
+
+
+def test_numerals_are_no_letters():
+    from weftline.llm.language_id import has_letter
+
+    assert not any(map(has_letter, ["½", "²³", "Ⅷ", "12 _!", "", "١٢"])) and all(map(has_letter, ["ʰ", "ª", "中", "é", "1a"]))
+
+
+def test_repeated_ids_teach_the_same_in_every_run(spark):
+    rows = [(i % 40, f"{'the and of' if k else 'der und die'} {i}", "en" if k else "de") for i in range(400) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    from weftline.llm.language_id import identify_languages
+
+    one, two = (sorted(tuple(r) for r in identify_languages(d).collect()) for d in (df, df.repartition(6)))
+    assert one == two

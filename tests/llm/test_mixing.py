@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from weftline.llm.mixing import mix, mixed_documents, pivotal_step, round_source, settle_large
+from weftline.llm.mixing import mix, mixed_documents, numbered, pivotal_step, round_source, settle_large
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -115,3 +115,37 @@ def test_mixed_documents_take_effect(spark):
     out = mixed_documents(df)
     assert out.columns == df.columns
     assert Counter(r.doc_id for r in out.collect()) == +taken
+
+
+def test_repeated_ids_come_out_as_often_as_decided(spark):
+    rows = [(7, "a b c", "s")] * 6 + [(7, "a b c d", "s"), (7, "a b c d", "t"), (None, "x y", "s"), (None, "x y", "s"), (None, "x y", None), (8, "p q", "t"), (9, "", "t")]
+    df = spark.createDataFrame([(*r, "1", 2, 3) for r in rows], "doc_id long, text string, source string, _copies string, _id int, _n int").repartition(5)
+    decided = Counter()
+    for r in mix(df).collect():
+        decided[r.doc_id, r.source, r.size] += r.copies if r.size else 1
+    for docs in (df, df.repartition(3)):
+        out = mixed_documents(docs)
+        assert out.columns == df.columns
+        got = out.collect()
+        assert Counter((r.doc_id, r.source, len(r.text.split())) for r in got) == +decided
+        assert {(r._copies, r._id, r._n) for r in got} == {("1", 2, 3)}
+
+
+def test_numbers_of_equal_rows_are_gapless(spark):
+    df = spark.createDataFrame([(k % 3, k) for k in range(100)], "key long, x long").repartition(7)
+    got = numbered(df, ["key"], "at").collect()
+    assert len(got) == 100 and all(sorted(r["at"] for r in got if r.key == k) == list(range(sum(x % 3 == k for x in range(100)))) for k in range(3))
+
+
+def test_a_hot_repeated_row_spreads_over_leaves(spark, monkeypatch):
+    monkeypatch.setattr("weftline.llm.mixing.ROWS_PER_LEAF", 50)
+    rows = [(1, "a b", "s")] * 300 + [(2 + k, "c d e", "t") for k in range(300)]
+    got = mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    check(rows, got)
+
+
+def test_many_sources(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, "w " * int(rng.integers(1, 9)) * (1 + 40 * (i % 97 == 0)), f"host{int(rng.integers(0, 200)):04d}") for i in range(700)]
+    got = mix(spark.createDataFrame(rows, SCHEMA).repartition(6)).collect()
+    check(rows, got)

@@ -99,3 +99,24 @@ def test_sequences_hold_the_ids(spark):
 
 def test_empty(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_tokenizer_that_splits_otherwise_encodes_whole_texts(spark):
+    import json
+
+    from weftline.llm.packing import WordEncoder, splits_as_known
+
+    with open(default_tokenizer(), encoding="utf-8") as f:
+        definition = json.load(f)
+    assert splits_as_known(json.dumps(definition))
+    definition["normalizer"]["normalizers"] = definition["normalizer"]["normalizers"][:2]  # keeps capitals
+    other = json.dumps(definition)
+    assert not splits_as_known(other)
+    texts = ["The Cat sat. THE END", "plain words", ""]
+    plain = Tokenizer.from_str(other)
+    assert WordEncoder(other).encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", 5, "x"), (1, "a b", 5, "x")], "doc_id long, text string, rid int, `group` string")
+    assert sorted((r.doc_id, r.offset) for r in pack_documents(df).collect()) == [(1, 0), (1, 3)]

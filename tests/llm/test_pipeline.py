@@ -10,10 +10,32 @@ import corpus_pipeline
 from weftline.llm.common import materialise
 from weftline.llm.mixing import mix
 from weftline.llm.packing import default_tokenizer
-from weftline.llm.simhash import fingerprint
 from weftline.llm.toxicity import score_toxicity
 
 
+def near_copies(rows):
+    """{id: smallest id reachable} over texts whose sets of five-word shingles have a Jaccard similarity of 0.8 and more."""
+    sets = {}
+    for i, t in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", norm(t))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    order = sorted(sets)
+    for k, a in enumerate(order):
+        for b in order[k + 1 :]:
+            common = len(sets[a] & sets[b])
+            if 10 * common >= 8 * (len(sets[a]) + len(sets[b]) - common):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
 def norm(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
 
@@ -40,21 +62,8 @@ def test_stages_against_brute_force(spark, sf):
     assert sorted(r.doc_id for r in after.collect()) == sorted(best.values())
 
     before, after = kept["near_dedup"]
-    prints = {r.doc_id: fingerprint(r.text) for r in before.collect()}
-    root = {i: i for i in prints}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    order = sorted(prints)
-    for k, a in enumerate(order):
-        for b in order[k + 1 :]:
-            if (prints[a] ^ prints[b]).bit_count() <= 2:
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    assert sorted(r.doc_id for r in after.collect()) == sorted({find(i) for i in prints})
+    rows = [(r.doc_id, r.text) for r in before.collect()]
+    assert sorted(r.doc_id for r in after.collect()) == sorted(set(near_copies(rows).values()))
 
     before, after = kept["mixing"]
     taken = Counter({r.doc_id: r.copies if r.size else 1 for r in mix(before).collect()})
@@ -83,3 +92,24 @@ def test_stages_on_odd_rows(spark, sf):
         for name, stage in corpus_pipeline.STAGES:
             docs = materialise(stage(spark, docs, sf), name)
         docs.collect()
+
+
+def test_repeated_ids_lose_no_text_and_no_column(spark, sf):
+    """Rows that share an id but not a text are documents of their own in every stage, whatever other columns are called."""
+    def words(k, n=60):
+        return " ".join(f"w{k}x{j}" for j in range(n))
+
+    rows = [(1, words(1)), (5, words(1) + " tail"), (5, words(2)), (5, words(3)), (1, words(4)), (None, words(5)), (None, words(5)), (7, words(6)), (7, words(6).upper())]
+    odd = ["_gone", "_gone_id", "_digest", "_id", "_n", "_toxicity", "_mark", "_g1", "_COPIES", "rid", "source", "lang", "n_chars"]
+    df = spark.createDataFrame([(i, t, *["z"] * len(odd)) for i, t in rows], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in odd))
+    docs, seen = df, {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = materialise(stage(spark, docs, sf), name)
+        assert docs.columns == df.columns and {r[c] for r in docs.collect() for c in odd} == {"z"}
+        seen[name] = Counter((r.doc_id, norm(r.text)) for r in docs.collect())
+    plain = Counter((i, norm(t)) for i, t in rows)
+    assert seen["toxicity"] == plain
+    assert seen["exact_dedup"] == Counter({k: 1 for k in plain})
+    left = Counter({k: 1 for k in plain if k != (5, norm(words(1) + " tail"))})
+    assert seen["near_dedup"] == left  # the copy goes, the other texts under its id stay
+    assert set(seen["mixing"]) <= set(left) and all(n <= 3 for n in seen["mixing"].values())

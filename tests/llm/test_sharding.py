@@ -46,3 +46,27 @@ def test_large_draws_follow_the_law(monkeypatch):
     x = np.array([hypergeometric(rng, 60, 140, 50) for _ in range(4000)])
     assert abs(x.mean() - 15) < 0.2 and abs(x.var() - 50 * 0.3 * 0.7 * 150 / 199) < 0.6
     assert hypergeometric(rng, 0, 5, 3) == 0 and hypergeometric(rng, 4, 0, 3) == 3
+
+
+def test_draws_beyond_a_thousand_million(monkeypatch):
+    """Means and variances of the law where numpy's sampler ends, and agreement with it just below."""
+    rng, n = np.random.default_rng(1), 4000
+    for good, bad, draws in ((3 * 10**9, 10**12, 10**6), (10**10, 4 * 10**11, 3 * 10**7), (5 * 10**9, 5 * 10**9, 4 * 10**9)):
+        x, total = np.array([hypergeometric(rng, good, bad, draws) for _ in range(n if draws < 10**8 else 300)], float), good + bad
+        mean, var = draws * good / total, draws * (good / total) * (bad / total) * (total - draws) / (total - 1)
+        assert abs(x.mean() - mean) < 5 * (var / len(x)) ** 0.5 and 0.8 < x.var() / var < 1.25
+    small = np.array([rng.hypergeometric(10**8, 8 * 10**8, 10**4) for _ in range(n)])
+    monkeypatch.setattr("weftline.llm.sharding._NUMPY_MOST", 0)
+    mine = np.array([hypergeometric(rng, 10**8, 8 * 10**8, 10**4) for _ in range(n)])
+    assert np.abs(np.quantile(small, [0.05, 0.5, 0.95]) - np.quantile(mine, [0.05, 0.5, 0.95])).max() < 4
+
+
+def test_law_of_a_small_table(spark):
+    """Every row reaches every shard about equally often over seeds: the shuffle is uniform."""
+    df = spark.range(12).selectExpr("id AS doc_id", "'t' AS text", "'x' AS shard", "1 AS slot").repartition(3).cache()
+    seen = np.zeros((12, 3))
+    for seed in range(25):
+        for r in shuffle_into_shards(df, 3, seed).collect():
+            seen[r.doc_id, r.shard] += 1
+    assert seen.sum() == 300 and np.abs(seen - 25 / 3).max() < 9
+    df.unpersist()

@@ -99,16 +99,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sampled_keys(rows: DataFrame, key: str, label: str, per_class: int) -> DataFrame:
-    """(key, label): of each class about ``per_class`` distinct keys and rarely more, those whose hash lies below a bound that
-    follows from the class's number of distinct keys (an estimate, which needs no shuffle of keys); a small class whole.
+    """(key, label): of each class the ``per_class`` distinct keys of the smallest hash.
 
-    No rows are ranked: the choice is a filter, whatever the number of partitions or repeats of a key. The few keys that pass
-    are made distinct.
+    The class's number of distinct keys (an estimate, which needs no shuffle of keys) gives a hash below which about three times
+    ``per_class`` of them lie. Only these are made distinct, and the smallest are picked on the driver, from a number of keys that
+    depends on ``per_class`` and the classes alone; no task ranks a class.
     """
     sizes = materialise(rows.groupBy(label).agg(F.approx_count_distinct(key, 0.02).alias("_n")).withColumnRenamed(label, "_label"), "classes")
-    place, aim = F.xxhash64(key) / F.lit(float(1 << 64)) + 0.5, per_class - 2 * per_class**0.5
-    low = rows.select(key, label).join(small(sizes), F.col(label) == F.col("_label"))
-    return low.filter((F.col("_n") <= aim) | (place * F.col("_n") < aim)).select(key, label).distinct()
+    place = F.xxhash64(key) / F.lit(float(1 << 64)) + 0.5
+    low = rows.select(key, label).join(small(sizes), F.col(label) == F.col("_label")).filter(place * F.col("_n") < 3 * per_class + 50)
+    of: dict = {}
+    for r in low.select(F.xxhash64(key).alias("_hash"), key, label).distinct().collect():
+        of.setdefault(r[label], []).append((r["_hash"], r[key]))
+    chosen = [(k, c) for c in of for _, k in sorted(of[c])[:per_class]]
+    return rows.sparkSession.createDataFrame(chosen, rows.select(key, label).schema)
 
 
 #: A text of more bytes is not learned from in a sample that goes to the driver.
@@ -116,11 +120,11 @@ SAMPLE_TEXT_BYTES = 1 << 16
 
 
 def bounded_sample(rows: DataFrame, texts: DataFrame, key: str, label: str, per_class: int, most_bytes: int = SAMPLE_TEXT_BYTES) -> DataFrame:
-    """(key, label, text): about ``per_class`` rows of each class (``sampled_keys``) with their whole texts of at most ``most_bytes``.
+    """(key, label, text): at most ``per_class`` rows of each class (``sampled_keys``) with their whole texts of at most ``most_bytes``.
 
     So the sample is bounded in rows and bytes. The chosen keys are few (classes x per_class) and are broadcast, texts stay
     where they are. Of rows that repeat a key with different texts the smallest text is taken, in every run.
     """
-    chosen = materialise(sampled_keys(rows, key, label, per_class), "chosen")
+    chosen = sampled_keys(rows, key, label, per_class)
     fit = texts.filter(F.octet_length("text") <= most_bytes).join(F.broadcast(chosen), [key, label] if label in texts.columns else [key])
     return fit.groupBy(key, label).agg(F.min("text").alias("text"))

@@ -145,7 +145,7 @@ def fit(samples: list[tuple[str, str]]) -> LanguageModel:
 
 
 def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """A model of about ``per_language`` labelled texts of each language, none of them of the held-out fold, none longer than
+    """A model of at most ``per_language`` labelled texts of each language, none of them of the held-out fold, none longer than
     ``SAMPLE_TEXT_BYTES``; of rows that repeat an id the smallest (text, language) is taken."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.filter("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL")
@@ -169,7 +169,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 def identify_languages(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
-    The model is fitted on the driver from a bounded sample (about ``per_language`` texts of each language, by hash of the id,
+    The model is fitted on the driver from a bounded sample (``per_language`` texts of each language, by hash of the id,
     outside the held-out fold: ids whose crc32 as text leaves 2 modulo 4); every whole text is then scored where it lies, without a
     shuffle. Language, source and id are never inputs of a prediction.
 

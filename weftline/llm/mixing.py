@@ -226,7 +226,8 @@ def mixed_documents(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", tex
     same = (F.col(g1) == F.col(c1)) & (F.col(g2) == F.col(c2))
     taken = chosen.select(F.col("g1").alias(c1), F.col("g2").alias(c2), F.col("j").alias(cj), F.col("copies").cast("int").alias(each))
     several = materialise(taken.filter(F.col(cj) > 0).select(c1, c2).distinct(), "several")
-    once = taken.join(small(several.toDF("_c1", "_c2")), (F.col(c1) == F.col("_c1")) & (F.col(c2) == F.col("_c2")), "left_anti")
+    d1, d2 = fresh(taken, "d1", "d2")
+    once = taken.join(small(several.toDF(d1, d2)), (F.col(c1) == F.col(d1)) & (F.col(c2) == F.col(d2)), "left_anti")
     out = marked.join(small(materialise(once.filter(F.col(each) > 0), "once")), same)
     if not several.isEmpty():
         again = numbered(marked.join(small(several), same, "left_semi"), [g1, g2], j)

@@ -144,11 +144,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _named(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(_key, component_id) of every node (key, node: its smallest id): the smallest id that its links (a, b) reach."""
+    """(_key, root, component_id) of every node (key, node: its smallest id): a name of its component by the links (a, b), which is
+    unique where ids repeat, and the smallest id in it."""
     groups = materialise(connected_components(links).toDF("_node", "_root"), "groups")
     rooted = materialise(nodes.join(small(groups), F.col("key") == F.col("_node"), "left").select("key", "node", F.coalesce("_root", "key").alias("root")), "rooted")
     least = materialise(rooted.groupBy("root").agg(F.min("node").alias("component_id")).withColumnRenamed("root", "_root"), "least")
-    return materialise(rooted.join(small(least), F.col("root") == F.col("_root")).select(F.col("key").alias("_key"), "component_id"), "final")
+    return materialise(rooted.join(small(least), F.col("root") == F.col("_root")).select(F.col("key").alias("_key"), "root", "component_id"), "final")
 
 
 # --- documents of similar shingle sets ---------------------------------------------------------------------------------------
@@ -295,7 +296,7 @@ class _Verifier:
 
 
 def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
-    """(doc_id, mark, component_id) of every row; see ``similar_documents``."""
+    """(doc_id, mark, root, component_id) of every row; see ``similar_documents``."""
     segments, width = shape = layout(docs.count(), least)
     prints = materialise(signatures(docs, shape, id_col, text_col, words), "signatures")
     nodes = materialise(prints.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("lanes").alias("lanes"), F.first("places").alias("places")), "nodes")
@@ -329,7 +330,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, least: flo
     across = rest.join(other, (F.col("place") == F.col("_place")) & (F.col("key") < F.col("_key")) & (F.col("group") != F.col("_group")) & fits)
     second = materialise(check.links(materialise(across.select(F.col("key").alias("a"), F.col("_key").alias("b")).distinct(), "pairs")), "links")
     final = _named(nodes.select("key", "node"), first.union(second))
-    return prints.select("doc_id", "mark", "key").join(small(final), F.col("key") == F.col("_key")).select("doc_id", "mark", "component_id")
+    return prints.select("doc_id", "mark", "key").join(small(final), F.col("key") == F.col("_key")).select("doc_id", "mark", "root", "component_id")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
@@ -355,8 +356,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     other texts under an id that goes are not touched. Rows with a null id stay.
     """
     found = materialise(_similar(docs, id_col, text_col, words, least).filter("doc_id IS NOT NULL"), "found")
-    stays = materialise(found.groupBy("component_id").agg(F.min(F.when(F.col("doc_id") == F.col("component_id"), F.col("mark"))).alias("_least")).withColumnRenamed("component_id", "_component"), "stays")
-    judged = found.join(small(stays), F.col("component_id") == F.col("_component"))
+    stays = materialise(found.groupBy("root").agg(F.min(F.when(F.col("doc_id") == F.col("component_id"), F.col("mark"))).alias("_least")).withColumnRenamed("root", "_root"), "stays")
+    judged = found.join(small(stays), F.col("root") == F.col("_root"))
     gone_id, gone_mark, mark = fresh(docs, "gone", "gone_mark", "mark")
     gone = judged.filter((F.col("doc_id") != F.col("component_id")) | (F.col("mark") != F.col("_least"))).select(F.col("doc_id").alias(gone_id), F.col("mark").alias(gone_mark)).distinct()
     marked = docs.withColumn(mark, F.xxhash64(F.col(text_col).cast("string")))
