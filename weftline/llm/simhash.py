@@ -156,8 +156,8 @@ def _named(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 #: Words of a shingle and the least Jaccard similarity of two texts' shingle sets that makes them near copies.
 WORDS, LEAST = 5, 0.8
-#: A pair at exactly that similarity is no candidate with this probability; it falls fast above it (1e-7 at 0.9).
-MISS = 1e-3
+#: A pair at exactly that similarity is no candidate with this probability; it falls fast above it (1e-10 at 0.9).
+MISS = 1e-4
 #: Bits of a segment beyond the logarithm of the number of texts: unrelated texts rarely meet. At least, at most.
 SPARE_BITS, LEAST_WIDTH, MOST_WIDTH = 2, 12, 31
 #: Lanes of a fingerprint that are compared before its complete distance, and standard deviations that both bounds allow.
@@ -214,41 +214,42 @@ def set_key(hashes: np.ndarray) -> int:
 
 
 class LongSimHash:
-    """Fingerprints of several 64-bit lanes; a lane mixes each shingle's hash with a key of its own."""
+    """Fingerprints of several 64-bit lanes, each with as many whole segments as it holds; a lane mixes each shingle's hash with a
+    key of its own."""
 
     def __init__(self, segments: int, width: int) -> None:
-        self.segments, self.width, self.lanes = segments, width, max(SKETCH, -(-segments * width // 64))
+        self.segments, self.width, self.per_lane = segments, width, 64 // width
+        self.lanes = max(SKETCH, -(-segments // self.per_lane))
         keys = np.random.default_rng(SEED).integers(1, 1 << 64, (2, self.lanes), np.uint64, endpoint=False)
         self._xor, self._times = keys[0], keys[1] | np.uint64(1)
-        self._powers = (1 << np.arange(width)).astype(np.float64)
         self._rows = max(1, (1 << 20) // (8 * self.lanes))
 
-    def of(self, hashes: np.ndarray) -> tuple[list[int], list[int]]:
-        """(lanes as signed longs, table keys: segment number and value)."""
-        if not len(hashes):
-            return [0] * self.lanes, []
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """The lanes as signed longs."""
         total = np.zeros(64 * self.lanes)
         for at in range(0, len(hashes), self._rows):
             x = (hashes[at : at + self._rows, None] ^ self._xor) * self._times
             total += _bit_counts(x ^ (x >> np.uint64(32)))
-        bits = 2 * total > len(hashes)
-        value = (bits[: self.segments * self.width].reshape(self.segments, self.width) @ self._powers).astype(np.int64)
-        return np.packbits(bits, bitorder="little").view("<i8").tolist(), (value | np.arange(self.segments) << self.width).tolist()
+        return np.packbits(2 * total > len(hashes), bitorder="little").view("<i8")
 
+    def places(self, lanes: str) -> Column:
+        """Table keys of a column of lanes: each segment's number and value."""
+        lane, shift, mask = f"cast(s div {self.per_lane} AS int)", f"cast(s % {self.per_lane} * {self.width} AS int)", (1 << self.width) - 1
+        return F.expr(f"transform(sequence(0, {self.segments - 1}), s -> (shiftrightunsigned({lanes}[{lane}], {shift}) & {mask}L) | shiftleft(cast(s AS bigint), {self.width}))")
 
-def signatures(docs: DataFrame, shape: tuple[int, int], id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, mark, key, n, lanes, places) of every whole text: its shingle set's name, size, fingerprint and table keys."""
+
+def signatures(docs: DataFrame, hasher: LongSimHash, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """(doc_id, mark, key, n, lanes) of every whole text: its shingle set's name, size and fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        hasher = LongSimHash(*shape)
         for batch in batches:
             sets = [shingle_hashes(x.as_py(), words, known) for x in batch.column(2)]
-            keys, prints = np.array([set_key(s) for s in sets], np.uint64).view(np.int64), [hasher.of(s) for s in sets]
-            columns = [pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([p[c] for p in prints], pa.list_(pa.int64())) for c in (0, 1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "mark", "key", "n", "lanes", "places"])
+            keys = np.array([set_key(s) for s in sets], np.uint64).view(np.int64)
+            columns = [pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), pa.array([hasher.of(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "mark", "key", "n", "lanes"])
 
-    return in_batches(_slim(docs, id_col, text_col), run, "doc_id long, mark long, key long, n long, lanes array<long>, places array<long>")
+    return in_batches(_slim(docs, id_col, text_col), run, "doc_id long, mark long, key long, n long, lanes array<long>")
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -269,67 +270,68 @@ def _distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
 
 
-class _Verifier:
-    """Decides candidate pairs: sizes and the first lanes, then the complete distance, then the exact similarity of the sets."""
+def _close(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """``pairs`` (a, b) whose sizes and first lanes allow the similarity, each once."""
+    one, two = (small(nodes.select(F.col("key").alias(f"_{c}"), F.col("n").alias(f"_n{c}"), F.col("head").alias(f"_h{c}"))) for c in "ab")
+    both = pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
+    sizes = F.least("_na", "_nb") >= F.lit(least) * F.greatest("_na", "_nb") - 1e-9
+    return both.filter(sizes & (_distance("_ha", "_hb") <= most_bits(64 * SKETCH, least))).select("a", "b").distinct()
 
-    def __init__(self, nodes: DataFrame, sets: DataFrame, bits: int, least: float) -> None:
-        self.nodes, self.sets, self.least = nodes, sets, least
-        self.sketch_most, self.most = most_bits(64 * SKETCH, least), most_bits(bits, least)
 
-    def _with(self, pairs: DataFrame, table: DataFrame, column: Column, at_once: bool) -> DataFrame:
-        one, two = (table.select(F.col("key").alias(f"_{c}"), column.alias(f"_{c}v")) for c in "ab")
-        if at_once:
-            one, two = small(one), small(two)
-        return pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
+def _links(pairs: DataFrame, wanted: DataFrame, bits: int, least: float) -> DataFrame:
+    """``pairs`` (a, b) of sets that have the similarity: by the complete distance, then exactly. ``wanted``: key, lanes, hashes."""
+    far = _distance("_al", "_bl") > most_bits(bits, least)
+    one, two = (wanted.select(F.col("key").alias(f"_{c}"), F.col("lanes").alias(f"_{c}l"), F.col("hashes").alias(f"_{c}s")) for c in "ab")
+    both = pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b")).filter(~far).withColumn("_common", F.size(F.array_intersect("_as", "_bs")))
+    return both.filter(F.col("_common") >= F.lit(least) * (F.size("_as") + F.size("_bs") - F.col("_common")) - 1e-9).select("a", "b")
 
-    def likely(self, pairs: DataFrame) -> DataFrame:
-        """``pairs`` (a, b) whose sizes and first lanes allow the similarity."""
-        both = self._with(pairs, self.nodes, F.struct("n", F.slice("lanes", 1, SKETCH).alias("lanes")), True)
-        sizes = F.least("_av.n", "_bv.n") >= F.lit(self.least) * F.greatest("_av.n", "_bv.n") - 1e-9
-        return both.filter(sizes & (_distance("_av.lanes", "_bv.lanes") <= self.sketch_most)).select("a", "b")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """``pairs`` (distinct) of sets that have the similarity."""
-        close = self._with(pairs, self.nodes, F.col("lanes"), False).filter(_distance("_av", "_bv") <= self.most).select("a", "b")
-        both = self._with(close, self.sets, F.col("hashes"), False).withColumn("_common", F.size(F.array_intersect("_av", "_bv")))
-        return both.filter(F.col("_common") >= F.lit(self.least) * (F.size("_av") + F.size("_bv") - F.col("_common")) - 1e-9).select("a", "b")
+#: Texts of a table entry that are paired up; in a larger one all are compared with one of them first.
+PAIRED = 8
 
 
 def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
     """(doc_id, mark, root, component_id) of every row; see ``similar_documents``."""
-    segments, width = shape = layout(docs.count(), least)
-    prints = materialise(signatures(docs, shape, id_col, text_col, words), "signatures")
-    nodes = materialise(prints.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("lanes").alias("lanes"), F.first("places").alias("places")), "nodes")
-    places = nodes.select("key", F.explode("places").alias("place"))
-    entries = materialise(places.groupBy("place").agg(F.count("*").alias("crowd"), F.min("key").alias("a"), F.max("key").alias("b")).filter("crowd > 1"), "entries")
-    larger = materialise(entries.filter("crowd > 2").select(F.col("place").alias("_place"), "crowd"), "larger")
-    held = materialise(places.join(small(larger), F.col("place") == F.col("_place")).select("place", "key", "crowd"), "held")
-
-    slim = materialise(nodes.select("key", "n", "lanes"), "lanes")
-    check = _Verifier(slim, slim, 64 * LongSimHash(segments, width).lanes, least)
-    # An entry of two texts is a pair; in a larger one all are compared with the one that shares most and largest entries.
-    company = materialise(held.groupBy("key").agg(F.sum("crowd").alias("company")).withColumnRenamed("key", "_key"), "company")
-    hubs = held.join(small(company), F.col("key") == F.col("_key")).groupBy("place").agg(F.max(F.struct("company", "key")).alias("hub"))
+    hasher = LongSimHash(*layout(docs.count(), least))
+    prints = materialise(signatures(docs, hasher, id_col, text_col, words), "signatures")
+    nodes = prints.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), *[F.first(F.col("lanes")[k]).alias(f"h{k}") for k in range(SKETCH)])
+    nodes = materialise(nodes.select("key", "node", "n", F.array(*[f"h{k}" for k in range(SKETCH)]).alias("head")), "nodes")
+    places = prints.filter("n > 0").select("key", F.explode(hasher.places("lanes")).alias("place"))
+    entries = materialise(places.groupBy("place").agg(F.count("*").alias("crowd"), F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b"), "entries")
+    larger = materialise(entries.filter("crowd > 2").select(F.col("place").alias("_place")), "larger")
+    held = places.join(small(larger), F.col("place") == F.col("_place")).select("place", "key").distinct()
+    held = materialise(held, "held")
+    crowds = materialise(held.groupBy("place").agg(F.count("*").alias("crowd")).filter(F.col("crowd") > PAIRED).withColumnRenamed("place", "_place"), "crowds")
+    few = held.join(small(crowds), F.col("place") == F.col("_place"), "left_anti")
+    pairs = few.withColumnRenamed("key", "a").join(few.select(F.col("place").alias("_place"), F.col("key").alias("b")), (F.col("place") == F.col("_place")) & (F.col("a") < F.col("b"))).select("a", "b")
+    pairs = pairs.union(entries.filter("crowd = 2").select("a", "b"))
+    # In a crowded entry all texts are compared with the one that shares most and largest entries.
+    many = materialise(held.join(small(crowds), F.col("place") == F.col("_place")).select("place", "key", "crowd"), "many")
+    company = many.groupBy("key").agg(F.sum("crowd").alias("company")).withColumnRenamed("key", "_key")
+    hubs = many.join(small(materialise(company, "company")), F.col("key") == F.col("_key")).groupBy("place").agg(F.max(F.struct("company", "key")).alias("hub"))
     hubs = materialise(hubs.select(F.col("place").alias("_place"), F.col("hub.key").alias("_hub")), "hubs")
-    star = held.join(small(hubs), F.col("place") == F.col("_place")).filter(F.col("key") != F.col("_hub")).select(F.least("_hub", "key").alias("a"), F.greatest("_hub", "key").alias("b"))
-    asked = materialise(check.likely(entries.filter("crowd = 2").select("a", "b").union(star).distinct()), "pairs")
-    wanted = materialise(asked.select(F.col("a").alias("_key")).union(asked.select("b")).union(held.select("key")).distinct(), "wanted")
-    texts = shingle_sets(docs, id_col, text_col, words)
-    check.sets = materialise(texts.join(small(wanted), F.col("key") == F.col("_key"), "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
-    first = materialise(check.links(asked), "links")
-
-    # What is in one component by now is connected; the rest of a larger entry is compared across components, without a bound.
-    groups = materialise(connected_components(first).toDF("_node", "_group"), "groups")
-    grouped = materialise(held.join(small(groups), F.col("key") == F.col("_node"), "left").select("place", "key", F.coalesce("_group", "key").alias("group")), "grouped")
+    star = many.join(small(hubs), F.col("place") == F.col("_place")).filter(F.col("key") != F.col("_hub")).select(F.least("_hub", "key").alias("a"), F.greatest("_hub", "key").alias("b"))
+    asked = materialise(_close(pairs.union(star.distinct()), nodes, least), "pairs")
+
+    keys = materialise(asked.select(F.col("a").alias("_key")).union(asked.select("b")).union(many.select("key")).distinct(), "wanted")
+    texts = shingle_sets(docs, id_col, text_col, words).join(small(keys), F.col("key") == F.col("_key"), "left_semi").dropDuplicates(["key"])
+    lanes = prints.select(F.col("key").alias("_k"), "lanes").join(small(keys), F.col("_k") == F.col("_key"), "left_semi").dropDuplicates(["_k"])
+    wanted = materialise(texts.join(lanes, F.col("key") == F.col("_k")).select("key", "lanes", "hashes"), "sets")
+    bits = 64 * hasher.lanes
+    links = materialise(_links(asked, wanted, bits, least), "links")
+
+    # What is in one component by now is connected; the rest of a crowded entry is compared across components, without a bound.
+    groups = materialise(connected_components(links).toDF("_node", "_group"), "groups")
+    grouped = materialise(many.join(small(groups), F.col("key") == F.col("_node"), "left").select("place", "key", F.coalesce("_group", "key").alias("group")), "grouped")
     split = grouped.groupBy("place").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).filter("_low != _high").select(F.col("place").alias("_place"))
-    rest = materialise(grouped.join(small(materialise(split, "split")), F.col("place") == F.col("_place"), "left_semi"), "rest")
-    lanes = slim.select(F.col("key").alias("_k"), "n", F.slice("lanes", 1, SKETCH).alias("lanes"))
-    rest = materialise(rest.join(small(lanes), F.col("key") == F.col("_k")).drop("_k"), "rest")
-    other = rest.select(*[F.col(c).alias(f"_{c}") for c in rest.columns])
-    fits = (F.least("n", "_n") >= F.lit(least) * F.greatest("n", "_n") - 1e-9) & (_distance("lanes", "_lanes") <= check.sketch_most)
-    across = rest.join(other, (F.col("place") == F.col("_place")) & (F.col("key") < F.col("_key")) & (F.col("group") != F.col("_group")) & fits)
-    second = materialise(check.links(materialise(across.select(F.col("key").alias("a"), F.col("_key").alias("b")).distinct(), "pairs")), "links")
-    final = _named(nodes.select("key", "node"), first.union(second))
+    rest = grouped.join(small(materialise(split, "split")), F.col("place") == F.col("_place"), "left_semi").join(small(nodes.select(F.col("key").alias("_k"), "n", "head")), F.col("key") == F.col("_k"))
+    rest = materialise(rest.select("place", "key", "group", "n", "head"), "rest")
+    if not rest.isEmpty():
+        other = rest.select(*[F.col(c).alias(f"_{c}") for c in rest.columns])
+        fits = (F.least("n", "_n") >= F.lit(least) * F.greatest("n", "_n") - 1e-9) & (_distance("head", "_head") <= most_bits(64 * SKETCH, least))
+        across = rest.join(other, (F.col("place") == F.col("_place")) & (F.col("key") < F.col("_key")) & (F.col("group") != F.col("_group")) & fits)
+        links = links.union(_links(materialise(across.select(F.col("key").alias("a"), F.col("_key").alias("b")).distinct(), "pairs"), wanted, bits, least))
+    final = _named(nodes.select("key", "node"), links)
     return prints.select("doc_id", "mark", "key").join(small(final), F.col("key") == F.col("_key")).select("doc_id", "mark", "root", "component_id")
 
 
