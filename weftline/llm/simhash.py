@@ -297,14 +297,17 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, least: flo
     nodes = prints.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), *[F.first(F.col("lanes")[k]).alias(f"h{k}") for k in range(SKETCH)])
     nodes = materialise(nodes.select("key", "node", "n", F.array(*[f"h{k}" for k in range(SKETCH)]).alias("head")), "nodes")
     places = prints.filter("n > 0").select("key", F.explode(hasher.places("lanes")).alias("place"))
-    entries = materialise(places.groupBy("place").agg(F.count("*").alias("crowd"), F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b"), "entries")
-    larger = materialise(entries.filter("crowd > 2").select(F.col("place").alias("_place")), "larger")
+    entries = materialise(places.groupBy("place").agg(F.count("*").alias("crowd"), F.min("key").alias("a"), F.max("key").alias("b"), F.expr("bit_xor(key)").alias("x")).filter("a < b"), "entries")
+    larger = materialise(entries.filter("crowd > 3").select(F.col("place").alias("_place")), "larger")
     held = places.join(small(larger), F.col("place") == F.col("_place")).select("place", "key").distinct()
     held = materialise(held, "held")
     crowds = materialise(held.groupBy("place").agg(F.count("*").alias("crowd")).filter(F.col("crowd") > PAIRED).withColumnRenamed("place", "_place"), "crowds")
     few = held.join(small(crowds), F.col("place") == F.col("_place"), "left_anti")
     pairs = few.withColumnRenamed("key", "a").join(few.select(F.col("place").alias("_place"), F.col("key").alias("b")), (F.col("place") == F.col("_place")) & (F.col("a") < F.col("b"))).select("a", "b")
-    pairs = pairs.union(entries.filter("crowd = 2").select("a", "b"))
+    # An entry of two or three texts needs no second look: the third is what the others leave of all three keys.
+    pairs = pairs.union(entries.filter("crowd <= 3").select("a", "b"))
+    third = entries.filter("crowd = 3").select("a", "b", F.expr("x ^ a ^ b").alias("c")).filter("c != a AND c != b")
+    pairs = pairs.union(third.select("a", "c")).union(third.select(F.col("c").alias("a"), "b"))
     # In a crowded entry all texts are compared with the one that shares most and largest entries.
     many = materialise(held.join(small(crowds), F.col("place") == F.col("_place")).select("place", "key", "crowd"), "many")
     company = many.groupBy("key").agg(F.sum("crowd").alias("company")).withColumnRenamed("key", "_key")
