@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline import schemas
-
 
 def with_defaults(records: DataFrame, now: datetime | None = None, client_ip: str = "", user_agent: str = "") -> DataFrame:
     """Records of any subset of the fields in the store's shape: empty texts, 0 for numbers, helpful as 0 or 1, the request's
@@ -128,19 +127,28 @@ def stats_view(store: DataFrame) -> DataFrame:
 
 
 def delete(store: str, spark: SparkSession, row_id: int) -> bool:
-    """Rewrite the day that holds the row without it; whether there was one."""
+    """Rewrite the day that holds the row without it; whether there was one.
+
+    The rewrite is complete before the day's folder moves aside, and that is removed only once the rewrite has its name: whenever
+    a step fails, one whole version of the day is there, under its own name or a hidden one beside it.
+    """
     df = spark.read.parquet(store)
     day = by_id(df, row_id).select("created_on").first()
     if day is None:
         return False
     kept = df.filter((F.col("created_on") == day[0]) & (F.col("id") != row_id)).drop("created_on")
     target = f"{store}/created_on={day[0]}"
-    fresh = f"{store}/.rewrite-{row_id}"
+    fresh = f"{store}/.rewrite-{uuid.uuid4().hex}"
     kept.write.mode("overwrite").parquet(fresh)
     jvm = spark._jvm.org.apache.hadoop.fs
     fs = jvm.Path(store).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(jvm.Path(target), True)
-    fs.rename(jvm.Path(fresh), jvm.Path(target))
+    aside = f"{store}/.replaced-{uuid.uuid4().hex}"
+    if not fs.rename(jvm.Path(target), jvm.Path(aside)):
+        raise RuntimeError(f"{target} could not be moved aside")
+    if not fs.rename(jvm.Path(fresh), jvm.Path(target)):
+        fs.rename(jvm.Path(aside), jvm.Path(target))
+        raise RuntimeError(f"{fresh} could not take the place of {target}")
+    fs.delete(jvm.Path(aside), True)
     spark.catalog.refreshByPath(store)
     return True
 
@@ -149,6 +157,3 @@ def export(store: DataFrame, path: str) -> int:
     """All rows as JSON lines, newest first; how many."""
     listing(store, -1).write.mode("overwrite").json(path)
     return store.count()
-
-
-assert schemas.FEEDBACK  # the shape that ``with_defaults`` and ``append`` produce

@@ -20,7 +20,7 @@ from weftline.functions import urls as U
 from weftline.operators import corpus, crawl, dedup, evaluate, feedback, gazetteer, location, reports, retrieval, training
 from weftline.plans import analyze as plans
 from weftline.sources import readers, sinks
-from weftline.sources.workspace import shared_path, ship
+from weftline.sources.workspace import shared_path, ship, spread
 from weftline.streaming import flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -290,7 +290,7 @@ def fn14_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH s AS (SELECT doc_id, regexp_extract_all(text, '(?:The )?[^,.|]{0,20}(?:tion|keit|eau)') AS xs FROM documents), " + _distinct_sql("s", "doc_id", "xs", "snippets"))
 def fn15_distinct_snippets(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "documents").select("doc_id", piped(X.distinct_matches(F.col("text"), "(?:The )?[^,.|]{0,20}(?:tion|keit|eau)")).alias("snippets"))
+    return spread(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", piped(X.distinct_matches(F.col("text"), "(?:The )?[^,.|]{0,20}(?:tion|keit|eau)")).alias("snippets"))
 
 
 # --- place functions ---------------------------------------------------------------------------------------------------------
