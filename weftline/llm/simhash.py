@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -286,6 +286,26 @@ def _links(pairs: DataFrame, wanted: DataFrame, bits: int, least: float) -> Data
     return both.filter(F.col("_common") >= F.lit(least) * (F.size("_as") + F.size("_bs") - F.col("_common")) - 1e-9).select("a", "b")
 
 
+def _across(wanted: DataFrame, rest: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of different groups of ``rest`` (_key, _group) that can have the similarity, each once; none that has it is left out.
+
+    A text's shingles are put in one order for all, rarest first. Of two texts that have the similarity the first shingle they share is
+    followed, in either, by all others they share, so it stands early enough in both. Edited copies of one text and texts around one
+    passage begin with what few others hold; so they seldom meet, where their fingerprints always do.
+    """
+    shingles = wanted.join(small(rest), F.col("key") == F.col("_key")).select("key", F.col("_group").alias("group"), F.size("hashes").alias("n"), F.explode("hashes").alias("hash"))
+    held = shingles.groupBy("hash").agg(F.count("*").alias("_held"), (F.min("group") != F.max("group")).alias("_shared"))
+    held = materialise(held.filter("_held > 1").withColumnRenamed("hash", "_hash"), "held")
+    order = Window.partitionBy("key").orderBy(F.coalesce("_held", F.lit(1)), "hash")
+    places = shingles.join(small(held), F.col("hash") == F.col("_hash"), "left").withColumn("left", F.col("n") - F.row_number().over(order) + 1)
+    early = materialise(places.filter(F.col("_shared") & (F.col("left") >= F.lit(least) * F.col("n") - 1e-6)).select("hash", "key", "group", "n", "left"), "early")
+    other = early.select(*[F.col(c).alias(f"_{c}") for c in early.columns])
+    sizes = (F.col("n") >= F.lit(least) * F.col("_n") - 1e-6) & ((F.col("n") < F.col("_n")) | ((F.col("n") == F.col("_n")) & (F.col("key") < F.col("_key"))))
+    common = F.least("left", "_left") >= F.lit(least / (1 + least)) * (F.col("n") + F.col("_n")) - 1e-6
+    met = early.join(other, (F.col("hash") == F.col("_hash")) & (F.col("group") != F.col("_group")) & sizes & common)
+    return met.select(F.least("key", "_key").alias("a"), F.greatest("key", "_key").alias("b")).distinct()
+
+
 #: Texts of a table entry that are paired up; in a larger one all are compared with one of them first.
 PAIRED = 8
 
@@ -327,13 +347,10 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, least: flo
     groups = materialise(connected_components(links).toDF("_node", "_group"), "groups")
     grouped = materialise(many.join(small(groups), F.col("key") == F.col("_node"), "left").select("place", "key", F.coalesce("_group", "key").alias("group")), "grouped")
     split = grouped.groupBy("place").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).filter("_low != _high").select(F.col("place").alias("_place"))
-    rest = grouped.join(small(materialise(split, "split")), F.col("place") == F.col("_place"), "left_semi").join(small(nodes.select(F.col("key").alias("_k"), "n", "head")), F.col("key") == F.col("_k"))
-    rest = materialise(rest.select("place", "key", "group", "n", "head"), "rest")
+    rest = grouped.join(small(materialise(split, "split")), F.col("place") == F.col("_place"), "left_semi").select("key", "group").distinct()
+    rest = materialise(rest.withColumnsRenamed({"key": "_key", "group": "_group"}), "rest")
     if not rest.isEmpty():
-        other = rest.select(*[F.col(c).alias(f"_{c}") for c in rest.columns])
-        fits = (F.least("n", "_n") >= F.lit(least) * F.greatest("n", "_n") - 1e-9) & (_distance("head", "_head") <= most_bits(64 * SKETCH, least))
-        across = rest.join(other, (F.col("place") == F.col("_place")) & (F.col("key") < F.col("_key")) & (F.col("group") != F.col("_group")) & fits)
-        links = links.union(_links(materialise(across.select(F.col("key").alias("a"), F.col("_key").alias("b")).distinct(), "pairs"), wanted, bits, least))
+        links = links.union(_links(materialise(_across(wanted, rest, least), "pairs"), wanted, bits, least))
     final = _named(nodes.select("key", "node"), links)
     return prints.select("doc_id", "mark", "key").join(small(final), F.col("key") == F.col("_key")).select("doc_id", "mark", "root", "component_id")
 
