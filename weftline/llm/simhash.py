@@ -349,6 +349,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, least: flo
     split = grouped.groupBy("place").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).filter("_low != _high").select(F.col("place").alias("_place"))
     rest = grouped.join(small(materialise(split, "split")), F.col("place") == F.col("_place"), "left_semi").select("key", "group").distinct()
     rest = materialise(rest.withColumnsRenamed({"key": "_key", "group": "_group"}), "rest")
+    links = groups.select(F.col("_node").alias("a"), F.col("_group").alias("b"))  # the components found so far, by one link a text
     if not rest.isEmpty():
         links = links.union(_links(materialise(_across(wanted, rest, least), "pairs"), wanted, bits, least))
     final = _named(nodes.select("key", "node"), links)
