@@ -3,7 +3,7 @@ from itertools import combinations
 import numpy as np
 
 import corpus_pipeline
-from weftline.llm.simhash import shingle_hashes, similar_documents
+from weftline.llm.simhash import PAIRED, LongSimHash, candidates, most_bits, shingle_hashes, signatures, similar_documents
 
 SCHEMA = "doc_id long, text string"
 
@@ -74,3 +74,29 @@ def test_repeats_nulls_and_empty(spark):
     assert got == [(-1, -1), (-1, 1), (1, 1), (1, 1), (5, 1)]
     assert similar_documents(df.filter("false")).count() == 0
     assert len(shingle_hashes("a b c d e f")) == 2 and len(shingle_hashes("a b")) == 1 and len(shingle_hashes(" ")) == 0
+
+
+def test_packed_tables_give_every_pair_of_an_entry(spark):
+    """Small blocks and many ranges of values: the pairs and crowded entries are those of the tables entry by entry."""
+    rng = np.random.default_rng(8)
+    rows = planted(rng)
+    crowd = rng.choice([f"c{i}" for i in range(500)], 120).tolist()
+    rows += [(1000 + k, " ".join([*crowd, f"own{k}"])) for k in range(30)] + [(2000 + k, rows[k][1]) for k in range(10)]
+    hasher = LongSimHash(20, 14)
+    prints = signatures(spark.createDataFrame(rows, SCHEMA).repartition(4), hasher).filter("n > 0").cache()
+    got = candidates(prints, hasher, len(rows), 0.8, texts_a_task=20, block=25).collect()
+    known = {r.key: r for r in prints.collect()}
+    entries = {}
+    for key, r in known.items():
+        for s in range(20):
+            value = ((r.lanes[s // 4] & (1 << 64) - 1) >> (s % 4 * 14)) & (1 << 14) - 1
+            entries.setdefault(value | s << 14, []).append(key)
+
+    def allowed(a, b):
+        bits = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a.lanes[:2], b.lanes[:2], strict=True))
+        return min(a.n, b.n) >= 0.8 * max(a.n, b.n) - 1e-9 and bits <= most_bits(128, 0.8)
+
+    pairs = {(a, b) for held in entries.values() if len(held) <= PAIRED for a, b in combinations(sorted(held), 2) if allowed(known[a], known[b])}
+    assert {(r.a, r.b) for r in got if r.place is None} == pairs and len(pairs) > 100
+    assert sorted(r.place for r in got if r.place is not None) == sorted(p for p, held in entries.items() if len(held) > PAIRED)
+    assert any(len(held) > PAIRED for held in entries.values())

@@ -232,6 +232,11 @@ class LongSimHash:
             total += _bit_counts(x ^ (x >> np.uint64(32)))
         return np.packbits(2 * total > len(hashes), bitorder="little").view("<i8")
 
+    def segment(self, lanes: np.ndarray, number: int) -> np.ndarray:
+        """The values of one segment in rows of unsigned lanes."""
+        shift = np.uint64(number % self.per_lane * self.width)
+        return (lanes[:, number // self.per_lane] >> shift) & np.uint64((1 << self.width) - 1)
+
     def places(self, lanes: str) -> Column:
         """Table keys of a column of lanes: each segment's number and value."""
         lane, shift, mask = f"cast(s div {self.per_lane} AS int)", f"cast(s % {self.per_lane} * {self.width} AS int)", (1 << self.width) - 1
@@ -308,6 +313,106 @@ def _across(wanted: DataFrame, rest: DataFrame, least: float) -> DataFrame:
 
 #: Texts of a table entry that are paired up; in a larger one all are compared with one of them first.
 PAIRED = 8
+#: Segments whose tables one task holds, texts it holds of them, and texts of one message to it.
+SEGMENTS_A_TASK, TEXTS_A_TASK, TEXTS_A_BLOCK = 16, 1 << 20, 1 << 14
+_BLOCK = "slot long, keys binary, sizes binary, heads binary, rows binary, entries binary, counts binary"
+
+
+def _rank_in_run(ordered: np.ndarray) -> np.ndarray:
+    """How many equal values stand before each value of a sorted array."""
+    first = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(ordered) else np.empty(0, bool)
+    at = np.arange(len(ordered))
+    return at - np.maximum.accumulate(np.where(first, at, 0))
+
+
+def _blocks(prints: DataFrame, hasher: LongSimHash, ranges: int, block: int) -> DataFrame:
+    """Table entries on their way to tasks, packed by block of texts: a task (slot) holds ``SEGMENTS_A_TASK`` segments and one of
+    ``ranges`` ranges of their values, and gets each text's name, size and first lanes once beside its entries there. Of one entry a block
+    sends one text more than are paired up, which is enough to tell that it is crowded."""
+    names = [f.split()[0] for f in _BLOCK.split(", ")]
+
+    def pack(keys: np.ndarray, sizes: np.ndarray, lanes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keys, one = np.unique(keys, return_index=True)
+        sizes, lanes = sizes[one].astype("<i4"), lanes[one]
+        for group, start in enumerate(range(0, hasher.segments, SEGMENTS_A_TASK)):
+            parts = []
+            for s in range(start, min(start + SEGMENTS_A_TASK, hasher.segments)):
+                values = hasher.segment(lanes, s)
+                order = np.argsort(values, kind="stable")
+                order = order[_rank_in_run(values[order]) <= PAIRED]
+                parts.append((np.full(len(order), s - start), order, values[order]))
+            segment, row, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+            slot = (value * np.uint64(ranges)) >> np.uint64(hasher.width)
+            order = np.argsort(slot, kind="stable")
+            for mine in np.split(order, np.flatnonzero(np.diff(slot[order])) + 1):
+                used, at = np.unique(row[mine], return_inverse=True)
+                counts = np.bincount(segment[mine], minlength=SEGMENTS_A_TASK)
+                packed = [keys[used], sizes[used], lanes[used, :SKETCH], at.astype("<u4"), value[mine].astype("<u4"), counts.astype("<u4")]
+                columns = [pa.array([group * ranges + int(slot[mine[0]])], pa.int64()), *[pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in packed]]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            if batch.num_rows:
+                lanes = batch.column(2).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, hasher.lanes)
+                waiting.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), lanes))
+            if sum(len(w[0]) for w in waiting) >= block:
+                yield from pack(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+                waiting = []
+        if waiting:
+            yield from pack(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+
+    return in_batches(prints.filter("n > 0").select("key", "n", "lanes"), run, _BLOCK)
+
+
+def candidates(prints: DataFrame, hasher: LongSimHash, texts: int, least: float, texts_a_task: int = TEXTS_A_TASK, block: int = TEXTS_A_BLOCK) -> DataFrame:
+    """(a, b, place) of ``prints`` (key, n, lanes): pairs that share an entry and whose sizes and first lanes allow the similarity, with
+    a null place; and, with null keys, the places of entries of over ``PAIRED`` keys, which are not paired up here.
+
+    An entry travels as a value and a row number (8 bytes), and a text's name, size and first lanes once for ``SEGMENTS_A_TASK``
+    of its segments. The values of a segment are dealt over more tasks as the number of ``texts`` grows, so that a task's share stays.
+    """
+    ranges = -(-max(1, texts) // texts_a_task)
+    allowed, width = most_bits(64 * SKETCH, least), np.uint64(hasher.width)
+
+    def meet(table: pa.Table) -> pa.Table:
+        def column(name: str, dtype: str) -> list[np.ndarray]:
+            return [np.frombuffer(x.as_py(), dtype) for x in table.column(name)]
+
+        first = table.column("slot")[0].as_py() // ranges * SEGMENTS_A_TASK
+        held = column("keys", "<i8")
+        keys, one, node = np.unique(np.concatenate(held), return_index=True, return_inverse=True)
+        sizes, heads = np.concatenate(column("sizes", "<i4"))[one], np.concatenate(column("heads", "<u8")).reshape(-1, SKETCH)[one]
+        offsets = np.cumsum([0, *map(len, held)])
+        rows = [r.astype(np.int64) + o for r, o in zip(column("rows", "<u4"), offsets[:-1], strict=True)]
+        values, counts = column("entries", "<u4"), column("counts", "<u4")
+        ends = [np.cumsum([0, *c.tolist()]) for c in counts]
+        found, crowded = [], []
+        for k in range(SEGMENTS_A_TASK):
+            mine = [(values[b][e[k] : e[k + 1]], rows[b][e[k] : e[k + 1]]) for b, e in enumerate(ends)]
+            value, row = (np.concatenate(x) for x in zip(*mine, strict=True))
+            if not len(value):
+                continue
+            entry = np.unique((value.astype(np.uint64) << np.uint64(32)) | node[row].astype(np.uint64))
+            value, text = entry >> np.uint64(32), (entry & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            _, at, run = np.unique(value, return_inverse=True, return_counts=True)
+            paired = run[at] <= PAIRED
+            crowded.append(np.unique(value[~paired]) | (np.uint64(first + k) << width))
+            value, text = value[paired], text[paired]
+            for gap in range(1, PAIRED):
+                same = np.flatnonzero(value[gap:] == value[:-gap])
+                a, b = text[same], text[same + gap]
+                small_n, large_n = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+                near = (small_n >= least * large_n - 1e-9) & (np.bitwise_count(heads[a] ^ heads[b]).sum(axis=1) <= allowed)
+                found.append((a[near] << 32) | b[near])
+        pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        places = np.concatenate(crowded).view(np.int64) if crowded else np.empty(0, np.int64)
+        nothing = [pa.nulls(len(places), pa.int64())]
+        a, b = (pa.chunked_array([pa.array(keys[x]), *nothing]) for x in (pairs >> 32, pairs & 0xFFFFFFFF))
+        return pa.table({"a": a, "b": b, "place": pa.chunked_array([pa.nulls(len(pairs), pa.int64()), pa.array(places)])})
+
+    return _blocks(prints, hasher, ranges, block).groupBy("slot").applyInArrow(meet, "a long, b long, place long")
 
 
 def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
@@ -316,25 +421,19 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, least: flo
     prints = materialise(signatures(docs, hasher, id_col, text_col, words), "signatures")
     nodes = prints.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), *[F.first(F.col("lanes")[k]).alias(f"h{k}") for k in range(SKETCH)])
     nodes = materialise(nodes.select("key", "node", "n", F.array(*[f"h{k}" for k in range(SKETCH)]).alias("head")), "nodes")
+    met = materialise(candidates(prints, hasher, nodes.count(), least), "met")
+    pairs = met.filter("place IS NULL").select("a", "b").distinct()
+    crowds = materialise(met.filter("place IS NOT NULL").select(F.col("place").alias("_place")), "crowds")
     places = prints.filter("n > 0").select("key", F.explode(hasher.places("lanes")).alias("place"))
-    entries = materialise(places.groupBy("place").agg(F.count("*").alias("crowd"), F.min("key").alias("a"), F.max("key").alias("b"), F.expr("bit_xor(key)").alias("x")).filter("a < b"), "entries")
-    larger = materialise(entries.filter("crowd > 3").select(F.col("place").alias("_place")), "larger")
-    held = places.join(small(larger), F.col("place") == F.col("_place")).select("place", "key").distinct()
-    held = materialise(held, "held")
-    crowds = materialise(held.groupBy("place").agg(F.count("*").alias("crowd")).filter(F.col("crowd") > PAIRED).withColumnRenamed("place", "_place"), "crowds")
-    few = held.join(small(crowds), F.col("place") == F.col("_place"), "left_anti")
-    pairs = few.withColumnRenamed("key", "a").join(few.select(F.col("place").alias("_place"), F.col("key").alias("b")), (F.col("place") == F.col("_place")) & (F.col("a") < F.col("b"))).select("a", "b")
-    # An entry of two or three texts needs no second look: the third is what the others leave of all three keys.
-    pairs = pairs.union(entries.filter("crowd <= 3").select("a", "b"))
-    third = entries.filter("crowd = 3").select("a", "b", F.expr("x ^ a ^ b").alias("c")).filter("c != a AND c != b")
-    pairs = pairs.union(third.select("a", "c")).union(third.select(F.col("c").alias("a"), "b"))
+    held = materialise(places.join(small(crowds), F.col("place") == F.col("_place")).select("place", "key").distinct(), "held")
     # In a crowded entry all texts are compared with the one that shares most and largest entries.
-    many = materialise(held.join(small(crowds), F.col("place") == F.col("_place")).select("place", "key", "crowd"), "many")
+    crowd = held.groupBy("place").agg(F.count("*").alias("crowd")).withColumnRenamed("place", "_place")
+    many = materialise(held.join(small(materialise(crowd, "crowd")), F.col("place") == F.col("_place")).select("place", "key", "crowd"), "many")
     company = many.groupBy("key").agg(F.sum("crowd").alias("company")).withColumnRenamed("key", "_key")
     hubs = many.join(small(materialise(company, "company")), F.col("key") == F.col("_key")).groupBy("place").agg(F.max(F.struct("company", "key")).alias("hub"))
     hubs = materialise(hubs.select(F.col("place").alias("_place"), F.col("hub.key").alias("_hub")), "hubs")
     star = many.join(small(hubs), F.col("place") == F.col("_place")).filter(F.col("key") != F.col("_hub")).select(F.least("_hub", "key").alias("a"), F.greatest("_hub", "key").alias("b"))
-    asked = materialise(_close(pairs.union(star.distinct()), nodes, least), "pairs")
+    asked = materialise(pairs.union(_close(star.distinct(), nodes, least)).distinct(), "pairs")
 
     keys = materialise(asked.select(F.col("a").alias("_key")).union(asked.select("b")).union(many.select("key")).distinct(), "wanted")
     texts = shingle_sets(docs, id_col, text_col, words).join(small(keys), F.col("key") == F.col("_key"), "left_semi").dropDuplicates(["key"])
