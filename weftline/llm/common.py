@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -31,10 +32,25 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(_ARROW_ROWS, str(TEXT_BATCH))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again for other work, and what one task freed adds to the next one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``df.mapInArrow`` after ``prepare``."""
+    """``df.mapInArrow`` after ``prepare``; a task gives its memory back at its end."""
     prepare(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(whole, schema)
 
 
 @contextlib.contextmanager
