@@ -7,6 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.llm import codes
 from weftline.llm.common import prepare, table
 
 
@@ -70,6 +71,12 @@ def op10_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.codes import compress_vectors
+
+    return compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def _prepared(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,10 +99,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pivotal_mixing,
         op9_hypergeometric_sharding,
         op10_ownership_secrets,
+        op11_vector_code_compression,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_vector_code_compression": codes.oracle(),
     "op5_warc_transactions": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
         k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS keep FROM p)
