@@ -77,6 +77,12 @@ def op11_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.lines import line_dedup_digests
+
+    return line_dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def _prepared(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,11 +106,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_hypergeometric_sharding,
         op10_ownership_secrets,
         op11_vector_code_compression,
+        op12_line_dedup,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op11_vector_code_compression": codes.oracle(),
+    "op12_line_dedup": """
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT r, doc_id, i, lines[i] AS line, translate(trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+          FROM t, unnest(range(1, len(lines) + 1)) AS u(i)),
+        m AS (SELECT *, length(k) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY k) AS gone FROM l)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY r, doc_id""",
     "op5_warc_transactions": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
         k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS keep FROM p)
