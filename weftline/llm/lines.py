@@ -32,7 +32,8 @@ def text_name(text: Column) -> Column:
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST) -> DataFrame:
     """(key, doc, name, pos): a 16-byte digest for each line whose key has ``least`` code points or more. Texts stay behind."""
-    lines = docs.select(F.col(id_col).alias("doc"), text_name(F.col(text_col)).alias("name"), F.posexplode(text_lines(F.col(text_col))).alias("pos", "line"))
+    named = docs.select(F.col(id_col).alias("doc"), text_name(F.col(text_col)).alias("name"), text_lines(F.col(text_col)).alias("lines"))  # once a text, not once a line
+    lines = named.select("doc", "name", F.posexplode("lines").alias("pos", "line"))
     keyed = lines.select("doc", "name", "pos", line_key(F.col("line")).alias("line")).filter(F.char_length("line") >= least)
     return keyed.select(F.unhex(F.md5("line")).alias("key"), "doc", "name", "pos")
 
