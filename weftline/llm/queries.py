@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import codes
+from weftline.llm import codes, trie
 from weftline.llm.common import prepare, table
 
 
@@ -83,6 +83,12 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def _prepared(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,11 +113,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_ownership_secrets,
         op11_vector_code_compression,
         op12_line_dedup,
+        op13_conversation_trie,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op11_vector_code_compression": codes.oracle(),
+    "op13_conversation_trie": trie.ORACLE_SQL,
     "op12_line_dedup": """
         WITH t AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         l AS (SELECT r, doc_id, i, lines[i] AS line, translate(trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
