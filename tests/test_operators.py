@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline import rules, schemas
 from weftline.functions import text as X
-from weftline.operators import corpus, crawl, dedup, evaluate, feedback, gazetteer, location, reports, retrieval, training
+from weftline.operators import corpus, crawl, dedup, evaluate, feedback, gazetteer, gram_index, location, reports, retrieval, training
 from weftline.sources import readers, sinks
 from weftline.streaming import flows
 
@@ -54,8 +54,10 @@ def grams(text):
 def test_grams(spark):
     assert grams("d") == Counter({" d": 1, "d ": 1, " d ": 1})
     df = spark.createDataFrame([(1, "d"), (2, "The  the　x"), (3, None), (4, "")], "id int, t string")
-    got = {(r.id, r.gram): r.tf for r in retrieval.gram_counts(df, "id", F.col("t")).collect()}
-    assert got == {(i, g): n for i, t in ((1, "d"), (2, "the the x")) for g, n in grams(t).items()}
+    pack = lambda g: sum(ord(c) << 16 * k for k, c in enumerate(g))
+    for r in df.select("id", gram_index.plain_text(F.col("t")).alias("t")).collect():
+        codes, counts = gram_index.gram_codes(r.t)
+        assert dict(zip(codes.tolist(), counts.tolist(), strict=True)) == {pack(g): n for g, n in grams({1: "d", 2: "the the x"}.get(r.id, "")).items()}
     by_column = {r.id: Counter(r.g) for r in df.filter("id < 3").select("id", retrieval.char_grams(F.col("t")).alias("g")).collect()}
     assert by_column == {1: grams("d"), 2: grams("the the x")}
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
@@ -14,11 +13,8 @@ from pyspark.sql import functions as F
 from weftline import rules
 from weftline.functions import text as X
 from weftline.operators.dedup import candidate_window, top_per_group
-from weftline.sources.workspace import shared_path, spread
-
-SIZES = (2, 3, 4)
-#: Queries that are scored in one pass over the texts.
-QUERY_BLOCK = 512
+from weftline.operators.gram_index import SIZES, GramIndex, all_scores, build_index, search_scores
+from weftline.sources.workspace import small, store
 
 
 def char_grams(text: Column, sizes: Sequence[int] = SIZES) -> Column:
@@ -36,117 +32,18 @@ def char_grams(text: Column, sizes: Sequence[int] = SIZES) -> Column:
     return F.concat(*[F.flatten(F.transform(words, cut(n, before))) for n, before in zip(sizes, [0, *sizes], strict=False)])
 
 
-def count_grams(text: str | None, sizes: Sequence[int] = SIZES) -> Counter[str]:
-    """The grams of ``char_grams`` with their counts; a distinct word of a text is cut once."""
-    counts: Counter[str] = Counter()
-    for word, times in Counter((text or "").split()).items():
-        p, before = f" {word} ", 0
-        for n in sizes:
-            if len(p) > before:
-                for k in range(max(1, len(p) - n + 1)):
-                    counts[p[k : k + n]] += times
-            before = n
-    return counts
-
-
-def _plain(text: Column) -> Column:
-    return X.one_space(F.lower(text)).alias("text")
-
-
-def gram_counts(docs: DataFrame, id_col: str, text: Column, sizes: Sequence[int] = SIZES) -> DataFrame:
-    """(id, gram, tf). All grams of a text lie in its row, so they are counted there and only distinct grams leave it."""
-    slim = spread(docs.select(F.col(id_col).alias("id"), _plain(text)))
-    kind = dict(slim.dtypes)["id"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                counts = count_grams(batch.column(1)[row].as_py(), sizes)
-                at = pa.array([row] * len(counts), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["id", "gram", "tf"])
-
-    return slim.mapInArrow(run, f"id {kind}, gram string, tf long")
-
-
-def block_products(asked: DataFrame, docs: DataFrame, doc_text: Column, sizes: Sequence[int] = SIZES, block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, doc_id, dot): sums of tf x weight over the grams that a query (query_id, gram, weight) and a text share.
-
-    A block of queries is a sparse matrix by gram, bounded by their texts and broadcast; each text is counted where it lies and
-    multiplied with it, so no (query, gram, text) row is ever made. There is one pass over the texts for each block.
-    """
-    spark = docs.sparkSession
-    slim = spread(docs.select("doc_id", _plain(doc_text)))
-    q_kind, d_kind = dict(asked.dtypes)["query_id"], dict(slim.dtypes)["doc_id"]
-    names = [r[0] for r in asked.select("query_id").distinct().orderBy("query_id").collect()]  # the stated set of queries
-    out = None
-    for at in range(0, len(names), block):
-        part = names[at : at + block]
-        place = {q: k for k, q in enumerate(part)}
-        rows = asked.filter(F.col("query_id").isin(part)).orderBy("gram").collect()
-        grams, starts = {}, []
-        for k, r in enumerate(rows):
-            if r.gram not in grams:
-                grams[r.gram] = len(grams)
-                starts.append(k)
-        shared = spark.sparkContext.broadcast((part, grams, np.array([*starts, len(rows)], np.int64), np.array([place[r.query_id] for r in rows], np.int64), np.array([r.weight for r in rows])))
-        one = slim.mapInArrow(_product(shared, sizes), f"query_id {q_kind}, doc_id {d_kind}, dot double")
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], f"query_id {q_kind}, doc_id {d_kind}, dot double")
-
-
-def _product(shared, sizes: Sequence[int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, grams, starts, queries, weights = shared.value
-        ids = pa.array(names)
-        for batch in batches:
-            who, rows, dots = [], [], []
-            for row in range(batch.num_rows):
-                found = [(grams[g], tf) for g, tf in count_grams(batch.column(1)[row].as_py(), sizes).items() if g in grams]
-                if not found:
-                    continue
-                g, tf = np.array(found, np.int64).T
-                n = starts[g + 1] - starts[g]
-                flat = np.repeat(starts[g] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                total = np.bincount(queries[flat], weights=weights[flat] * np.repeat(tf, n), minlength=len(names))
-                hit = np.flatnonzero(np.bincount(queries[flat], minlength=len(names)))
-                who.append(hit)
-                rows.append(np.full(len(hit), row))
-                dots.append(total[hit])
-            if who:
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(who))), batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(dots))], names=["query_id", "doc_id", "dot"])
-
-    return run
-
-
 def tfidf_scores(queries: DataFrame, docs: DataFrame, query_text: Column, doc_text: Column, sizes: Sequence[int] = SIZES) -> DataFrame:
-    """(query_id, doc_id, score): cosine of smoothed TF-IDF vectors, ln((1 + n) / (1 + df)) + 1; pairs that share a gram.
+    """(query_id, doc_id, score): cosine of smoothed TF-IDF vectors, ln((1 + n) / (1 + df)) + 1, of all pairs that share a gram.
 
-    ``queries``: column query_id; ``docs``: column doc_id. Document frequencies and lengths count every gram; the documents' counts
-    are the index, written once. The products come from query blocks (``block_products``).
+    ``queries``: column query_id; ``docs``: column doc_id. A search that needs the best pairs only takes ``tfidf_search``.
     """
-    n = docs.count()
-    path = shared_path(docs.sparkSession, "grams")
-    index = gram_counts(docs, "doc_id", doc_text, sizes)
-    index.write.parquet(path)
-    counts = docs.sparkSession.read.schema(index.schema).parquet(path)
-    idf = counts.groupBy("gram").agg(F.count("*").alias("df")).select("gram", (F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    weighed = gram_counts(queries, "query_id", query_text, sizes).join(idf, "gram").select(F.col("id").alias("query_id"), "gram", (F.col("tf") * F.col("idf")).alias("qw"), "idf").persist()
-    q_norms = weighed.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
-    asked = weighed.join(q_norms, "query_id").select("query_id", "gram", (F.col("qw") * F.col("idf") / F.col("q_norm")).alias("weight"))
-    norms = counts.join(idf, "gram").groupBy("id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2.0)))).alias("norm"))
-    return block_products(asked, docs, doc_text, sizes).join(norms, F.col("doc_id") == F.col("id")).select("query_id", "doc_id", (F.col("dot") / F.col("norm")).alias("score"))
+    return all_scores(queries, build_index(docs, doc_text, sizes), query_text)
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def dense_scores(queries: DataFrame, docs: DataFrame, vec: str = "embedding") -> DataFrame:
-    """(query_id, doc_id, score): dot products of all pairs. The queries are the stated set that every row is scored against."""
-    q = queries.select("query_id", F.col(vec).alias("_q"))
-    return docs.join(q, F.lit(True), "inner").select("query_id", "doc_id", dot(F.col("_q"), F.col(vec)).alias("score"))
-
-
 def dense_block_scores(queries: DataFrame, docs: DataFrame, window: int, vec: str = "embedding", block: int = 1024) -> DataFrame:
     """(query_id, doc_id, score): of every query the pairs that can be among its best ``window`` (score, then doc_id); vectors that
     are null have no score.
@@ -198,23 +95,55 @@ def boosts(district: Column | None, tag: Column | None, unit: Column | None, typ
 def search(queries: DataFrame, docs: DataFrame, scores: DataFrame, top_k: int = 3, types: Sequence[str] = ()) -> DataFrame:
     """(query_id, rank, doc_id, title, doc_type, district, source, score, snippet, matched_terms).
 
-    ``queries``: query_id, query and, as far as given, query_district, query_tag, query_unit. ``docs``: corpus documents with doc_id.
+    ``queries``: query_id, query and, as far as given, query_district, query_tag, query_unit. ``docs``: corpus documents with doc_id. ``scores``: query_id, doc_id, score.
     The best max(3 k, 10) of each query are cut first, then scores of 0 or less and repeated (title, source) go, then k stay.
 
-    Only matched terms need the text. A pair's score without them is known from slim columns, and they add at most a fixed
-    amount, so pairs that cannot reach the window are left out before any text is joined or searched.
+    Only matched terms need the text. A pair's score without them is known from slim columns, and they add at most a fixed amount: the
+    best by that score are searched first, and of the others only those that can still pass them.
     """
-    given = {n: F.col(f"query_{n}") if f"query_{n}" in queries.columns else None for n in ("district", "tag", "unit")}
-    slim = docs.select("doc_id", "district", "unit", "doc_type", "applicable_tags")
+    given = _given(queries)
+    slim = docs.select("doc_id", *_FEATURES)
     base = scores.join(queries.drop("query"), "query_id").join(slim, "doc_id").select("query_id", "doc_id", (F.col("score") + boosts(given["district"], given["tag"], given["unit"], types)).alias("base"))
-    size, most = max(3 * top_k, 10), rules.BOOSTS["most_terms"]
-    least = top_per_group(base, ["query_id"], [F.desc("base"), F.col("doc_id")], size, "_r").groupBy("query_id").agg(F.min("base").alias("_least"), F.count("*").alias("_n"))
-    near = base.join(least, "query_id").filter((F.col("_n") < size) | (F.col("base") + (most + 1e-9) >= F.col("_least"))).select("query_id", "doc_id", "base")
-    asked = queries.select("query_id", X.query_terms(F.col("query"), **given).alias("_terms"))
+    return _best(queries, docs, store(base, "base"), top_k)
+
+
+def tfidf_search(queries: DataFrame, docs: DataFrame, index: GramIndex, top_k: int = 3, types: Sequence[str] = (), report: list | None = None) -> DataFrame:
+    """``search`` by TF-IDF through an index of ``docs`` that may have been built for earlier queries; blocks of documents that cannot reach a query's window are skipped."""
+    given = _given(queries)
+    boost = boosts(given["district"], given["tag"], given["unit"], types)
+    base = search_scores(queries, index, F.col("query"), boost, lambda first: _leaders(queries, docs, first, top_k)[1], max(3 * top_k, 10), types, report)
+    return _best(queries, docs, base.select("query_id", "doc_id", "base"), top_k)
+
+
+_FEATURES = ("district", "unit", "doc_type", "applicable_tags")
+
+
+def _given(queries: DataFrame) -> dict[str, Column | None]:
+    return {n: F.col(f"query_{n}") if f"query_{n}" in queries.columns else None for n in ("district", "tag", "unit")}
+
+
+def _totals(queries: DataFrame, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(query_id, doc_id, base) with what a hit shows: matched terms are looked for in the text and added to the score."""
+    asked = queries.select("query_id", X.query_terms(F.col("query"), **_given(queries)).alias("_terms"))
     whole = docs.select("doc_id", "title", "doc_type", "district", "source", X.snippet(F.col("content")).alias("snippet"), X.document_text().alias("_text"))
-    pairs = near.join(asked, "query_id").join(whole, "doc_id").withColumn("matched_terms", X.matched_terms(F.col("_terms"), F.col("_text")))
-    total = F.col("base") + F.least(F.size("matched_terms") * F.lit(rules.BOOSTS["term"]), F.lit(most))
-    kept = pairs.withColumn("score", total).select("query_id", "doc_id", "title", "doc_type", "district", "source", "score", "snippet", "matched_terms").filter(F.col("score") > 0)
+    found = pairs.join(asked, "query_id").join(whole, "doc_id").withColumn("matched_terms", X.matched_terms(F.col("_terms"), F.col("_text")))
+    total = F.col("base") + F.least(F.size("matched_terms") * F.lit(rules.BOOSTS["term"]), F.lit(rules.BOOSTS["most_terms"]))
+    return found.select("query_id", "doc_id", "title", "doc_type", "district", "source", total.alias("score"), "snippet", "matched_terms")
+
+
+def _leaders(queries: DataFrame, docs: DataFrame, base: DataFrame, top_k: int) -> tuple[DataFrame, DataFrame]:
+    """(whole hits of a window's size by base, (query_id, least)): as many hits reach ``least``, so what cannot is out of the window."""
+    size = max(3 * top_k, 10)
+    top = store(top_per_group(base, ["query_id"], [F.desc("base"), F.col("doc_id")], size, "_r").drop("_r"), "leaders")
+    totals = store(_totals(queries, docs, top), "totals")
+    return totals, store(totals.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).filter(F.col("n") >= size).select("query_id", "least"), "least")
+
+
+def _best(queries: DataFrame, docs: DataFrame, base: DataFrame, top_k: int) -> DataFrame:
+    totals, least = _leaders(queries, docs, base, top_k)
+    near = base.join(small(least), "query_id", "left").filter(F.col("least").isNull() | (F.col("base") + (rules.BOOSTS["most_terms"] + 1e-9) >= F.col("least")))
+    others = near.join(small(totals.select("query_id", "doc_id")), ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", "base")
+    kept = totals.unionByName(_totals(queries, docs, store(others, "others"))).filter(F.col("score") > 0)
     found = candidate_window(kept, ["query_id"], [F.desc("score"), F.col("doc_id")], ["title", "source"], top_k)
     return found.select("query_id", "rank", "doc_id", "title", "doc_type", "district", "source", F.round("score", 4).alias("score"), "snippet", "matched_terms")
 

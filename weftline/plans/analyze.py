@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weftline import rules
 from weftline.functions import text as X
 from weftline.operators import location, retrieval
+from weftline.operators.gram_index import build_index
 
 
 @dataclass(frozen=True)
@@ -68,8 +69,10 @@ def analyze(
     fine = checked.filter("is_valid").withColumn("query", F.concat_ws(" ", "title", "body"))
     placed = location.resolve(fine, aliases, "request_id", "query", names)
     queries = fine.select(F.col("request_id").alias("query_id"), "query").join(placed.select(F.col("id").alias("query_id"), F.col("district").alias("query_district")), "query_id")
-    scored = (scores or (lambda q, d: retrieval.tfidf_scores(q, d.withColumn("_t", X.document_text()), F.col("query"), F.col("_t"))))(queries, docs)
-    hits = retrieval.search(queries, docs, scored, config.top_k)
+    if scores:
+        hits = retrieval.search(queries, docs, scores(queries, docs), config.top_k)
+    else:
+        hits = retrieval.tfidf_search(queries, docs, build_index(docs, X.document_text()), config.top_k)
     hit = F.struct("rank", "doc_id", "title", "doc_type", "district", "source", "score", "snippet", "matched_terms")
     lists = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(hit)).alias("retrieval"))  # at most top_k each
     units = classify(F.col("tag"), F.col("title"), F.col("body")) if classify else F.array().cast("array<struct<unit:string,confidence:double>>")

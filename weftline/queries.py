@@ -17,7 +17,7 @@ from weftline import rules
 from weftline.functions import places as P
 from weftline.functions import text as X
 from weftline.functions import urls as U
-from weftline.operators import corpus, crawl, dedup, evaluate, feedback, gazetteer, location, reports, retrieval, training
+from weftline.operators import corpus, crawl, dedup, evaluate, feedback, gazetteer, gram_index, location, reports, retrieval, training
 from weftline.plans import analyze as plans
 from weftline.sources import readers, sinks
 from weftline.sources.workspace import shared_path, ship, spread
@@ -776,43 +776,63 @@ def _benchmark(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit("en").alias("query_district"))
 
 
-@query()
+def _gram_sql(name: str, source: str, key: str, text: str) -> str:
+    """SQL: ``name`` (id, gram, tf) of the padded words of a text, sizes 2 to 4."""
+    return f"""{name}w AS MATERIALIZED (SELECT id, ' ' || w || ' ' AS p, count(*) AS n FROM (SELECT {key} AS id, unnest(string_split_regex(trim(lower({text}), ' ' || chr(9) || chr(10) || chr(13)), '\\s+')) AS w FROM {source}) WHERE w <> '' GROUP BY ALL),
+    {name} AS MATERIALIZED (SELECT id, gram, sum(n) AS tf FROM (SELECT id, substr(p, i, k) AS gram, n FROM {name}w, (VALUES (2), (3), (4)) AS s(k), unnest(range(1, greatest(0, length(p) - k + 1) + 1)) AS r(i)) GROUP BY ALL)"""
+
+
+_TERMS_SQL = "list_concat(['en'], regexp_extract_all(text, '[一-龥A-Za-z0-9]{2,10}'))"
+_SEARCH_SQL = f"""WITH {CORPUS_SQL}, d AS MATERIALIZED (SELECT *, concat(title, chr(10), content, chr(10), district, chr(10), doc_type) AS whole FROM corpus),
+    {_gram_sql('dg', 'd', 'doc_id', 'whole')}, {_gram_sql('qg', 'benchmark', 'item_id', 'text')},
+    idf AS MATERIALIZED (SELECT gram, ln((1.0 + (SELECT count(*) FROM d)) / (1.0 + count(*))) + 1 AS idf FROM dg GROUP BY gram),
+    dv AS MATERIALIZED (SELECT id, gram, tf * idf AS v, sqrt(sum(pow(tf * idf, 2)) OVER (PARTITION BY id)) AS l FROM dg JOIN idf USING (gram)),
+    qv AS MATERIALIZED (SELECT id, gram, tf * idf AS v, sqrt(sum(pow(tf * idf, 2)) OVER (PARTITION BY id)) AS l FROM qg JOIN idf USING (gram)),
+    s AS (SELECT q.id AS query_id, e.id AS doc_id, round(sum(q.v / q.l * e.v / e.l), 10) AS score FROM qv q JOIN dv e USING (gram) GROUP BY ALL),
+    b AS MATERIALIZED (SELECT query_id, doc_id, score + CASE WHEN district = 'en' THEN 0.15 ELSE 0 END AS base FROM s JOIN d USING (doc_id)),
+    n AS (SELECT query_id, base AS least FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY base DESC, doc_id) = 10),
+    x AS (SELECT query_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS p FROM (SELECT item_id AS query_id, {_TERMS_SQL} AS terms FROM benchmark)),
+    terms AS (SELECT query_id, list(term ORDER BY p) AS terms FROM (SELECT query_id, term, min(p) AS p FROM x GROUP BY ALL) GROUP BY query_id),
+    c AS (SELECT b.query_id, doc_id, base, list_slice(list_filter(terms, lambda w: contains(whole, w)), 1, 8) AS matched FROM b JOIN d USING (doc_id) JOIN terms USING (query_id) LEFT JOIN n ON n.query_id = b.query_id WHERE least IS NULL OR base + 0.12 + 1e-9 >= least),
+    w AS (SELECT *, base + least(0.02 * len(matched), 0.12) AS score, row_number() OVER (PARTITION BY query_id ORDER BY base + least(0.02 * len(matched), 0.12) DESC, doc_id) AS r FROM c),
+    f AS (SELECT w.*, title, doc_type, district, source, content, row_number() OVER (PARTITION BY query_id, title, source ORDER BY r) AS k FROM w JOIN d USING (doc_id) WHERE r <= 10 AND score > 0),
+    o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM f WHERE k = 1)
+    SELECT query_id, CAST(rank AS INT) AS rank, doc_id, title, doc_type, district, source, round(score, 4) AS score, CASE WHEN length(content) > 160 THEN concat(substr(content, 1, 160), '...') ELSE content END AS snippet,
+      array_to_string(matched, '|') AS matched_terms FROM o WHERE rank <= 3"""
+
+
+@query(_SEARCH_SQL)
 def agg18_jon5_tfidf_search(spark: SparkSession, d: str) -> DataFrame:
-    """Every benchmark text against every document by TF-IDF with boosts; tests hold it against brute force."""
-    docs, asked = corpus_docs(spark, d).withColumn("_whole", X.document_text()), _benchmark(spark, d)
-    scores = retrieval.tfidf_scores(asked, docs, F.col("query"), F.col("_whole"))
-    out = retrieval.search(asked, docs.drop("_whole"), scores)
+    """Every benchmark text against every document by TF-IDF with boosts, through an index with bounds."""
+    docs = corpus_docs(spark, d)
+    out = retrieval.tfidf_search(_benchmark(spark, d), docs, gram_index.build_index(docs, X.document_text()))
     return out.withColumn("matched_terms", piped(F.col("matched_terms")))
 
 
 _DOT = "list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
 
 
-@query(
-    f"""WITH q AS (SELECT * FROM embeddings ORDER BY vec_id LIMIT 10), s AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, e.label, {_DOT} AS score FROM q, embeddings e),
-    w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s), c AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY r) AS k FROM w WHERE r <= 10),
-    f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM c WHERE k = 1) SELECT query_id, CAST(rank AS INT) AS rank, doc_id, label, round(score, 4) AS score FROM f WHERE rank <= 3"""
-)
-def srt2_ded5_udf2_dense_window(spark: SparkSession, d: str) -> DataFrame:
-    docs = t(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    asked = docs.orderBy("doc_id").limit(10).select(F.col("doc_id").alias("query_id"), "embedding")
-    pairs = retrieval.dense_scores(asked, docs).join(docs.select("doc_id", "label"), "doc_id")
-    out = dedup.candidate_window(pairs, ["query_id"], [F.desc("score"), F.col("doc_id")], ["label"], 3)
-    return out.select("query_id", "rank", "doc_id", "label", F.round("score", 4).alias("score"))
+_DENSE_SQL = f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, e.label, {_DOT} AS score FROM q, embeddings e),
+    w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s), c AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY r) AS k FROM w WHERE r <= {{window}}),
+    f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM c WHERE k = 1) SELECT query_id, CAST(rank AS INT) AS rank, doc_id, label, round(score, 4) AS score FROM f WHERE rank <= {{k}}"""
 
 
-@query(
-    f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, e.label, {_DOT} AS score FROM q, embeddings e),
-    w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s), c AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY r) AS k FROM w WHERE r <= 10),
-    f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM c WHERE k = 1) SELECT query_id, CAST(rank AS INT) AS rank, doc_id, label, round(score, 4) AS score FROM f WHERE rank <= 3"""
-)
-def srt2_ded5_udf2_dense_search(spark: SparkSession, d: str) -> DataFrame:
-    """The search of ``srt2_ded5_udf2_dense_window`` for the whole stated query set: every row whose id is divisible by 100."""
+def _dense(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """Every vector whose id is divisible by 100 against all vectors."""
     docs = t(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
     asked = docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
-    pairs = retrieval.dense_block_scores(asked, docs.select("doc_id", "embedding"), 10).join(docs.select("doc_id", "label"), "doc_id")
-    out = dedup.candidate_window(pairs, ["query_id"], [F.desc("score"), F.col("doc_id")], ["label"], 3)
-    return out.select("query_id", "rank", "doc_id", "label", F.round("score", 4).alias("score"))
+    pairs = retrieval.dense_block_scores(asked, docs.select("doc_id", "embedding"), max(3 * k, 10)).join(docs.select("doc_id", "label"), "doc_id")
+    return dedup.candidate_window(pairs, ["query_id"], [F.desc("score"), F.col("doc_id")], ["label"], k).select("query_id", "rank", "doc_id", "label", F.round("score", 4).alias("score"))
+
+
+@query(_DENSE_SQL.format(window=15, k=5))
+def srt2_ded5_udf2_dense_window(spark: SparkSession, d: str) -> DataFrame:
+    return _dense(spark, d, 5)
+
+
+@query(_DENSE_SQL.format(window=10, k=3))
+def srt2_ded5_udf2_dense_search(spark: SparkSession, d: str) -> DataFrame:
+    return _dense(spark, d, 3)
 
 
 # --- evaluation and training -------------------------------------------------------------------------------------------------

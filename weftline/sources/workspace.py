@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -54,6 +55,22 @@ def table_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def store(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` in the shared folder and read it back: cuts lineage, survives lost executors, gives the planner a true size."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A side whose files are no larger than this is broadcast; anything larger takes the shuffled path.
+BROADCAST_BYTES = 8 << 20
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its measured size is within ``limit``, else unchanged (shuffled join, AQE splits skew)."""
+    return F.broadcast(df) if table_bytes(df) <= limit else df
+
+
 #: A table of fewer bytes for each core is dealt over all cores before work that is done row by row.
 SPREAD_BYTES = 64 << 20
 
