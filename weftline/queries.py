@@ -17,11 +17,11 @@ from weftline import rules
 from weftline.functions import places as P
 from weftline.functions import text as X
 from weftline.functions import urls as U
-from weftline.operators import corpus, crawl, dedup, evaluate, feedback, gazetteer, gram_index, location, reports, retrieval, training
+from weftline.operators import cache, corpus, crawl, dedup, evaluate, feedback, gazetteer, gram_index, location, memo, reports, retrieval, training
 from weftline.plans import analyze as plans
 from weftline.sources import readers, sinks
 from weftline.sources.workspace import shared_path, ship, spread
-from weftline.streaming import flows
+from weftline.streaming import caching, flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -1058,6 +1058,58 @@ def st4_st6_schedule(spark: SparkSession, d: str) -> DataFrame:
     return crawl.schedule(state, 5000).agg(F.count("*").alias("queries"), F.count_if((F.col("keyword").cast("long") % 5) == 0).alias("unknown"))
 
 
+_CACHE_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type AS item, epoch_us(ts) AS now, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, '' AS outcome, CAST(NULL AS VARCHAR) AS evicted, CAST([] AS STRUCT("at" BIGINT, place BIGINT, k VARCHAR)[]) AS s FROM events GROUP BY user_id
+      UNION ALL SELECT user_id, n, event_id, outcome, CASE WHEN outcome <> 'hit' AND len(live) >= 3 THEN live[1].k END,
+        CASE WHEN outcome = 'hit' THEN list_transform(s, lambda x: CASE WHEN x.k = item THEN {'at': now, 'place': x.place, 'k': x.k} ELSE x END)
+          ELSE list_append(live[CASE WHEN len(live) >= 3 THEN 2 ELSE 1 END :], {'at': now, 'place': 1 + coalesce(list_max(list_transform(live[CASE WHEN len(live) >= 3 THEN 2 ELSE 1 END :], lambda x: x.place)), 0), 'k': item}) END
+      FROM (SELECT r.user_id, e.n, e.event_id, e.item, e.now, r.s, list_sort(list_filter(r.s, lambda x: e.now - x."at" <= 43200000000)) AS live,
+          CASE WHEN len(list_filter(r.s, lambda x: x.k = e.item AND e.now - x."at" <= 43200000000)) > 0 THEN 'hit' ELSE 'miss' END AS outcome
+        FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+    SELECT user_id, event_id, outcome, evicted, CAST(len(s) AS INT) AS held FROM r WHERE n > 0"""
+
+
+@query(_CACHE_SQL)
+def st2_cache(spark: SparkSession, d: str) -> DataFrame:
+    """A cache of three event types for each user, entries living twelve hours after their last use."""
+    return cache.replay(t(spark, d, "events"), 3, 12 * 3600)
+
+
+@query(_CACHE_SQL)
+def st2_stream_cache(spark: SparkSession, d: str) -> DataFrame:
+    with caching.keyed_state(spark):
+        return _stream(spark, d, "cache", lambda s: caching.cached(s, 3, 12 * 3600))
+
+
+@query(f"SELECT s.query_id, s.rank, s.doc_id, s.score, NOT EXISTS (SELECT 1 FROM benchmark b JOIN benchmark o ON o.text = b.text WHERE b.item_id = s.query_id AND o.item_id % 2 = 0) AS fresh FROM ({_SEARCH_SQL}) s")
+def st3_memoised_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """A search for every other benchmark text, then one for all: the second computes only what the first has not."""
+    docs, asked = corpus_docs(spark, d), _benchmark(spark, d)
+    kept, version = memo.Memo(spark, shared_path(spark, "memo")), memo.corpus_version(docs, "tfidf 3")
+
+    def compute(unseen: DataFrame) -> DataFrame:
+        return retrieval.tfidf_search(unseen, docs, gram_index.build_index(docs, X.document_text())).select("query_id", "rank", "doc_id", "score")
+
+    kept.answers(asked.filter("query_id % 2 = 0"), ["query", "query_district"], version, compute)
+    return kept.answers(asked, ["query", "query_district"], version, compute).select("query_id", "fresh", F.inline("results")).select("query_id", "rank", "doc_id", "score", "fresh")
+
+
+@query(
+    """SELECT conv_id, turn, concat('经核实，您反映的相关区域', CASE WHEN contains(text, 'tion') THEN 'A' ELSE 'none' END, '问题已转请U结合现场情况进一步核查处理。我们将参考相关政策和类似案例中的办理口径，重点核实问题成因、责任主体和整改安排，并督促相关单位及时反馈办理进展。') AS reply,
+      NOT EXISTS (SELECT 1 FROM conversations o WHERE o.text = c.text AND o.conv_id % 3 = 0) AS fresh FROM conversations c"""
+)
+def st3_memoised_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Replies to a third of the conversations, then to all."""
+    asked, none = t(spark, d, "conversations").select("conv_id", "turn", "text"), F.lit(None).cast("string")
+    kept, version = memo.Memo(spark, shared_path(spark, "memo")), memo.corpus_version(asked.limit(0), "template 1")
+
+    def compute(unseen: DataFrame) -> DataFrame:
+        return unseen.select("query_id", X.fallback_reply(none, X.first_label(F.col("text"), [("tion", "A")], "none"), F.lit("U"), none).alias("reply"))
+
+    kept.answers(asked.filter("conv_id % 3 = 0"), ["text"], version, compute)
+    return kept.answers(asked, ["text"], version, compute).select("conv_id", "turn", F.col("results")[0]["reply"].alias("reply"), "fresh")
+
+
 # --- analysis ----------------------------------------------------------------------------------------------------------------
 
 
