@@ -137,5 +137,5 @@ def test_versions_of_a_corpus(spark):
     docs = spark.createDataFrame([(1, "a", None, ["x"]), (2, None, "b", [])], "id long, t string, u string, tags array<string>")
     name = memo.corpus_version(docs)
     assert name == memo.corpus_version(docs.repartition(3)) and len(name) == 32
-    others = [docs.filter("id = 1"), docs.union(docs), docs.withColumn("t", F.col("u")).withColumn("u", docs.t), docs.withColumn("tags", F.array(F.lit("x")))]
+    others = [docs.filter("id = 1"), docs.union(docs), docs.select("id", F.col("u").alias("t"), F.col("t").alias("u"), "tags"), docs.withColumn("tags", F.array(F.lit("x")))]
     assert len({name, memo.corpus_version(docs, "top 5"), *map(memo.corpus_version, others)}) == 6

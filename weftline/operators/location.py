@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from weftline import rules
 from weftline.functions.text import distinct_matches, no_space
-from weftline.sources.workspace import spread
+from weftline.operators.segment import segmented_places, word_parts
+from weftline.sources.workspace import spread, store
 
 #: Aliases of one automaton; a longer dictionary takes one pass over the texts per part.
 ALIASES_AT_ONCE = 200_000
@@ -33,14 +34,14 @@ def contained(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: str,
     """(id, alias): every alias that occurs in a text, once, overlaps included.
 
     The distinct aliases make a multi-pattern automaton that each worker runs over its texts: linear in the text, whatever the
-    number of aliases, and texts are not moved. An automaton holds at most ``ALIASES_AT_ONCE`` aliases.
+    number of aliases, and texts are not moved. An automaton holds about ``ALIASES_AT_ONCE`` aliases; more take one pass for each lot.
     """
-    names = [r[0] for r in aliases.select("alias").distinct().filter((F.col("alias") != "") & ~F.col("alias").isin(*stop)).orderBy("alias").toLocalIterator()]
+    names = aliases.select("alias").distinct().filter((F.col("alias") != "") & ~F.col("alias").isin(*stop))
     slim = spread(texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     kind = dict(slim.dtypes)["id"]
     out = None
-    for at in range(0, len(names) or 1, ALIASES_AT_ONCE):
-        shared = texts.sparkSession.sparkContext.broadcast(names[at : at + ALIASES_AT_ONCE])  # bounded by ALIASES_AT_ONCE
+    for lot in word_parts(names, ALIASES_AT_ONCE):
+        shared = texts.sparkSession.sparkContext.broadcast([r.alias for r in lot])  # bounded by ALIASES_AT_ONCE
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             import ahocorasick
@@ -91,10 +92,22 @@ def pick_district(hits: DataFrame) -> DataFrame:
     return out.select("id", "b.district", F.round(F.least(F.col("b.score") / 10_000 / F.col("hits"), F.lit(0.99)), 3).alias("confidence"), "b.method")
 
 
-def resolve(texts: DataFrame, aliases: DataFrame, id_col: str = "id", text_col: str = "text", names: Sequence[str] = tuple(rules.DISTRICTS)) -> DataFrame:
+def resolve(
+    texts: DataFrame, aliases: DataFrame, id_col: str = "id", text_col: str = "text", names: Sequence[str] = tuple(rules.DISTRICTS), words: DataFrame | None = None, geocode: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """One row per text: id, district, confidence, method, places, address_snippets, districts, categories; a text without a
-    hit has no district, confidence 0 and method ``none``."""
+    hit has no district, confidence 0 and method ``none``.
+
+    ``words`` (a lexicon of ``operators.segment``) adds the places that are words of a text's best segmentation. ``geocode`` gets the rows of
+    ``texts`` that have no hit at all and gives hits of its own (as ``operators.nearby.geocoded`` does).
+    """
     hits = location_hits(texts, aliases, id_col, text_col, names)
+    if words is not None:
+        hits = hits.unionByName(segmented_places(texts, aliases, words, id_col, text_col, tuple(rules.CITY_NAMES)))
+    if geocode is not None:
+        hits = store(hits, "hits")
+        without = texts.join(hits.select(F.col("id").alias("_hit")).distinct(), F.col(id_col) == F.col("_hit"), "left_anti")
+        hits = hits.unionByName(geocode(without))
     place = F.struct("pos", "district", "matched_text", "source", "confidence", "category")
     lists = hits.groupBy("id").agg(F.array_sort(F.collect_list(place)).alias("p"))  # bounded by the aliases that a text holds
     lists = lists.select("id", F.transform("p", lambda x: x.dropFields("pos")).alias("places"))

@@ -17,7 +17,7 @@ from weftline import rules
 from weftline.functions import places as P
 from weftline.functions import text as X
 from weftline.functions import urls as U
-from weftline.operators import cache, corpus, crawl, dedup, evaluate, feedback, gazetteer, gram_index, location, memo, reports, retrieval, training
+from weftline.operators import cache, corpus, crawl, dedup, evaluate, feedback, gazetteer, gram_index, location, memo, reports, retrieval, segment, training
 from weftline.plans import analyze as plans
 from weftline.sources import readers, sinks
 from weftline.sources.workspace import shared_path, ship, spread
@@ -835,6 +835,44 @@ def srt2_ded5_udf2_dense_search(spark: SparkSession, d: str) -> DataFrame:
     return _dense(spark, d, 3)
 
 
+_WORDS_SQL = rf"""{ALIAS_SQL}, counted AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) AS word FROM documents) WHERE length(word) <= 16 GROUP BY word HAVING count(*) >= 2
+      UNION ALL SELECT alias, greatest(count(doc_id), 1) FROM alias LEFT JOIN documents ON contains(regexp_replace(text, '{_WS}', '', 'g'), alias) GROUP BY alias),
+    words AS (SELECT word, max(n) AS n FROM counted GROUP BY word), total AS (SELECT sum(n) AS total FROM words), lex AS MATERIALIZED (SELECT word, CAST(round((ln(CAST(total AS DOUBLE)) - ln(CAST(n AS DOUBLE))) * 1000000) AS BIGINT) AS c FROM words, total),
+    x AS MATERIALIZED (SELECT item_id AS id, regexp_replace(text, '{_WS}', '', 'g') AS x FROM benchmark),
+    spot AS MATERIALIZED (SELECT id, x, unnest(range(1, length(x) + 1)) AS i FROM x), sub AS MATERIALIZED (SELECT id, i - 1 AS s, i - 1 + k AS e, substr(x, i, k) AS word FROM (SELECT *, unnest(range(1, 17)) AS k FROM spot) WHERE i - 1 + k <= length(x)),
+    edges AS MATERIALIZED (SELECT id, s, e, c FROM sub JOIN lex USING (word)
+      UNION ALL SELECT id, i - 1, i, CAST(round((ln(CAST(total AS DOUBLE)) + ln(2)) * 1000000) AS BIGINT) FROM x, total, unnest(range(1, length(x) + 1)) AS p(i)),
+    ends AS MATERIALIZED (SELECT id, e, list({{'c': c, 's': s}}) AS ws FROM edges GROUP BY id, e),
+    way AS (SELECT id, CAST(0 AS BIGINT) AS e, [{{'c': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT), 's': CAST(0 AS BIGINT)}}] AS best FROM x
+      UNION ALL SELECT id, e, list_append(best, list_sort(list_transform(ws, lambda w: {{'c': best[w.s + 1].c + w.c, 'n': best[w.s + 1].n + 1, 's': w.s}}))[1])
+      FROM (SELECT way.id, ends.e, best, ws FROM way JOIN ends ON ends.id = way.id AND ends.e = way.e + 1)),
+    whole AS (SELECT way.* FROM way JOIN x ON x.id = way.id AND way.e = length(x)),
+    piece AS (SELECT id, e, best[e + 1].s AS s FROM whole WHERE e > 0 UNION ALL SELECT p.id, p.s, w.best[p.s + 1].s FROM piece p JOIN whole w ON w.id = p.id WHERE p.s > 0),
+    seg AS (SELECT p.id, s, e, substr(x, s + 1, e - s) AS word, lex.word IS NOT NULL AS known FROM piece p JOIN x ON x.id = p.id LEFT JOIN lex ON lex.word = substr(x, s + 1, e - s)),
+    runs AS (SELECT *, sum(CASE WHEN known OR before THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY s) AS run FROM (SELECT *, coalesce(lag(known) OVER (PARTITION BY id ORDER BY s), TRUE) AS before FROM seg)),
+    pieces AS (SELECT id, run, string_agg(word, '' ORDER BY s) AS word, bool_and(known) AS known FROM runs GROUP BY id, run)"""
+
+
+def _lexicon(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the documents, and the aliases with the documents that hold them."""
+    docs, names = t(spark, d, "documents"), aliases(spark)
+    where = location.contained(docs.withColumn("text", X.no_space(F.col("text"))), names, "doc_id", "text", ())
+    return segment.lexicon(docs, F.col("text"), names.select("alias").distinct().join(where, "alias", "left").select("id", F.col("alias").alias("word")))
+
+
+@query(f"WITH RECURSIVE {_WORDS_SQL} SELECT x.id AS item_id, coalesce(string_agg(word, '|' ORDER BY run), '') AS words, coalesce(count(*) FILTER (NOT known), 0) AS unknown FROM x LEFT JOIN pieces USING (id) GROUP BY x.id")
+def udf4_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark text cut into the words of the documents."""
+    out = segment.segments(t(spark, d, "benchmark"), _lexicon(spark, d), "item_id", "text")
+    return out.select(F.col("id").alias("item_id"), piped(F.col("pieces.word")).alias("words"), F.size(F.filter("pieces", lambda p: ~p["known"])).cast("long").alias("unknown"))
+
+
+@query(f"WITH RECURSIVE {_WORDS_SQL}, hit AS (SELECT pieces.id, word, arg_max(district, pos) AS district FROM pieces JOIN alias ON alias = word WHERE known GROUP BY pieces.id, run, word) SELECT id AS item_id, word, district, count(*) AS n, 0.8 AS confidence FROM hit GROUP BY ALL")
+def udf4_segmented_places(spark: SparkSession, d: str) -> DataFrame:
+    found = segment.segmented_places(t(spark, d, "benchmark"), aliases(spark), _lexicon(spark, d), "item_id", "text")
+    return found.groupBy(F.col("id").alias("item_id"), F.col("matched_text").alias("word"), "district").agg(F.count("*").alias("n"), F.first("confidence").alias("confidence"))
+
+
 # --- evaluation and training -------------------------------------------------------------------------------------------------
 
 SCORED_SQL = """x AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label AS l, i, avg(CAST(v AS DOUBLE)) AS m FROM x GROUP BY ALL),
