@@ -17,7 +17,7 @@ from weftline import rules
 from weftline.functions import places as P
 from weftline.functions import text as X
 from weftline.functions import urls as U
-from weftline.operators import cache, corpus, crawl, dedup, evaluate, feedback, gazetteer, gram_index, location, memo, reports, retrieval, segment, training
+from weftline.operators import cache, corpus, crawl, dedup, evaluate, feedback, gazetteer, gram_index, location, memo, nearby, reports, retrieval, segment, training
 from weftline.plans import analyze as plans
 from weftline.sources import readers, sinks
 from weftline.sources.workspace import shared_path, ship, spread
@@ -873,6 +873,45 @@ def udf4_segmented_places(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy(F.col("id").alias("item_id"), F.col("matched_text").alias("word"), "district").agg(F.count("*").alias("n"), F.first("confidence").alias("confidence"))
 
 
+_SPOT = "concat({a} + {k} % 3, '.', lpad(CAST({k} * 7919 % {m} AS VARCHAR), 6, '0'), ',', {b} + {k} % 2, '.', lpad(CAST({k} * 104729 % {m} AS VARCHAR), 6, '0'))"
+_spot = lambda k, m: _SPOT.format(a=115, b=39, k=k, m=m)
+_NEAR_SQL = f"""asked AS (SELECT c_custkey AS id, c_mktsegment AS segment, {_spot('c_custkey', 1000003)} AS location FROM customer),
+    landed AS (SELECT s_suppkey AS pos, s_name AS name, CASE WHEN s_nationkey < 20 THEN ({DISTRICT_SQL})[CAST(s_nationkey % 16 AS INT) + 1] ELSE '外' END AS district, {_spot('s_suppkey', 900001)} AS location FROM supplier),
+    p AS (SELECT *, CAST(round(CAST(split_part(location, ',', 1) AS DOUBLE) * 1e6) AS BIGINT) AS x, CAST(round(CAST(split_part(location, ',', 2) AS DOUBLE) * 1e6) AS BIGINT) AS y FROM asked),
+    q AS (SELECT *, CAST(round(CAST(split_part(location, ',', 1) AS DOUBLE) * 1e6) AS BIGINT) AS x, CAST(round(CAST(split_part(location, ',', 2) AS DOUBLE) * 1e6) AS BIGINT) AS y FROM landed),
+    near AS (SELECT id, min({{'d2': (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y), 'place': pos}}) AS b FROM p, q GROUP BY id)"""
+
+
+def _located(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Customers and suppliers at made-up coordinates that depend on their keys alone."""
+    def spot(k: str, m: int) -> Column:
+        digits = lambda by: F.lpad((F.col(k) * by % m).cast("string"), 6, "0")
+        return F.concat(115 + F.col(k) % 3, F.lit("."), digits(7919), F.lit(","), 39 + F.col(k) % 2, F.lit("."), digits(104729)).alias("location")
+
+    asked = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), spot("c_custkey", 1_000_003))
+    district = F.when(F.col("s_nationkey") < 20, F.get(F.array(*map(F.lit, rules.DISTRICTS)), F.col("s_nationkey") % 16)).otherwise(F.lit("外"))
+    return asked, t(spark, d, "supplier").select(F.col("s_suppkey").alias("pos"), F.col("s_name").alias("name"), district.alias("district"), spot("s_suppkey", 900_001))
+
+
+@query(f"WITH {_NEAR_SQL} SELECT id, b.place AS place, b.d2 AS d2 FROM near")
+def udf5_nearest_places(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest supplier of every customer."""
+    asked, landed = (nearby.with_coordinates(x, "location") for x in _located(spark, d))
+    return asked.join(nearby.nearest_places(asked, landed, "pos"), ["_x", "_y"]).select("id", "place", "d2")
+
+
+@query(
+    f"""WITH {_NEAR_SQL}, h AS (SELECT p.id, segment = 'BUILDING' AS named, q.district FROM p JOIN near USING (id) JOIN q ON q.pos = b.place)
+    SELECT id, CASE WHEN named THEN 'R1' WHEN district <> '外' THEN district END AS district, CASE WHEN named THEN 0.84 WHEN district <> '外' THEN 0.76 ELSE 0 END AS confidence,
+      CASE WHEN named THEN 'dictionary' WHEN district <> '外' THEN 'nearby_place' ELSE 'none' END AS method FROM h"""
+)
+def udf5_geocoded_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """A text that names a place has its district; of the others the nearest landed place decides."""
+    asked, landed = _located(spark, d)
+    names = spark.createDataFrame([("BUILDING", "R1", "dictionary", 0.84, "dictionary", 0)], "alias string, district string, category string, confidence double, source string, pos int")
+    return location.resolve(asked, names, "id", "segment", geocode=nearby.geocoded(landed)).select("id", "district", "confidence", "method")
+
+
 # --- evaluation and training -------------------------------------------------------------------------------------------------
 
 SCORED_SQL = """x AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label AS l, i, avg(CAST(v AS DOUBLE)) AS m FROM x GROUP BY ALL),
