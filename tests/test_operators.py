@@ -141,11 +141,11 @@ def test_feedback_store(spark, tmp_path):
     rows = spark.createDataFrame([("噪声", True), (None, None)], "tag string, is_helpful boolean").repartition(2)
     assert feedback.append(store, feedback.with_defaults(rows, datetime(2025, 1, 1)), datetime(2025, 1, 1, 8)) == 2
     assert feedback.append(store, feedback.with_defaults(rows, datetime(2025, 1, 2)), datetime(2025, 1, 2, 8)) == 4
-    df = spark.read.parquet(store)
+    df = feedback.read(store, spark)
     assert sorted(r.id for r in df.collect()) == [1, 2, 3, 4] and sum(r.is_helpful for r in df.collect()) == 2
     assert feedback.delete(store, spark, 2) and not feedback.delete(store, spark, 99)
-    assert sorted(r.id for r in spark.read.parquet(store).collect()) == [1, 3, 4]
-    df = spark.read.parquet(store)
+    assert sorted(r.id for r in feedback.read(store, spark).collect()) == [1, 3, 4]
+    df = feedback.read(store, spark)
     assert feedback.listing(df, -1).count() == 3 and feedback.listing(df, 100, 9).count() == 0
     assert feedback.search(df, end=date(2025, 1, 2)).count() == 1 and feedback.search(df, start=date(2025, 1, 2)).count() == 2
     assert feedback.totals(df.filter("false")).first().helpful_rate == 0

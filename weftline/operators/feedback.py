@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.schemas import FEEDBACK
+from weftline.sources.log_table import LogTable
+
 
 def with_defaults(records: DataFrame, now: datetime | None = None, client_ip: str = "", user_agent: str = "") -> DataFrame:
     """Records of any subset of the fields in the store's shape: empty texts, 0 for numbers, helpful as 0 or 1, the request's
@@ -23,35 +25,15 @@ def with_defaults(records: DataFrame, now: datetime | None = None, client_ip: st
 
 
 def append(store: str, records: DataFrame, created_at: datetime) -> int:
-    """Write records with new ids to the table at ``store`` (parquet, partitioned by day) and return the largest id.
-
-    Ids follow the largest there is. They are numbered by partition offsets, so no task sees all rows.
-    """
-    spark = records.sparkSession
-    last = 0
-    if _exists(spark, store):
-        last = spark.read.parquet(store).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    held = records.withColumn("_m", F.monotonically_increasing_id()).persist()
-    try:
-        part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-        counts = sorted((r["p"], r["n"]) for r in held.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # a row a partition
-        offset, at = {}, last
-        for p, n in counts:
-            offset[p] = at
-            at += n
-        if at == last:
-            return last
-        base = F.element_at(F.create_map(*[F.lit(x) for kv in offset.items() for x in kv]), part)
-        rows = held.withColumn("id", (base + place + 1).cast("bigint")).withColumn("created_at", F.lit(created_at)).drop("_m")
-        rows.withColumn("created_on", F.to_date("created_at")).write.mode("append").partitionBy("created_on").parquet(store)
-        return at
-    finally:
-        held.unpersist()
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    """Write records with new ids to the table at ``store`` and return the largest id. Several writers at a time get different ids."""
+    rows = records.withColumn("created_at", F.lit(created_at)).withColumn("created_on", F.to_date("created_at"))
+    return LogTable(records.sparkSession, store).append(rows)
+
+
+def read(store: str, spark: SparkSession) -> DataFrame:
+    """The rows of the table at ``store`` as they are now."""
+    rows = LogTable(spark, store).read()
+    return rows if rows is not None else spark.createDataFrame([], f"{FEEDBACK}, created_on date")
 
 
 def by_id(store: DataFrame, row_id: int, id_col: str = "id") -> DataFrame:
@@ -127,30 +109,8 @@ def stats_view(store: DataFrame) -> DataFrame:
 
 
 def delete(store: str, spark: SparkSession, row_id: int) -> bool:
-    """Rewrite the day that holds the row without it; whether there was one.
-
-    The rewrite is complete before the day's folder moves aside, and that is removed only once the rewrite has its name: whenever
-    a step fails, one whole version of the day is there, under its own name or a hidden one beside it.
-    """
-    df = spark.read.parquet(store)
-    day = by_id(df, row_id).select("created_on").first()
-    if day is None:
-        return False
-    kept = df.filter((F.col("created_on") == day[0]) & (F.col("id") != row_id)).drop("created_on")
-    target = f"{store}/created_on={day[0]}"
-    fresh = f"{store}/.rewrite-{uuid.uuid4().hex}"
-    kept.write.mode("overwrite").parquet(fresh)
-    jvm = spark._jvm.org.apache.hadoop.fs
-    fs = jvm.Path(store).getFileSystem(spark._jsc.hadoopConfiguration())
-    aside = f"{store}/.replaced-{uuid.uuid4().hex}"
-    if not fs.rename(jvm.Path(target), jvm.Path(aside)):
-        raise RuntimeError(f"{target} could not be moved aside")
-    if not fs.rename(jvm.Path(fresh), jvm.Path(target)):
-        fs.rename(jvm.Path(aside), jvm.Path(target))
-        raise RuntimeError(f"{fresh} could not take the place of {target}")
-    fs.delete(jvm.Path(aside), True)
-    spark.catalog.refreshByPath(store)
-    return True
+    """Delete the row with this id; whether there was one."""
+    return LogTable(spark, store).delete(row_id)
 
 
 def export(store: DataFrame, path: str) -> int:

@@ -20,6 +20,7 @@ from weftline.functions import urls as U
 from weftline.operators import cache, corpus, crawl, dedup, evaluate, feedback, gazetteer, gram_index, location, memo, nearby, reports, retrieval, segment, training
 from weftline.plans import analyze as plans
 from weftline.sources import readers, sinks
+from weftline.sources.log_table import LogTable
 from weftline.sources.workspace import shared_path, ship, spread
 from weftline.streaming import caching, flows
 
@@ -200,7 +201,7 @@ def snk5_append_delete(spark: SparkSession, d: str) -> DataFrame:
     store = shared_path(spark, "store")
     feedback.append(store, feedback.with_defaults(fb(spark, d).drop("id", "created_at"), datetime(2024, 2, 1)), datetime(2024, 2, 1, 12))
     gone = feedback.delete(store, spark, 3)
-    left = spark.read.parquet(store)
+    left = feedback.read(store, spark)
     rows = left.agg((F.count("*") + int(gone)).alias("n")).withColumn("tag", F.lit("rows"))
     return rows.unionByName(left.agg(F.sum("id").alias("n")).withColumn("tag", F.lit("ids")))
 
@@ -1123,6 +1124,17 @@ def st5_stream_quota(spark: SparkSession, d: str) -> DataFrame:
     return _stream(spark, d, "quota", lambda s: flows.within_quota(s, 98)).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT event_id, user_id, (SELECT count(*) FROM events) AS last_id FROM events")
+def st7_ingest_once(spark: SparkSession, d: str) -> DataFrame:
+    """The events taken in as a stream, and again by a restart that has lost its place: the second adds nothing."""
+    table = LogTable(spark, shared_path(spark, "events"))
+    for mark in ("first", "again"):
+        source = flows.read_files(spark, f"{d}/events.parquet", t(spark, d, "events").schema)
+        flows.ingest_once(source, table, "events", shared_path(spark, f"ingest-{mark}")).awaitTermination()
+    last = table.snapshot().next_id - 1
+    return table.read().select("event_id", "user_id", F.lit(last).cast("long").alias("last_id"))
+
+
 @query("SELECT conv_id AS session, max(turn) AS seq, arg_max(text, turn) AS payload FROM conversations GROUP BY conv_id")
 def st8_newest(spark: SparkSession, d: str) -> DataFrame:
     return flows.newest(t(spark, d, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.col("text").alias("payload")))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from weftline.sources.log_table import LogTable
+
 
 def read_files(spark: SparkSession, path: str, schema, form: str = "parquet", files_per_batch: int = 100) -> DataFrame:
     """A stream of the files of a folder, or of the one file that ``path`` names."""
@@ -85,6 +87,12 @@ def ingest(df: DataFrame, write, checkpoint: str) -> StreamingQuery:
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_once(df: DataFrame, table: LogTable, app: str, checkpoint: str) -> StreamingQuery:
+    """Append each micro-batch to ``table`` once: its epoch is committed with its rows, so a batch that is repeated after a crash, or after the
+    checkpoint was lost, adds nothing."""
+    return ingest(df, lambda batch, epoch: table.append(batch, app, epoch) and None, checkpoint)
+
+
 def newest(answers: DataFrame, session: str = "session", seq: str = "seq") -> DataFrame:
     """The payload of the newest request of each session."""
     return answers.groupBy(session).agg(F.max(seq).alias(seq), F.max_by("payload", seq).alias("payload"))
