@@ -44,9 +44,9 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def dense_block_scores(queries: DataFrame, docs: DataFrame, window: int, vec: str = "embedding", block: int = 1024) -> DataFrame:
-    """(query_id, doc_id, score): of every query the pairs that can be among its best ``window`` (score, then doc_id); vectors that
-    are null have no score.
+def dense_block_scores(queries: DataFrame, docs: DataFrame, window: int, vec: str = "embedding", block: int = 1024, slack: float = 0.0) -> DataFrame:
+    """(query_id, doc_id, score): of every query the pairs that can be among its best ``window`` (score, then doc_id) once up to ``slack`` is added to any score;
+    vectors that are null have no score.
 
     Queries are taken in blocks (hash of the id, about ``block`` each) that are shipped to where the documents lie; each batch of
     documents keeps its own best ``window`` of a query, which no other batch can displace from outside. Products are summed in
@@ -70,7 +70,12 @@ def dense_block_scores(queries: DataFrame, docs: DataFrame, window: int, vec: st
                     for k in range(v.shape[1]):
                         score += vectors[:, k, None] * v[None, :, k]
                     best = np.argsort(-score, axis=1, kind="stable")[:, :window]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(names[best].ravel()), pa.array(np.take_along_axis(score, best, 1).ravel())], names=["query_id", "doc_id", "score"])
+                    stays = np.zeros(score.shape, bool)
+                    np.put_along_axis(stays, best, True, 1)
+                    if slack:
+                        stays |= score + slack + 1e-9 >= np.take_along_axis(score, best[:, -1:], 1)
+                    asked_by, about = np.nonzero(stays)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[asked_by]), pa.array(names[about]), pa.array(score[asked_by, about])], names=["query_id", "doc_id", "score"])
 
         return slim.mapInArrow(run, "query_id long, doc_id long, score double")
 
@@ -80,6 +85,19 @@ def dense_block_scores(queries: DataFrame, docs: DataFrame, window: int, vec: st
     return reduce(DataFrame.union, found) if found else slim.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
 
 
+def embedded_scores(queries: DataFrame, docs: DataFrame, embed: Callable[[DataFrame], DataFrame], top_k: int) -> DataFrame:
+    """(query_id, doc_id, score) for ``search``: products of the vectors that ``embed`` gives, (id, embedding) of (id, text), as far as boosts and matched terms can bring a
+    document into the window. Ids of any kind are numbered for the product."""
+    number = lambda df, c: store(df.select(c).distinct().withColumn("_n", F.monotonically_increasing_id()), "numbers")
+    asked, held = number(queries, "query_id"), number(docs, "doc_id")
+    q = embed(queries.select(F.col("query_id").alias("id"), F.col("query").alias("text"))).join(asked, F.col("id") == F.col("query_id")).select(F.col("_n").alias("query_id"), "embedding")
+    d = embed(docs.select(F.col("doc_id").alias("id"), X.document_text().alias("text"))).join(held, F.col("id") == F.col("doc_id")).select(F.col("_n").alias("doc_id"), "embedding")
+    most = sum(v for k, v in rules.BOOSTS.items() if k != "term")
+    scores = dense_block_scores(q, d, max(3 * top_k, 10), slack=most).withColumnsRenamed({"query_id": "_q", "doc_id": "_d"})
+    named = scores.join(asked.select("query_id", F.col("_n").alias("_q")), "_q").join(held.select("doc_id", F.col("_n").alias("_d")), "_d")
+    return named.select("query_id", "doc_id", "score")
+
+
 def boosts(district: Column | None, tag: Column | None, unit: Column | None, types: Sequence[str]) -> Column:
     """Additive boosts of a pair whose document columns are in scope, without that of matched terms; what is not given adds none."""
     b, out = rules.BOOSTS, F.lit(0.0)

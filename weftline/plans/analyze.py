@@ -27,6 +27,11 @@ class Config:
         return cls(int(env.get("TOP_K", "3")), env.get("SECURITY_LEVEL", "medium").lower() == "high", env.get("RAG_BACKEND", "tfidf").lower())
 
 
+def active_backend(config: Config, embed: object | None) -> str:
+    """The backend that retrieves: ``bge`` if it is asked for and there are embeddings, else ``tfidf``."""
+    return "bge" if config.backend == "bge" and embed is not None else "tfidf"
+
+
 def validated(c: Column, field: str, most: int, strict: bool = False) -> Column:
     """struct(is_valid, cleaned_value, errors, warnings) of a text: required, of at most ``most`` code points as given, escaped and
     tidied."""
@@ -57,11 +62,12 @@ def validate(requests: DataFrame, strict: bool = False) -> DataFrame:
 
 def analyze(
     requests: DataFrame, aliases: DataFrame, docs: DataFrame, scores: Callable[[DataFrame, DataFrame], DataFrame] | None = None, classify: Callable[[Column, Column, Column], Column] | None = None,
-    generate: Callable[[Column], Column] | None = None, names: tuple[str, ...] = tuple(rules.DISTRICTS), config: Config = Config(),
+    generate: Callable[[Column], Column] | None = None, names: tuple[str, ...] = tuple(rules.DISTRICTS), config: Config = Config(), embed: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One row per request (request_id, tag, title, body[, forced_unit]): is_valid, errors, location, units, retrieval, reply.
 
-    ``scores(queries, docs)`` gives (query_id, doc_id, score), by default TF-IDF; ``classify(tag, title, body)`` an array of
+    ``scores(queries, docs)`` gives (query_id, doc_id, score). By default the backend of ``config`` does: ``bge`` takes products of the unit vectors that ``embed`` gives, (id, embedding) of
+    (id, text); without ``embed``, and for any other name, it is TF-IDF (``active_backend``). A request without a hit is drafted from the simple prompt. ``classify(tag, title, body)`` an array of
     (unit, confidence), by default none; ``generate(prompt)`` a reply, by default the template. A request that is not valid has errors
     and nothing else.
     """
@@ -69,6 +75,8 @@ def analyze(
     fine = checked.filter("is_valid").withColumn("query", F.concat_ws(" ", "title", "body"))
     placed = location.resolve(fine, aliases, "request_id", "query", names)
     queries = fine.select(F.col("request_id").alias("query_id"), "query").join(placed.select(F.col("id").alias("query_id"), F.col("district").alias("query_district")), "query_id")
+    if not scores and active_backend(config, embed) == "bge":
+        scores = lambda q, d: retrieval.embedded_scores(q, d, embed, config.top_k)
     if scores:
         hits = retrieval.search(queries, docs, scores(queries, docs), config.top_k)
     else:
@@ -81,7 +89,9 @@ def analyze(
     rows = rows.withColumn("primary_unit", F.coalesce(forced, F.get("units", F.lit(0))["unit"], F.lit(rules.DEFAULT_UNIT)))
     template = X.fallback_reply(F.col("district"), X.first_label(F.col("query")), F.col("primary_unit"), F.get("retrieval", F.lit(0))["title"])
     if generate:
-        prompt = X.context_prompt(F.col("primary_unit"), F.col("tag"), F.col("title"), F.col("body"), F.col("district"), F.col("places"), F.col("retrieval"))
-        template = F.coalesce(F.nullif(X.tidy_generated(generate(X.render_chat(prompt))), F.lit("")), template)
+        with_hits = X.context_prompt(F.col("primary_unit"), F.col("tag"), F.col("title"), F.col("body"), F.col("district"), F.coalesce("places", F.array().cast(rows.schema["places"].dataType)), F.col("retrieval"))
+        without = X.simple_prompt(F.col("primary_unit"), F.col("district"), F.col("tag"), F.col("title"), F.col("body"))
+        prompt = F.when(F.size("retrieval") > 0, X.render_chat(with_hits)).otherwise(X.render_chat(without))
+        template = F.coalesce(F.nullif(X.tidy_generated(generate(prompt)), F.lit("")), template)
     done = rows.select("request_id", F.struct("district", "confidence", "method", "places", "address_snippets", "districts", "categories").alias("location"), "units", "primary_unit", "retrieval", template.alias("reply"))
     return checked.select("request_id", "is_valid", "errors").join(done, "request_id", "left")
