@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline import rules, schemas
 from weftline.functions import text as X
-from weftline.operators import corpus, crawl, dedup, evaluate, feedback, gazetteer, gram_index, location, reports, retrieval, training
+from weftline.operators import corpus, crawl, dedup, evaluate, feedback, gazetteer, gram_index, location, reports, retrieval, sets, training
 from weftline.sources import readers, sinks
 from weftline.streaming import flows
 
@@ -177,9 +177,16 @@ def test_crawl_steps(spark):
 
 def test_rate_limit_golden(spark):
     at = [datetime(2025, 1, 1) + timedelta(seconds=s) for s in (0, 1, 2.9, 3, 5.9, 6, 6.1)]
-    df = spark.createDataFrame([(at,)], "t array<timestamp_ntz>")
-    got = df.select(crawl.accepted_times(F.col("t"), F.expr("INTERVAL 3 SECONDS")).alias("x")).first().x
-    assert [(x - at[0]).total_seconds() for x in got] == [0, 3, 6]
+    rows = [(k, t, user) for k, t in enumerate(at) for user in ("u", None)] + [(99, None, "u")]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id string").repartition(3)
+    got = sorted((str(r.user_id), r.event_id) for r in crawl.rate_limited(df).collect())
+    assert got == [(u, k) for u in ("None", "u") for k in (0, 3, 5)]
+
+
+def test_sets_match_nulls(spark):
+    a, b = (spark.createDataFrame(x, "k int, v string") for x in ([(1, "a"), (1, "b"), (None, "c"), (2, "d")], [(1, "x"), (None, "y"), (None, "z")]))
+    assert sorted(r.v for r in sets.present(a, b, ["k"]).collect()) == ["a", "b", "c"] and [r.v for r in sets.absent(a, b, ["k"]).collect()] == ["d"]
+    assert sets.union_all(a, b.drop("v"), a.limit(0)).count() == 7
 
 
 def test_rate_limit_stream_over_batches(spark, tmp_path):

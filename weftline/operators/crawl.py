@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,10 +103,29 @@ def quota(events: DataFrame, per_day: int, ts: str = "ts", key: str = "event_id"
     return whole.select(*events.columns).unionByName(last.select(*events.columns))
 
 
-def accepted_times(times: Column, gap: Column) -> Column:
-    """Of sorted times those at least ``gap`` after the last accepted one (which alone moves the clock)."""
-    empty = F.array().cast("array<timestamp_ntz>")
-    return F.aggregate(times, empty, lambda kept, t: F.when((F.size(kept) == 0) | (t >= F.element_at(kept, -1) + gap), F.array_append(kept, t)).otherwise(kept))
+def rate_limited(events: DataFrame, gap_seconds: float = 3.0, key: str = "user_id", ts: str = "ts", id_col: str = "event_id") -> DataFrame:
+    """(key, id, ts) of the events at least ``gap_seconds`` after the key's last accepted one, which alone moves the clock; ties by id. Events without a time are
+    not accepted.
+
+    Events are sorted by Spark within the partition of their key and stream past it: what is held is one time, however many events a key has.
+    """
+    kinds, gap = dict(events.dtypes), int(gap_seconds * 1_000_000)
+    slim = events.filter(F.col(ts).isNotNull()).select(F.col(key).alias("key"), F.col(id_col).alias("id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(ts).alias("ts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, last = object(), None
+        for batch in batches:
+            kept = []
+            for row, (k, at) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if k != name or last is None:
+                    name, last = k, None
+                if last is None or at - last >= gap:
+                    kept.append(row)
+                    last = at
+            out = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), out.column(3)], names=[key, id_col, ts])
+
+    return slim.repartition("key").sortWithinPartitions("key", "at", "id").mapInArrow(run, f"`{key}` {kinds[key]}, `{id_col}` {kinds[id_col]}, `{ts}` {kinds[ts]}")
 
 
 def station_names(scripts: DataFrame, text: str = "text", pattern: str | None = None, plausible: Column | None = None) -> DataFrame:
@@ -115,4 +137,4 @@ def station_names(scripts: DataFrame, text: str = "text", pattern: str | None =
     return rows.select(F.regexp_replace("name", "站$", "").alias("name")).distinct()
 
 
-__all__ = ["accepted_times", "api_records", "apply_answer", "landed_state", "pages_before_stop", "progress", "quota", "road_bindings", "schedule", "sorted_set_per", "station_names", "universe"]
+__all__ = ["api_records", "apply_answer", "landed_state", "pages_before_stop", "progress", "quota", "rate_limited", "road_bindings", "schedule", "sorted_set_per", "station_names", "universe"]

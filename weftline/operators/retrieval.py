@@ -133,6 +133,11 @@ def tfidf_search(queries: DataFrame, docs: DataFrame, index: GramIndex, top_k: i
     return _best(queries, docs, base.select("query_id", "doc_id", "base"), top_k)
 
 
+def positive(hits: DataFrame, score: str = "score") -> DataFrame:
+    """Hits with a score above 0; a score that is null or not a number is none."""
+    return hits.filter((F.col(score) > 0) & ~F.isnan(F.col(score)))
+
+
 _FEATURES = ("district", "unit", "doc_type", "applicable_tags")
 
 
@@ -161,7 +166,8 @@ def _best(queries: DataFrame, docs: DataFrame, base: DataFrame, top_k: int) -> D
     totals, least = _leaders(queries, docs, base, top_k)
     near = base.join(small(least), "query_id", "left").filter(F.col("least").isNull() | (F.col("base") + (rules.BOOSTS["most_terms"] + 1e-9) >= F.col("least")))
     others = near.join(small(totals.select("query_id", "doc_id")), ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", "base")
-    kept = totals.unionByName(_totals(queries, docs, store(others, "others"))).filter(F.col("score") > 0)
+    kept = totals.unionByName(_totals(queries, docs, store(others, "others")))
+    kept = positive(kept)
     found = candidate_window(kept, ["query_id"], [F.desc("score"), F.col("doc_id")], ["title", "source"], top_k)
     return found.select("query_id", "rank", "doc_id", "title", "doc_type", "district", "source", F.round("score", 4).alias("score"), "snippet", "matched_terms")
 

@@ -45,6 +45,21 @@ def sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(_order(key, seed), key).limit(n)
 
 
+def portable_order(key: str, seed: int = 42) -> Column:
+    """An order that any engine with MD5 gives: the hex digest of seed and key."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+
+
+def portable_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """``sample`` in the portable order."""
+    return df.orderBy(portable_order(key, seed), key).limit(n)
+
+
+def portable_split(df: DataFrame, key: str, test_size: float = 0.05, seed: int = 42) -> DataFrame:
+    """``hash_split`` in the portable order: tested are the keys whose first eight digits are below ``test_size`` of their range."""
+    return df.withColumn("part", F.when(F.conv(F.substring(portable_order(key, seed), 1, 8), 16, 10).cast("long") < int(test_size * (1 << 32)), "test").otherwise("train"))
+
+
 def stratified_split(df: DataFrame, label: str, key: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """``df`` with ``part`` train or test: of each label the rows with the smallest hashes are tested, ``test_size`` of it to
     the nearest row.

@@ -12,6 +12,7 @@ from weftline import rules
 from weftline.functions import text as X
 from weftline.operators import location, retrieval
 from weftline.operators.gram_index import build_index
+from weftline.sources.workspace import store
 
 
 @dataclass(frozen=True)
@@ -72,8 +73,8 @@ def analyze(
     and nothing else.
     """
     checked = validate(requests, config.strict)
-    fine = checked.filter("is_valid").withColumn("query", F.concat_ws(" ", "title", "body"))
-    placed = location.resolve(fine, aliases, "request_id", "query", names)
+    fine = store(checked.filter("is_valid").withColumn("query", F.concat_ws(" ", "title", "body")), "requests")  # both are read by every step of a search
+    placed = store(location.resolve(fine, aliases, "request_id", "query", names), "placed")
     queries = fine.select(F.col("request_id").alias("query_id"), "query").join(placed.select(F.col("id").alias("query_id"), F.col("district").alias("query_district")), "query_id")
     if not scores and active_backend(config, embed) == "bge":
         scores = lambda q, d: retrieval.embedded_scores(q, d, embed, config.top_k)

@@ -17,7 +17,7 @@ from weftline import rules
 from weftline.functions import places as P
 from weftline.functions import text as X
 from weftline.functions import urls as U
-from weftline.operators import cache, corpus, crawl, dedup, evaluate, feedback, gazetteer, gram_index, location, memo, nearby, reports, retrieval, segment, training
+from weftline.operators import cache, corpus, crawl, dedup, evaluate, feedback, gazetteer, gram_index, location, memo, nearby, reports, retrieval, segment, sets, training
 from weftline.plans import analyze as plans
 from weftline.sources import readers, sinks
 from weftline.sources.log_table import LogTable
@@ -814,6 +814,15 @@ def agg18_jon5_tfidf_search(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("matched_terms", piped(F.col("matched_terms")))
 
 
+@query(f"WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) AS score FROM q, embeddings e), w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s) SELECT query_id, count(*) AS hits, round(min(score), 4) AS least FROM w WHERE r <= 30 AND score > 0 GROUP BY query_id")
+def fil7_positive_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Of every query's window the hits with a score above 0."""
+    docs = t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = docs.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+    window = dedup.top_per_group(retrieval.dense_block_scores(asked, docs, 30), ["query_id"], [F.desc("score"), F.col("doc_id")], 30)
+    return retrieval.positive(window).groupBy("query_id").agg(F.count("*").alias("hits"), F.round(F.min("score"), 4).alias("least"))
+
+
 _DOT = "list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
 
 
@@ -986,6 +995,17 @@ def smp3_hash_split(spark: SparkSession, d: str) -> DataFrame:
     return training.hash_split(t(spark, d, "documents").select("doc_id"), "doc_id")
 
 
+@query("SELECT doc_id, lang FROM documents ORDER BY md5(concat('42:', doc_id)), doc_id LIMIT 100")
+def smp1_portable_sample(spark: SparkSession, d: str) -> DataFrame:
+    """A sample of 100 documents: the limit is what a sample is."""
+    return training.portable_sample(t(spark, d, "documents").select("doc_id", "lang"), 100, "doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN CAST(concat('0x', substr(md5(concat('42:', doc_id)), 1, 8)) AS BIGINT) < 214748364 THEN 'test' ELSE 'train' END AS part FROM documents")
+def smp3_portable_split(spark: SparkSession, d: str) -> DataFrame:
+    return training.portable_split(t(spark, d, "documents").select("doc_id"), "doc_id")
+
+
 # --- sets and joins ----------------------------------------------------------------------------------------------------------
 
 
@@ -993,17 +1013,22 @@ def smp3_hash_split(spark: SparkSession, d: str) -> DataFrame:
 def set1_union_all(spark: SparkSession, d: str) -> DataFrame:
     c = t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
     s = t(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
-    return c.unionByName(s, allowMissingColumns=True)
+    return sets.union_all(c, s)
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def set3_jon3_anti(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "customer").join(t(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return sets.absent(t(spark, d, "customer"), t(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"]).select("c_custkey")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def jon3_unlabelled(spark: SparkSession, d: str) -> DataFrame:
+    return sets.absent(t(spark, d, "documents"), t(spark, d, "labels"), ["doc_id"]).select("doc_id", "lang")
 
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)")
 def jon3_semi(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "nation").join(t(spark, d, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left_semi").select("n_nationkey", "n_name")
+    return sets.present(t(spark, d, "nation"), t(spark, d, "supplier").withColumnRenamed("s_nationkey", "n_nationkey"), ["n_nationkey"]).select("n_nationkey", "n_name")
 
 
 @query("SELECT conv_id, concat(role, '-', turn) AS tag, printf('%.1f%%', turn * 12.5) AS percent, CASE WHEN contains(role, 'user') THEN 'policy' ELSE 'reference' END AS class FROM conversations")
@@ -1094,9 +1119,7 @@ _RATE_SQL = """WITH RECURSIVE a AS (SELECT user_id, min(ts) AS ts FROM events GR
 
 @query(_RATE_SQL)
 def st1_rate_limit(spark: SparkSession, d: str) -> DataFrame:
-    """One user's events are folded in time order: a key's own history, as the limiter itself keeps it."""
-    times = t(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("ts")).alias("times"))
-    return times.select("user_id", F.explode(crawl.accepted_times(F.col("times"), F.expr("INTERVAL 6 HOURS"))).alias("ts"))
+    return crawl.rate_limited(t(spark, d, "events"), 6 * 3600).select("user_id", "ts")
 
 
 @query("SELECT event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS k FROM events) WHERE k <= 98")
