@@ -17,7 +17,7 @@ from weftline import rules
 from weftline.functions import places as P
 from weftline.functions import text as X
 from weftline.functions import urls as U
-from weftline.operators import cache, corpus, crawl, dedup, evaluate, feedback, gazetteer, gram_index, location, memo, nearby, reports, retrieval, segment, sets, training
+from weftline.operators import adversarial, cache, corpus, crawl, dedup, evaluate, feedback, gazetteer, gram_index, location, memo, nearby, reports, retrieval, segment, sets, training
 from weftline.plans import analyze as plans
 from weftline.sources import readers, sinks
 from weftline.sources.log_table import LogTable
@@ -1006,6 +1006,19 @@ def smp3_portable_split(spark: SparkSession, d: str) -> DataFrame:
     return training.portable_split(t(spark, d, "documents").select("doc_id"), "doc_id")
 
 
+@query()
+def udf6_adversarial_training(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy of the classifier on every fifth vector, fitted to all others without and with adversarial examples; tests hold the fit against plain numpy."""
+    rows, out = t(spark, d, "embeddings"), None
+    for epsilon in (0.0, adversarial.EPSILON):
+        model = adversarial.fit(rows.filter("vec_id % 5 <> 0"), "label", "embedding", 64, epsilon=epsilon)
+        found = adversarial.predict(rows.filter("vec_id % 5 = 0"), model, "vec_id", "embedding", "label")
+        hits = lambda k: F.avg(F.array_contains(F.slice("ranked", 1, k), F.col("label")).cast("double"))
+        one = found.agg(F.count("*").alias("rows"), hits(1).alias("first"), hits(3).alias("top3")).withColumn("epsilon", F.lit(epsilon))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # --- sets and joins ----------------------------------------------------------------------------------------------------------
 
 
