@@ -55,6 +55,14 @@ def test_odd_rows(spark):
     assert got(df.repartition(7)) == brute(rows)
 
 
+def test_bitmaps_that_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(L, "BROADCAST_BYTES", -1)
+    rows = odd_rows()
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan and got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
 def test_frequent_keys_change_nothing(spark, monkeypatch):
     rows = odd_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string")
