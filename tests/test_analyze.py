@@ -72,3 +72,12 @@ def test_classifier_decides_unless_forced(spark, tables):
     forced = asked.withColumn("forced_unit", F.when(F.col("request_id") == "r2", F.lit("市政")))
     got = {r.request_id: r.primary_unit for r in analyze(forced, aliases, docs, classify=classify).collect()}
     assert got == {"r1": "U8", "r2": "市政", "r3": None, "r4": "U2"}
+
+
+def test_requests_that_come_too_soon_are_refused(spark, tables):
+    docs, asked, aliases = tables
+    at = {"r1": ("ip", 0.0), "r2": ("ip", 2.9), "r3": ("ip", 3.0), "r4": ("other", 1.0)}
+    times = spark.createDataFrame([(k, c, float(t)) for k, (c, t) in at.items()], "request_id string, ip string, t double").withColumn("t", F.timestamp_seconds("t"))
+    got = {r.request_id: r for r in analyze(asked.join(times, "request_id"), aliases, docs, limit_by=("ip", "t")).collect()}
+    assert {k: (r.is_valid, r.reply is not None) for k, r in got.items()} == {"r1": (True, True), "r2": (False, False), "r3": (False, False), "r4": (True, True)}
+    assert got["r2"].errors == [rules.RATE_LIMIT_ERROR] and got["r3"].errors == ["标题不能为空"]

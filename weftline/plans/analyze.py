@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline import rules
 from weftline.functions import text as X
-from weftline.operators import location, retrieval
+from weftline.operators import crawl, location, retrieval
 from weftline.operators.gram_index import build_index
 from weftline.sources.workspace import store
 
@@ -61,17 +61,30 @@ def validate(requests: DataFrame, strict: bool = False) -> DataFrame:
     return out.withColumns({f: F.when(given(f) & F.col(f"_{f}.is_valid"), F.col(f"_{f}.cleaned_value")) for f in fields}).drop(*[f"_{f}" for f in fields])
 
 
+def admitted(requests: DataFrame, client: str, at: str, gap_seconds: float = rules.RATE_LIMIT_SECONDS, id_col: str = "request_id") -> DataFrame:
+    """``requests`` with ``admitted``: whether a request came at least ``gap_seconds`` after its client's last admitted one (ties by id). One without a time is not
+    admitted; requests without a client are those of one client. Ids have to be unique."""
+    taken = store(crawl.rate_limited(requests, gap_seconds, client, at, id_col).select(F.col(id_col).alias("_taken")), "admitted")
+    return requests.join(taken, F.col(id_col) == F.col("_taken"), "left").withColumn("admitted", F.col("_taken").isNotNull()).drop("_taken")
+
+
 def analyze(
     requests: DataFrame, aliases: DataFrame, docs: DataFrame, scores: Callable[[DataFrame, DataFrame], DataFrame] | None = None, classify: Callable[[Column, Column, Column], Column] | None = None,
     generate: Callable[[Column], Column] | None = None, names: tuple[str, ...] = tuple(rules.DISTRICTS), config: Config = Config(), embed: Callable[[DataFrame], DataFrame] | None = None,
+    limit_by: tuple[str, str] | None = None,
 ) -> DataFrame:
     """One row per request (request_id, tag, title, body[, forced_unit]): is_valid, errors, location, units, retrieval, reply.
 
     ``scores(queries, docs)`` gives (query_id, doc_id, score). By default the backend of ``config`` does: ``bge`` takes products of the unit vectors that ``embed`` gives, (id, embedding) of
     (id, text); without ``embed``, and for any other name, it is TF-IDF (``active_backend``). A request without a hit is drafted from the simple prompt. ``classify(tag, title, body)`` an array of
-    (unit, confidence), by default none; ``generate(prompt)`` a reply, by default the template. A request that is not valid has errors
+    (unit, confidence), by default none; ``limit_by``, columns of client and time, refuses requests that come too soon (``admitted``) before anything else is done; ``generate(prompt)`` a reply, by default the template. A request that is not valid has errors
     and nothing else.
     """
+    refused = None
+    if limit_by:
+        requests = store(admitted(requests, *limit_by), "requests")
+        refused = requests.filter("NOT admitted").select("request_id", F.lit(False).alias("is_valid"), F.array(F.lit(rules.RATE_LIMIT_ERROR)).alias("errors"))
+        requests = requests.filter("admitted").drop("admitted")
     checked = validate(requests, config.strict)
     fine = store(checked.filter("is_valid").withColumn("query", F.concat_ws(" ", "title", "body")), "requests")  # both are read by every step of a search
     placed = store(location.resolve(fine, aliases, "request_id", "query", names), "placed")
@@ -95,4 +108,5 @@ def analyze(
         prompt = F.when(F.size("retrieval") > 0, X.render_chat(with_hits)).otherwise(X.render_chat(without))
         template = F.coalesce(F.nullif(X.tidy_generated(generate(prompt)), F.lit("")), template)
     done = rows.select("request_id", F.struct("district", "confidence", "method", "places", "address_snippets", "districts", "categories").alias("location"), "units", "primary_unit", "retrieval", template.alias("reply"))
-    return checked.select("request_id", "is_valid", "errors").join(done, "request_id", "left")
+    out = checked.select("request_id", "is_valid", "errors").join(done, "request_id", "left")
+    return out if refused is None else out.unionByName(refused, allowMissingColumns=True)

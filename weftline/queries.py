@@ -1252,6 +1252,19 @@ def api_validate(spark: SparkSession, d: str) -> DataFrame:
     return plans.validate(rows).select("conv_id", "turn", "is_valid", piped(F.col("errors")).alias("errors"), F.md5(F.col("body").cast("binary")).alias("body"))
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT concat(conv_id, '-', turn) AS request_id, conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, concat(conv_id, '-', turn)) AS n FROM conversations),
+    r AS (SELECT conv_id, CAST(0 AS BIGINT) AS n, '' AS request_id, CAST(-1000 AS BIGINT) AS last, FALSE AS admitted FROM e GROUP BY conv_id
+      UNION ALL SELECT e.conv_id, e.n, e.request_id, CASE WHEN e.turn * 2 - last >= 3 THEN e.turn * 2 ELSE last END, e.turn * 2 - last >= 3 FROM r JOIN e ON e.conv_id = r.conv_id AND e.n = r.n + 1)
+    SELECT request_id, admitted FROM r WHERE n > 0"""
+)
+def api_admitted(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as requests of their conversation, two seconds apart."""
+    at = F.timestamp_seconds(F.col("turn") * 2)
+    rows = t(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), "conv_id", at.alias("at"))
+    return plans.admitted(rows, "conv_id", "at").select("request_id", "admitted")
+
+
 _TIDY = r"""trim(regexp_replace(replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'), '\s+', ' ', 'g'))"""
 _COUNT = "(length(body) - length(replace(body, '{w}', ''))) // {n}"
 UNIT_WORDS = [("the", "U0"), ("and", "U1"), ("tion", "U2")]
