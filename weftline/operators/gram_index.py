@@ -74,11 +74,12 @@ def _check(sizes: Sequence[int]) -> None:
 
 @dataclass(frozen=True)
 class GramIndex:
-    """Written tables. ``docs``: block, slot, doc_id and the features that boosts look at; ``postings``: block, key, slots, weights (tf / length of the document's vector), top
-    (the largest weight); ``terms``: key, idf; ``blocks``: block, size and the features of its documents."""
+    """Written tables. ``docs``: block, slot, doc_id, length (of the document's vector) and the features that boosts look at; ``postings``: block, key, slots, tfs; ``heads``: block, key, top (the
+    largest tf / length); ``terms``: key, idf; ``blocks``: block, size and the features of its documents."""
 
     docs: DataFrame
     postings: DataFrame
+    heads: DataFrame
     terms: DataFrame
     blocks: DataFrame
     sizes: tuple[int, ...]
@@ -143,19 +144,6 @@ def _form(sizes: Sequence[int], most: int):
     return run
 
 
-def _finish(block: pa.Table) -> pa.Table:
-    """A block's postings with weights: tf over the length of the document's vector."""
-    keys, lists = block["key"].combine_chunks(), block["slots"].combine_chunks()
-    n = np.diff(lists.offsets.to_numpy())
-    slots, tfs = lists.flatten().to_numpy(), block["tfs"].combine_chunks().flatten().to_numpy()
-    idf = np.repeat(block["idf"].to_numpy(), n)
-    order = np.lexsort((np.repeat(keys.to_numpy(), n), slots))  # a document's sum in the order of its grams, so equal documents have equal weights
-    length = np.sqrt(np.bincount(slots[order], weights=((tfs * idf) ** 2)[order]))
-    weights = tfs / length[slots]
-    top = np.maximum.reduceat(weights, np.cumsum(n) - n)
-    return pa.table({"block": block["block"], "key": keys, "slots": lists, "weights": pa.ListArray.from_arrays(lists.offsets, pa.array(weights)), "top": pa.array(top)})
-
-
 def build_index(docs: DataFrame, text: Column, sizes: Sequence[int] = SIZES) -> GramIndex:
     """The index of ``docs`` (doc_id and, as far as there are, district, unit, doc_type, applicable_tags), cosine of smoothed TF-IDF: ln((1 + n) / (1 + df)) + 1.
 
@@ -173,10 +161,14 @@ def build_index(docs: DataFrame, text: Column, sizes: Sequence[int] = SIZES) ->
     held, cut = formed.filter("slot IS NOT NULL"), formed.filter("key IS NOT NULL").select("block", "key", "slots", "tfs")
     n = held.count()
     terms = store(cut.groupBy("key").agg(F.sum(F.size("slots")).alias("df")).select("key", (F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")), "terms")
-    weighed = cut.join(small(terms), "key").groupBy("block").applyInArrow(_finish, "block long, key long, slots array<int>, weights array<double>, top double")
+    each = cut.join(small(terms), "key").select("block", "idf", F.inline(F.arrays_zip("slots", "tfs")).alias("slot", "tf"))
+    lengths = each.groupBy("block", "slot").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), F.lit(2.0)))).alias("length"))  # complete map-side: one task wrote a block
+    rows = store(held.drop("key", "slots", "tfs").join(store(lengths, "lengths"), ["block", "slot"], "left").fillna({"length": 1.0}), "documents")
+    arrays = store(rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("slot", "length")))["length"].alias("lengths")), "block_lengths")
+    heads = cut.join(small(arrays), "block").select("block", "key", F.array_max(F.zip_with("slots", "tfs", lambda s, n: n / F.get("lengths", s))).alias("top"))
     sets = [F.collect_set(c).alias(f"{c}s") for c in FEATURES]
     blocks = held.groupBy("block").agg(F.count("*").alias("size"), *sets, F.array_distinct(F.flatten(F.collect_list(F.coalesce("applicable_tags", F.array().cast("array<string>"))))).alias("all_tags"))
-    return GramIndex(held.drop("key", "slots", "tfs"), store(weighed, "postings"), terms, store(blocks, "blocks"), tuple(sizes))
+    return GramIndex(rows, cut, store(heads, "heads"), terms, store(blocks, "blocks"), tuple(sizes))
 
 
 def query_vectors(queries: DataFrame, text: Column, index: GramIndex) -> DataFrame:
@@ -203,7 +195,7 @@ def _products(_: tuple, asked: pa.Table, posted: pa.Table) -> pa.Table:
     order = np.argsort(posted["key"].to_numpy(), kind="stable")
     keys, lists = posted["key"].to_numpy()[order], posted["slots"].combine_chunks()
     first, n = lists.offsets.to_numpy()[:-1][order], np.diff(lists.offsets.to_numpy())[order]
-    slots, weights = lists.flatten().to_numpy(), posted["weights"].combine_chunks().flatten().to_numpy()
+    slots, weights = lists.flatten().to_numpy(), posted["tfs"].combine_chunks().flatten().to_numpy().astype(np.float64)
     base, size = (lists.offsets[0].as_py(), int(slots.max()) + 1 if len(slots) else 0)
     first = first - base
     asked_keys, asked_weights = asked["keys"].combine_chunks(), asked["weights"].combine_chunks()
@@ -220,27 +212,27 @@ def _products(_: tuple, asked: pa.Table, posted: pa.Table) -> pa.Table:
         found = np.unique(slots[flat])
         rows.append(np.full(len(found), k))
         where.append(found)
-        dots.append(np.round(total[found], DECIMALS))
+        dots.append(total[found])
     pick = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64))
     some = lambda x, t: pa.array(np.concatenate(x).astype(t) if x else np.empty(0, t))
-    return pa.table({"query_id": asked["query_id"].combine_chunks().take(pick), "block": asked["block"].combine_chunks().take(pick), "slot": some(where, np.int32), "score": some(dots, np.float64)})
+    return pa.table({"query_id": asked["query_id"].combine_chunks().take(pick), "block": asked["block"].combine_chunks().take(pick), "slot": some(where, np.int32), "dot": some(dots, np.float64)})
 
 
 def score_blocks(pairs: DataFrame, vectors: DataFrame, index: GramIndex, queries: int) -> DataFrame:
-    """(query_id, block, slot, score) of the documents that share a gram with a query, for the pairs (query_id, block). A block meets at most
+    """(query_id, score and the columns of ``index.docs``) of the documents that share a gram with a query, for the pairs (query_id, block). A block meets at most
     about ``QUERIES_AT_ONCE`` queries at a time."""
     kind = dict(vectors.dtypes)["query_id"]
     lot = F.pmod(F.xxhash64("query_id"), F.lit(queries // QUERIES_AT_ONCE + 1)).alias("lot")
     asked = pairs.select("query_id", "block").join(small(vectors), "query_id").select("block", lot, "query_id", "keys", "weights")
-    posted = index.postings.join(pairs.select("block", lot).distinct(), "block").select("block", "lot", "key", "slots", "weights")
-    return asked.groupBy("block", "lot").cogroup(posted.groupBy("block", "lot")).applyInArrow(_products, f"query_id {kind}, block long, slot int, score double")
+    posted = index.postings.join(pairs.select("block", lot).distinct(), "block").select("block", "lot", "key", "slots", "tfs")
+    dots = asked.groupBy("block", "lot").cogroup(posted.groupBy("block", "lot")).applyInArrow(_products, f"query_id {kind}, block long, slot int, dot double")
+    return dots.join(small(index.docs), ["block", "slot"]).withColumn("score", F.round(F.col("dot") / F.col("length"), DECIMALS)).drop("dot", "length")
 
 
 def bounds(vectors: DataFrame, index: GramIndex) -> DataFrame:
     """(query_id, block, bound): no document of the block has a higher score; blocks that share no gram with a query are absent."""
     entries = vectors.select("query_id", F.inline(F.arrays_zip("keys", "weights")).alias("key", "w"))
-    heads = index.postings.select("block", "key", "top")
-    return entries.join(small(heads), "key").groupBy("query_id", "block").agg(F.sum(F.col("w") * F.col("top")).alias("bound"))
+    return entries.join(small(index.heads), "key").groupBy("query_id", "block").agg(F.sum(F.col("w") * F.col("top")).alias("bound"))
 
 
 def _block_boost(district: Column | None, tag: Column | None, unit: Column | None, types: Sequence[str]) -> Column:
@@ -272,7 +264,7 @@ def search_scores(queries: DataFrame, index: GramIndex, text: Column, boost: Col
     asked = vectors.count()
 
     def based(pairs: DataFrame, name: str) -> DataFrame:
-        scored = score_blocks(pairs, vectors, index, asked).join(small(index.docs), ["block", "slot"]).join(small(known), "query_id")
+        scored = score_blocks(pairs, vectors, index, asked).join(small(known), "query_id")
         return store(scored.select("query_id", "doc_id", "score", (F.col("score") + boost).alias("base")), name)
 
     names = [r.block for r in index.blocks.select("block").limit(FEW_BLOCKS).collect()]
@@ -295,4 +287,4 @@ def all_scores(queries: DataFrame, index: GramIndex, text: Column) -> DataFrame:
     """(query_id, doc_id, score): every pair that shares a gram."""
     vectors = query_vectors(queries, text, index)
     pairs = store(bounds(vectors, index).select("query_id", "block"), "pairs")
-    return score_blocks(pairs, vectors, index, vectors.count()).join(small(index.docs), ["block", "slot"]).select("query_id", "doc_id", "score")
+    return score_blocks(pairs, vectors, index, vectors.count()).select("query_id", "doc_id", "score")
