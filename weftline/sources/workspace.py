@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,12 +43,32 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a working file that nothing reads any more."""
+    with contextlib.suppress(Exception):
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 @atexit.register
 def _remove_written() -> None:
     for spark, path in _written:
-        with contextlib.suppress(Exception):
-            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        remove(spark, path)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Working files written inside go at its end, but those whose paths are in the list it gives. For a step whose result is written
+    inside and listed; nothing else of the step may be read afterwards."""
+    before, kept = len(_written), []
+    try:
+        yield kept
+    finally:
+        inside = _written[before:]
+        _written[before:] = [(spark, path) for spark, path in inside if path in kept]
+        for spark, path in inside:
+            if path not in kept:
+                remove(spark, path)
 
 
 def table_bytes(df: DataFrame) -> int:
