@@ -53,6 +53,30 @@ def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(whole, schema)
 
 
+def by_group(run: Callable[[object], object]) -> Callable[[object], object]:
+    """A function of one group for ``applyInPandas`` or ``applyInArrow`` that gives its memory back when the group is done."""
+
+    def whole(group):
+        try:
+            return run(group)
+        finally:
+            give_back()
+
+    return whole
+
+
+def by_key(run: Callable[[tuple, object], object]) -> Callable[[tuple, object], object]:
+    """``by_group`` for a function of a group's key and rows."""
+
+    def whole(key, group):
+        try:
+            return run(key, group)
+        finally:
+            give_back()
+
+    return whole
+
+
 @contextlib.contextmanager
 def without_gc() -> Iterator[None]:
     """No cyclic garbage collection inside: each full one walks all objects of a batch. The worker's setting is put back."""

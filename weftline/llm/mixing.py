@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import fresh, materialise, prepare, quoted, small
+from weftline.llm.common import by_key, fresh, materialise, prepare, quoted, small
 
 #: Rows that one leaf of the tree rounds, on average; leaves or nodes that one node above combines.
 ROWS_PER_LEAF, FAN_IN = 50_000, 64
@@ -184,7 +184,7 @@ def _decided(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col:
     while True:
         last = leaves == 1
         keys = ["node"] if level == 0 else ["node", "source"]
-        rows = materialise(rows.groupBy(*keys).applyInPandas(_step(seed + level, last), shape), "rounded")
+        rows = materialise(rows.groupBy(*keys).applyInPandas(by_key(_step(seed + level, last)), shape), "rounded")
         done.append(rows.filter("part IS NULL"))
         if last:
             break

@@ -13,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import in_batches, materialise, prepare, without_gc
+from weftline.llm.common import by_key, in_batches, materialise, prepare, without_gc
 
 WINDOW, END_ID = 4096, 2
 #: Pieces that one task packs, on average.
 PIECES_PER_GROUP = 20_000
-#: Words whose ids a worker keeps, in two generations: a full one becomes the old one, from which words in use are taken over.
-CACHED = 400_000
+#: Words whose ids a task keeps, in two generations: a full one becomes the old one, from which words in use are taken over.
+CACHED = 200_000
 _DOCS_AT_ONCE = 256
 #: The normalisation, split and word ending of the tokenizers whose texts are encoded word by word. With any other
 #: tokenizer every text is given to it whole.
@@ -83,6 +83,10 @@ class WordEncoder:
             raw = ids.tobytes()
             self.known.update(zip(new, (raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)), strict=True))
 
+    def forget(self) -> None:
+        """Let go of all words: a worker that is used again keeps the tokenizer alone."""
+        self.known, self.old = {}, {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """One bytes object per text."""
         out, gaps, look = [], [], self.known.get
@@ -126,17 +130,20 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, window: int = WIN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(definition.value)
-        with without_gc():
-            for batch in batches:
-                for at in range(0, batch.num_rows, _DOCS_AT_ONCE):
-                    ids, texts = (batch.column(k).slice(at, _DOCS_AT_ONCE).to_pylist() for k in (0, 1))
-                    rows = []
-                    for doc_id, raw in zip(ids, encoder.encode([t or "" for t in texts]), strict=True):
-                        raw += end
-                        for k in range(0, len(raw), step):
-                            cut = raw[k : k + step]
-                            rows.append((doc_id, k // 4, len(cut) // 4, zlib.crc32(cut), len(raw) // 4, *[np.frombuffer(cut, "<u4").astype(np.int32)] * with_ids))
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) if n != "ids" else pa.array(list(c), pa.list_(pa.int32())) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
+        try:
+            with without_gc():
+                for batch in batches:
+                    for at in range(0, batch.num_rows, _DOCS_AT_ONCE):
+                        ids, texts = (batch.column(k).slice(at, _DOCS_AT_ONCE).to_pylist() for k in (0, 1))
+                        rows = []
+                        for doc_id, raw in zip(ids, encoder.encode([t or "" for t in texts]), strict=True):
+                            raw += end
+                            for k in range(0, len(raw), step):
+                                cut = raw[k : k + step]
+                                rows.append((doc_id, k // 4, len(cut) // 4, zlib.crc32(cut), len(raw) // 4, *[np.frombuffer(cut, "<u4").astype(np.int32)] * with_ids))
+                        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) if n != "ids" else pa.array(list(c), pa.list_(pa.int32())) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
+        finally:
+            encoder.forget()
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return in_batches(slim, run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
@@ -219,11 +226,11 @@ def pack(cut: DataFrame, window: int = WINDOW) -> DataFrame:
     groups = max(1, -(-held.count() // PIECES_PER_GROUP))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _packed(pdf, int(key[0]), window)
+        return _packed(pdf.drop(columns="group"), int(key[0]), window)
 
     dealt = held.withColumn("group", F.pmod(F.xxhash64("rid"), F.lit(groups)))
     shape = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, rid long, sequence_id long, offset long"
-    return dealt.groupBy("group").applyInPandas(lambda key, pdf: run(key, pdf.drop(columns="group")), shape).drop("rid")
+    return dealt.groupBy("group").applyInPandas(by_key(run), shape).drop("rid")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

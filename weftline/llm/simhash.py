@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from weftline.llm.common import ASCII_LOWER, fresh, in_batches, materialise, quoted, small
+from weftline.llm.common import by_group, ASCII_LOWER, fresh, in_batches, materialise, quoted, small
 from weftline.llm.components import connected_components
 
 SEED = 42
@@ -314,7 +314,7 @@ def _across(wanted: DataFrame, rest: DataFrame, least: float) -> DataFrame:
 #: Texts of a table entry that are paired up; in a larger one all are compared with one of them first.
 PAIRED = 8
 #: Segments whose tables one task holds, texts it holds of them, and texts of one message to it.
-SEGMENTS_A_TASK, TEXTS_A_TASK, TEXTS_A_BLOCK = 16, 1 << 20, 1 << 14
+SEGMENTS_A_TASK, TEXTS_A_TASK, TEXTS_A_BLOCK = 16, 1 << 17, 1 << 14
 _BLOCK = "slot long, keys binary, sizes binary, heads binary, rows binary, entries binary, counts binary"
 
 
@@ -412,7 +412,7 @@ def candidates(prints: DataFrame, hasher: LongSimHash, texts: int, least: float,
         a, b = (pa.chunked_array([pa.array(keys[x]), *nothing]) for x in (pairs >> 32, pairs & 0xFFFFFFFF))
         return pa.table({"a": a, "b": b, "place": pa.chunked_array([pa.nulls(len(pairs), pa.int64()), pa.array(places)])})
 
-    return _blocks(prints, hasher, ranges, block).groupBy("slot").applyInArrow(meet, "a long, b long, place long")
+    return _blocks(prints, hasher, ranges, block).groupBy("slot").applyInArrow(by_group(meet), "a long, b long, place long")
 
 
 def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
