@@ -7,12 +7,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm.common import materialise, prepare, table
+from weftline.llm.common import prepare, table
 from weftline.llm.exact_dedup import drop_duplicates
 from weftline.llm.mixing import mixed_documents
 from weftline.llm.packing import pack_documents
 from weftline.llm.simhash import keep_one
 from weftline.llm.toxicity import drop_toxic
+from weftline.sources.workspace import remove, scratch, shared_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,9 +56,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed corpus of ``documents``; every stage's result is written in the shared folder and read again."""
+    """The packed corpus of ``documents``; every stage's result is written in the shared folder and read again. A stage's working
+    tables go once its result is written, and that result goes once the next stage's is.
+
+    Null and empty texts pass every stage and are packed as their end id alone; null ids and repeated rows are documents like any
+    other, but for exact and near copies, of which one row stays. Other columns are ignored, an empty table gives an empty result.
+    """
     prepare(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with scratch() as kept:
+            result, path = stage(spark, docs, sf_dir), shared_path(spark, name)
+            result.write.parquet(path)
+            docs = spark.read.schema(result.schema).parquet(path)
+            kept.append(path)
+        if last:
+            remove(spark, last)
+        last = path
     return docs
