@@ -19,7 +19,7 @@ from weftline.functions import text as X
 from weftline.functions import urls as U
 from weftline.operators import adversarial, cache, corpus, crawl, dedup, evaluate, feedback, gazetteer, gram_index, location, memo, nearby, reports, retrieval, segment, sets, training
 from weftline.plans import analyze as plans
-from weftline.sources import readers, sinks
+from weftline.sources import readers, sinks, workbook
 from weftline.sources.log_table import LogTable
 from weftline.sources.workspace import shared_path, ship, spread
 from weftline.streaming import caching, flows
@@ -1110,6 +1110,23 @@ def src6_csv_scan(spark: SparkSession, d: str) -> DataFrame:
     return readers.training_table(spark, path).agg(F.count("*").alias("rows"), F.sum(F.char_length(rules.TRAINING_COLUMNS[2])).alias("characters"))
 
 
+#: Code points of a cell: within the format's limit whatever their UTF-16 length.
+_CELL = 16_000
+
+
+@query("SELECT doc_id, lang, source, md5(text) AS text_md5 FROM documents")
+def src6_workbook_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents through workbooks; a text takes as many rows as its cells need."""
+    path, docs = shared_path(spark, "workbooks"), t(spark, d, "documents")
+    cells = F.greatest(F.lit(1), F.ceil(F.coalesce(F.char_length("text"), F.lit(0)) / _CELL)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), cells - 1), lambda k: F.substring(F.col("text"), k * _CELL + 1, F.lit(_CELL)))
+    workbook.write_workbook(docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "lang", "source", F.posexplode(cut).alias("part", "cell")), path)
+    back = workbook.read_workbook(spark, path, "row long, doc_id long, lang string, source string, part int, cell string")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("part", "cell"))), lambda x: x["cell"])
+    whole = back.groupBy("row", "doc_id", "lang", "source").agg(F.when(F.count("cell") > 0, F.array_join(parts, "")).alias("text"))
+    return whole.select("doc_id", "lang", "source", F.md5("text").alias("text_md5"))
+
+
 @query("SELECT 'm/checkpoint-' || max(r_regionkey * 700) AS path, CAST(max(r_regionkey * 700) AS BIGINT) AS step FROM region")
 def srt6_latest_checkpoint(spark: SparkSession, d: str) -> DataFrame:
     paths = t(spark, d, "region").select(F.concat(F.lit("m/checkpoint-"), F.col("r_regionkey") * 700).alias("path"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline import rules, schemas
+from weftline.sources.workbook import read_workbook, sheet_names
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -59,10 +60,15 @@ def corpus(spark: SparkSession, path: str, sample: str | None = None) -> DataFra
     return normalised(json_lines(spark, chosen, schemas.CORPUS_DOC))
 
 
+def first_sheet(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheet of a workbook, all columns as strings."""
+    return read_workbook(spark, path, sheet=sheet_names(path)[0])
+
+
 def training_table(spark: SparkSession, path: str, required: Sequence[str] = tuple(rules.TRAINING_COLUMNS)) -> DataFrame:
-    """A CSV with header (quoted line ends allowed), or an xlsx by pandas on the driver where an Excel engine is installed."""
+    """A CSV with header (quoted line ends allowed), or the first sheet of a workbook."""
     if path.endswith(".xlsx"):
-        df = spark.createDataFrame(pd.read_excel(path, dtype=str).where(lambda x: x.notna(), None))
+        df = first_sheet(spark, path)
     else:
         df = spark.read.options(header=True, multiLine=True, escape='"').csv(path)
     return schemas.require_columns(df, list(required))
