@@ -100,3 +100,35 @@ def test_packed_tables_give_every_pair_of_an_entry(spark):
     assert {(r.a, r.b) for r in got if r.place is None} == pairs and len(pairs) > 100
     assert sorted(r.place for r in got if r.place is not None) == sorted(p for p, held in entries.items() if len(held) > PAIRED)
     assert any(len(held) > PAIRED for held in entries.values())
+
+
+def test_crowded_texts_ask_one_hub_each(spark, monkeypatch):
+    """A large group of edited copies: pairs that are verified grow with its texts, not with texts times tables; components by brute force."""
+    from weftline.llm import simhash
+
+    rng = np.random.default_rng(3)
+    base = rng.choice(2000, 300).astype(str)
+    rows = []
+    for i in range(400):
+        words = base.copy()
+        words[rng.integers(0, 300, 2)] = f"e{i}"
+        rows.append((i, " ".join(words)))
+    asked, links = [], simhash._links
+    monkeypatch.setattr(simhash, "_links", lambda pairs, *a: asked.append(pairs.count()) or links(pairs, *a))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(asked) < 3 * len(rows)
+    sets = [set(simhash.shingle_hashes(t).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if common >= simhash.LEAST * (len(sets[a]) + len(sets[b]) - common):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert got == {i: find(i) for i in range(len(rows))}

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -315,6 +316,8 @@ def _across(wanted: DataFrame, rest: DataFrame, least: float) -> DataFrame:
 PAIRED = 8
 #: Segments whose tables one task holds, texts it holds of them, and texts of one message to it.
 SEGMENTS_A_TASK, TEXTS_A_TASK, TEXTS_A_BLOCK = 16, 1 << 17, 1 << 14
+#: Lots of tables that are made one after the other, so that the entries of one lot alone are on disk.
+LOTS = 4
 _BLOCK = "slot long, keys binary, sizes binary, heads binary, rows binary, entries binary, counts binary"
 
 
@@ -325,7 +328,7 @@ def _rank_in_run(ordered: np.ndarray) -> np.ndarray:
     return at - np.maximum.accumulate(np.where(first, at, 0))
 
 
-def _blocks(prints: DataFrame, hasher: LongSimHash, ranges: int, block: int) -> DataFrame:
+def _blocks(prints: DataFrame, hasher: LongSimHash, ranges: int, block: int, lot: int = 0, lots: int = 1) -> DataFrame:
     """Table entries on their way to tasks, packed by block of texts: a task (slot) holds ``SEGMENTS_A_TASK`` segments and one of
     ``ranges`` ranges of their values, and gets each text's name, size and first lanes once beside its entries there. Of one entry a block
     sends one text more than are paired up, which is enough to tell that it is crowded."""
@@ -334,7 +337,8 @@ def _blocks(prints: DataFrame, hasher: LongSimHash, ranges: int, block: int) ->
     def pack(keys: np.ndarray, sizes: np.ndarray, lanes: np.ndarray) -> Iterator[pa.RecordBatch]:
         keys, one = np.unique(keys, return_index=True)
         sizes, lanes = sizes[one].astype("<i4"), lanes[one]
-        for group, start in enumerate(range(0, hasher.segments, SEGMENTS_A_TASK)):
+        for group in range(lot, -(-hasher.segments // SEGMENTS_A_TASK), lots):
+            start = group * SEGMENTS_A_TASK
             parts = []
             for s in range(start, min(start + SEGMENTS_A_TASK, hasher.segments)):
                 values = hasher.segment(lanes, s)
@@ -366,12 +370,12 @@ def _blocks(prints: DataFrame, hasher: LongSimHash, ranges: int, block: int) ->
     return in_batches(prints.filter("n > 0").select("key", "n", "lanes"), run, _BLOCK)
 
 
-def candidates(prints: DataFrame, hasher: LongSimHash, texts: int, least: float, texts_a_task: int = TEXTS_A_TASK, block: int = TEXTS_A_BLOCK) -> DataFrame:
+def candidates(prints: DataFrame, hasher: LongSimHash, texts: int, least: float, texts_a_task: int = TEXTS_A_TASK, block: int = TEXTS_A_BLOCK, lot: int = 0, lots: int = 1) -> DataFrame:
     """(a, b, place) of ``prints`` (key, n, lanes): pairs that share an entry and whose sizes and first lanes allow the similarity, with
     a null place; and, with null keys, the places of entries of over ``PAIRED`` keys, which are not paired up here.
 
     An entry travels as a value and a row number (8 bytes), and a text's name, size and first lanes once for ``SEGMENTS_A_TASK``
-    of its segments. The values of a segment are dealt over more tasks as the number of ``texts`` grows, so that a task's share stays.
+    of its segments. The values of a segment are dealt over more tasks as the number of ``texts`` grows, so that a task's share stays. Only every ``lots``-th task, from ``lot``, has its segments looked up.
     """
     ranges = -(-max(1, texts) // texts_a_task)
     allowed, width = most_bits(64 * SKETCH, least), np.uint64(hasher.width)
@@ -412,7 +416,7 @@ def candidates(prints: DataFrame, hasher: LongSimHash, texts: int, least: float,
         a, b = (pa.chunked_array([pa.array(keys[x]), *nothing]) for x in (pairs >> 32, pairs & 0xFFFFFFFF))
         return pa.table({"a": a, "b": b, "place": pa.chunked_array([pa.nulls(len(pairs), pa.int64()), pa.array(places)])})
 
-    return _blocks(prints, hasher, ranges, block).groupBy("slot").applyInArrow(by_group(meet), "a long, b long, place long")
+    return _blocks(prints, hasher, ranges, block, lot, lots).groupBy("slot").applyInArrow(by_group(meet), "a long, b long, place long")
 
 
 def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
@@ -421,26 +425,33 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, least: flo
     prints = materialise(signatures(docs, hasher, id_col, text_col, words), "signatures")
     nodes = prints.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), *[F.first(F.col("lanes")[k]).alias(f"h{k}") for k in range(SKETCH)])
     nodes = materialise(nodes.select("key", "node", "n", F.array(*[f"h{k}" for k in range(SKETCH)]).alias("head")), "nodes")
-    met = materialise(candidates(prints, hasher, nodes.count(), least), "met")
-    pairs = met.filter("place IS NULL").select("a", "b").distinct()
+    many_texts = nodes.count()
+    met = reduce(DataFrame.union, [materialise(candidates(prints, hasher, many_texts, least, lot=lot, lots=LOTS), "met") for lot in range(LOTS)])
+    pairs = materialise(met.filter("place IS NULL").select("a", "b").distinct(), "pairs")
     crowds = materialise(met.filter("place IS NOT NULL").select(F.col("place").alias("_place")), "crowds")
     places = prints.filter("n > 0").select("key", F.explode(hasher.places("lanes")).alias("place"))
     held = materialise(places.join(small(crowds), F.col("place") == F.col("_place")).select("place", "key").distinct(), "held")
-    # In a crowded entry all texts are compared with the one that shares most and largest entries.
+    # Of a crowded entry's texts the one that shares most and largest entries is its hub; a text is compared with the foremost of its hubs.
     crowd = held.groupBy("place").agg(F.count("*").alias("crowd")).withColumnRenamed("place", "_place")
     many = materialise(held.join(small(materialise(crowd, "crowd")), F.col("place") == F.col("_place")).select("place", "key", "crowd"), "many")
     company = many.groupBy("key").agg(F.sum("crowd").alias("company")).withColumnRenamed("key", "_key")
     hubs = many.join(small(materialise(company, "company")), F.col("key") == F.col("_key")).groupBy("place").agg(F.max(F.struct("company", "key")).alias("hub"))
-    hubs = materialise(hubs.select(F.col("place").alias("_place"), F.col("hub.key").alias("_hub")), "hubs")
-    star = many.join(small(hubs), F.col("place") == F.col("_place")).filter(F.col("key") != F.col("_hub")).select(F.least("_hub", "key").alias("a"), F.greatest("_hub", "key").alias("b"))
-    asked = materialise(pairs.union(_close(star.distinct(), nodes, least)).distinct(), "pairs")
+    hubs = materialise(hubs.select(F.col("place").alias("_place"), "hub"), "hubs")
+    star = many.join(small(hubs), F.col("place") == F.col("_place")).filter(F.col("key") != F.col("hub.key")).groupBy("key").agg(F.max("hub").alias("hub"))
+    star = star.select(F.least("hub.key", "key").alias("a"), F.greatest("hub.key", "key").alias("b"))
+    # One pair of each text comes first; of the others only those are compared that could still join two components.
+    first = materialise(_close(star.distinct(), nodes, least).union(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct(), "first")
 
-    keys = materialise(asked.select(F.col("a").alias("_key")).union(asked.select("b")).union(many.select("key")).distinct(), "wanted")
+    keys = materialise(pairs.select(F.col("a").alias("_key")).union(pairs.select("b")).union(many.select("key")).distinct(), "wanted")
     texts = shingle_sets(docs, id_col, text_col, words).join(small(keys), F.col("key") == F.col("_key"), "left_semi").dropDuplicates(["key"])
     lanes = prints.select(F.col("key").alias("_k"), "lanes").join(small(keys), F.col("_k") == F.col("_key"), "left_semi").dropDuplicates(["_k"])
     wanted = materialise(texts.join(lanes, F.col("key") == F.col("_k")).select("key", "lanes", "hashes"), "sets")
     bits = 64 * hasher.lanes
-    links = materialise(_links(asked, wanted, bits, least), "links")
+    groups = materialise(connected_components(materialise(_links(first, wanted, bits, least), "links")).toDF("_node", "_group"), "groups")
+    of_a, of_b = (small(groups.toDF(f"_{c}", f"_g{c}")) for c in "ab")
+    apart = pairs.join(of_a, F.col("a") == F.col("_a"), "left").join(of_b, F.col("b") == F.col("_b"), "left").filter(F.coalesce("_ga", "a") != F.coalesce("_gb", "b"))
+    apart = materialise(apart.select("a", "b").join(first.toDF("_a", "_b"), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"), "apart")
+    links = materialise(_links(apart, wanted, bits, least).union(groups.select("_node", "_group")), "links")
 
     # What is in one component by now is connected; the rest of a crowded entry is compared across components, without a bound.
     groups = materialise(connected_components(links).toDF("_node", "_group"), "groups")
