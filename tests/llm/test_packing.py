@@ -1,3 +1,5 @@
+import gc
+import weakref
 import zlib
 from collections import defaultdict
 from itertools import product
@@ -7,7 +9,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from weftline.llm.packing import WordEncoder, default_tokenizer, fill_window, minimum_bin_slack, pack_documents, pieces, sequences
+from weftline.llm.common import by_group, let_go
+from weftline.llm.packing import WordEncoder, _encoder, default_tokenizer, fill_window, minimum_bin_slack, pack_documents, pieces, sequences
 
 DEFINITION = open(default_tokenizer(), encoding="utf-8").read()
 TOKENIZER, ENCODER = Tokenizer.from_str(DEFINITION), WordEncoder(DEFINITION)
@@ -120,3 +123,16 @@ def test_a_tokenizer_that_splits_otherwise_encodes_whole_texts(spark):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b", 5, "x"), (1, "a b", 5, "x")], "doc_id long, text string, rid int, `group` string")
     assert sorted((r.doc_id, r.offset) for r in pack_documents(df).collect()) == [(1, 0), (1, 3)]
+
+
+def test_a_worker_lets_go_of_its_tokenizer_for_other_work():
+    with open(default_tokenizer(), encoding="utf-8") as f:
+        definition = f.read()
+    first = _encoder(definition)
+    let_go("packing")
+    assert _encoder(definition) is first
+    held = weakref.ref(first)
+    del first
+    by_group(lambda group: group)(None)
+    gc.collect()
+    assert held() is None

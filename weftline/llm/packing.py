@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import by_key, in_batches, materialise, prepare, without_gc
+from weftline.llm.common import by_key, in_batches, kept, materialise, prepare, without_gc
 
 WINDOW, END_ID = 4096, 2
 #: Pieces that one task packs, on average.
@@ -109,15 +109,12 @@ class WordEncoder:
         return [b"".join(x) for x in out]
 
 
-_encoders: dict[int, WordEncoder] = {}
-
-
 def _encoder(definition: str) -> WordEncoder:
-    """One encoder per worker and definition."""
-    key = hash(definition)
-    if key not in _encoders:
-        _encoders[key] = WordEncoder(definition)
-    return _encoders[key]
+    """One encoder per worker and definition, until the worker begins other work."""
+    key, held = hash(definition), kept("packing")
+    if key not in held:
+        held[key] = WordEncoder(definition)
+    return held[key]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -146,7 +143,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, window: int = WIN
             encoder.forget()
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return in_batches(slim, run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
+    return in_batches(slim, run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids, "packing")
 
 
 def fill_window(counts: dict[int, int], lengths: list[int], room: int) -> dict[int, int]:
