@@ -132,3 +132,32 @@ def test_crowded_texts_ask_one_hub_each(spark, monkeypatch):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     assert got == {i: find(i) for i in range(len(rows))}
+
+
+def test_crowded_texts_meet_their_entries_in_one_join(spark, monkeypatch):
+    """Joins on table entries give about one row for each text and crowded entry that holds it, and twice as many for twice the group."""
+    from weftline.llm import simhash
+
+    base = np.random.default_rng(11).choice(2000, 300).astype(str)
+    made, inner = [], type(spark.range(0)).join
+
+    def join(self, other, on=None, how=None):
+        out = inner(self, other, on, how)
+        if "_place" in other.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(spark.range(0)), "join", join)
+    total = []
+    for size in (150, 300):
+        made.clear()
+        rng, rows = np.random.default_rng(12), []
+        for i in range(size):
+            words = base.copy()
+            words[rng.integers(0, 300, 2)] = f"e{i}"
+            rows.append((i, " ".join(words)))
+        got = simhash.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert {r.component_id for r in got} == {0}
+        total.append(sum(made))
+        assert max(made) > size and sum(made) < 1.5 * max(made)
+    assert total[1] < 2.5 * total[0]

@@ -314,6 +314,8 @@ def _across(wanted: DataFrame, rest: DataFrame, least: float) -> DataFrame:
 
 #: Texts of a table entry that are paired up; in a larger one all are compared with one of them first.
 PAIRED = 8
+#: Largest entries of a text whose hubs it may be compared with.
+HUBS = 4
 #: Segments whose tables one task holds, texts it holds of them, and texts of one message to it.
 SEGMENTS_A_TASK, TEXTS_A_TASK, TEXTS_A_BLOCK = 16, 1 << 17, 1 << 14
 #: Lots of tables that are made one after the other, so that the entries of one lot alone are on disk.
@@ -371,8 +373,9 @@ def _blocks(prints: DataFrame, hasher: LongSimHash, ranges: int, block: int, lot
 
 
 def candidates(prints: DataFrame, hasher: LongSimHash, texts: int, least: float, texts_a_task: int = TEXTS_A_TASK, block: int = TEXTS_A_BLOCK, lot: int = 0, lots: int = 1) -> DataFrame:
-    """(a, b, place) of ``prints`` (key, n, lanes): pairs that share an entry and whose sizes and first lanes allow the similarity, with
-    a null place; and, with null keys, the places of entries of over ``PAIRED`` keys, which are not paired up here.
+    """(a, b, place, crowd) of ``prints`` (key, n, lanes): pairs that share an entry and whose sizes and first lanes allow the similarity,
+    with a null place; and, with null keys, the places of entries of over ``PAIRED`` keys, which are not paired up here, and how
+    many keys were sent of each.
 
     An entry travels as a value and a row number (8 bytes), and a text's name, size and first lanes once for ``SEGMENTS_A_TASK``
     of its segments. The values of a segment are dealt over more tasks as the number of ``texts`` grows, so that a task's share stays. Only every ``lots``-th task, from ``lot``, has its segments looked up.
@@ -392,7 +395,7 @@ def candidates(prints: DataFrame, hasher: LongSimHash, texts: int, least: float,
         rows = [r.astype(np.int64) + o for r, o in zip(column("rows", "<u4"), offsets[:-1], strict=True)]
         values, counts = column("entries", "<u4"), column("counts", "<u4")
         ends = [np.cumsum([0, *c.tolist()]) for c in counts]
-        found, crowded = [], []
+        found, crowded, held_there = [], [], []
         for k in range(SEGMENTS_A_TASK):
             mine = [(values[b][e[k] : e[k + 1]], rows[b][e[k] : e[k + 1]]) for b, e in enumerate(ends)]
             value, row = (np.concatenate(x) for x in zip(*mine, strict=True))
@@ -400,9 +403,10 @@ def candidates(prints: DataFrame, hasher: LongSimHash, texts: int, least: float,
                 continue
             entry = np.unique((value.astype(np.uint64) << np.uint64(32)) | node[row].astype(np.uint64))
             value, text = entry >> np.uint64(32), (entry & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            _, at, run = np.unique(value, return_inverse=True, return_counts=True)
+            each, at, run = np.unique(value, return_inverse=True, return_counts=True)
             paired = run[at] <= PAIRED
-            crowded.append(np.unique(value[~paired]) | (np.uint64(first + k) << width))
+            crowded.append(each[run > PAIRED] | (np.uint64(first + k) << width))
+            held_there.append(run[run > PAIRED])
             value, text = value[paired], text[paired]
             for gap in range(1, PAIRED):
                 same = np.flatnonzero(value[gap:] == value[:-gap])
@@ -414,9 +418,10 @@ def candidates(prints: DataFrame, hasher: LongSimHash, texts: int, least: float,
         places = np.concatenate(crowded).view(np.int64) if crowded else np.empty(0, np.int64)
         nothing = [pa.nulls(len(places), pa.int64())]
         a, b = (pa.chunked_array([pa.array(keys[x]), *nothing]) for x in (pairs >> 32, pairs & 0xFFFFFFFF))
-        return pa.table({"a": a, "b": b, "place": pa.chunked_array([pa.nulls(len(pairs), pa.int64()), pa.array(places)])})
+        place, crowd = (pa.chunked_array([pa.nulls(len(pairs), pa.int64()), pa.array(x, pa.int64())]) for x in (places, np.concatenate([*held_there, places[:0]])))
+        return pa.table({"a": a, "b": b, "place": place, "crowd": crowd})
 
-    return _blocks(prints, hasher, ranges, block, lot, lots).groupBy("slot").applyInArrow(by_group(meet), "a long, b long, place long")
+    return _blocks(prints, hasher, ranges, block, lot, lots).groupBy("slot").applyInArrow(by_group(meet), "a long, b long, place long, crowd long")
 
 
 def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
@@ -428,16 +433,16 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, least: flo
     many_texts = nodes.count()
     met = reduce(DataFrame.union, [materialise(candidates(prints, hasher, many_texts, least, lot=lot, lots=LOTS), "met") for lot in range(LOTS)])
     pairs = materialise(met.filter("place IS NULL").select("a", "b").distinct(), "pairs")
-    crowds = materialise(met.filter("place IS NOT NULL").select(F.col("place").alias("_place")), "crowds")
+    crowds = materialise(met.filter("place IS NOT NULL").select(F.col("place").alias("_place"), "crowd"), "crowds")
+    # One row for each text of crowded entries, with all of them; texts meet entries in this one join, in proportion to their number.
     places = prints.filter("n > 0").select("key", F.explode(hasher.places("lanes")).alias("place"))
-    held = materialise(places.join(small(crowds), F.col("place") == F.col("_place")).select("place", "key").distinct(), "held")
-    # Of a crowded entry's texts the one that shares most and largest entries is its hub; a text is compared with the foremost of its hubs.
-    crowd = held.groupBy("place").agg(F.count("*").alias("crowd")).withColumnRenamed("place", "_place")
-    many = materialise(held.join(small(materialise(crowd, "crowd")), F.col("place") == F.col("_place")).select("place", "key", "crowd"), "many")
-    company = many.groupBy("key").agg(F.sum("crowd").alias("company")).withColumnRenamed("key", "_key")
-    hubs = many.join(small(materialise(company, "company")), F.col("key") == F.col("_key")).groupBy("place").agg(F.max(F.struct("company", "key")).alias("hub"))
-    hubs = materialise(hubs.select(F.col("place").alias("_place"), "hub"), "hubs")
-    star = many.join(small(hubs), F.col("place") == F.col("_place")).filter(F.col("key") != F.col("hub.key")).groupBy("key").agg(F.max("hub").alias("hub"))
+    held = places.join(small(crowds), F.col("place") == F.col("_place")).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("crowd", "place")), asc=False).alias("held"))
+    company = F.aggregate("held", F.lit(0).cast("long"), lambda acc, x: acc + x["crowd"])
+    many = materialise(held.select("key", company.alias("company"), F.col("held.place").alias("places")), "many")
+    # Of a crowded entry's texts the one that shares most and largest entries is its hub; a text is compared with the foremost hub of its largest entries.
+    hubs = many.select("key", "company", F.explode("places").alias("_place")).groupBy("_place").agg(F.max(F.struct("company", "key")).alias("hub"))
+    asked = many.select("key", F.explode(F.slice("places", 1, HUBS)).alias("place"))
+    star = asked.join(small(materialise(hubs, "hubs")), F.col("place") == F.col("_place")).filter(F.col("key") != F.col("hub.key")).groupBy("key").agg(F.max("hub").alias("hub"))
     star = star.select(F.least("hub.key", "key").alias("a"), F.greatest("hub.key", "key").alias("b"))
     # One pair of each text comes first; of the others only those are compared that could still join two components.
     first = materialise(_close(star.distinct(), nodes, least).union(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct(), "first")
@@ -455,9 +460,10 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, least: flo
 
     # What is in one component by now is connected; the rest of a crowded entry is compared across components, without a bound.
     groups = materialise(connected_components(links).toDF("_node", "_group"), "groups")
-    grouped = materialise(many.join(small(groups), F.col("key") == F.col("_node"), "left").select("place", "key", F.coalesce("_group", "key").alias("group")), "grouped")
-    split = grouped.groupBy("place").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).filter("_low != _high").select(F.col("place").alias("_place"))
-    rest = grouped.join(small(materialise(split, "split")), F.col("place") == F.col("_place"), "left_semi").select("key", "group").distinct()
+    grouped = materialise(many.join(small(groups), F.col("key") == F.col("_node"), "left").select("key", F.coalesce("_group", "key").alias("group"), "places"), "grouped")
+    spread = grouped.select("key", "group", F.explode("places").alias("place"))
+    split = spread.groupBy("place").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).filter("_low != _high").select(F.col("place").alias("_place"))
+    rest = spread.join(small(materialise(split, "split")), F.col("place") == F.col("_place"), "left_semi").select("key", "group").distinct()
     rest = materialise(rest.withColumnsRenamed({"key": "_key", "group": "_group"}), "rest")
     links = groups.select(F.col("_node").alias("a"), F.col("_group").alias("b"))  # the components found so far, by one link a text
     if not rest.isEmpty():
