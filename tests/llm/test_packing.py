@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from weftline.llm.common import by_group, let_go
-from weftline.llm.packing import WordEncoder, _encoder, default_tokenizer, fill_window, minimum_bin_slack, pack_documents, pieces, sequences
+from weftline.llm.packing import _WORD, WordEncoder, _encoder, default_tokenizer, fill_window, is_usual, minimum_bin_slack, pack_documents, pieces, sequences
 
 DEFINITION = open(default_tokenizer(), encoding="utf-8").read()
 TOKENIZER, ENCODER = Tokenizer.from_str(DEFINITION), WordEncoder(DEFINITION)
@@ -33,6 +33,13 @@ def test_encoder_equals_tokenizer(text):
     assert ENCODER.encode([text])[0] + b"\2\0\0\0" == plain(text).tobytes()
 
 
+def test_learned_words_are_not_normalised_again():
+    """Words of usual texts are normalised and split already; encoding them without those steps gives the tokenizer's own ids."""
+    words = sorted({w for t in ODD if is_usual(t) for w in _WORD.findall(t.lower())} | {"'", "'s", "!?.", "àéß", "ÿ", "<", "|", "|>", "ab", "7"})
+    assert ENCODER.of_words.normalizer is None and len(words) > 8
+    assert ENCODER._ids(ENCODER.of_words, " ".join(words)).tolist() == plain(" ".join(words)).tolist()[:-1]
+
+
 def test_encoder_forgets_without_harm(monkeypatch):
     monkeypatch.setattr("weftline.llm.packing.CACHED", 3)
     own = WordEncoder(DEFINITION)

@@ -59,15 +59,22 @@ class WordEncoder:
 
     def __init__(self, definition: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.by_word = splits_as_known(definition)
+        self.of_words = Tokenizer(self.tokenizer.model)  # the same model for words of usual texts: they are normalised and split already
+        self.of_words.pre_tokenizer = Sequence([Split(" ", "removed"), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(_ENDING)]] = True  # the last id of every word, and no other
 
+    @staticmethod
+    def _ids(tokenizer, text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")  # without offsets, which nothing needs
+
     def _learn(self, words: set[str]) -> None:
         if len(self.known) > CACHED:
             self.old, self.known = self.known, {}
@@ -78,7 +85,7 @@ class WordEncoder:
             else:
                 self.known[w] = held
         if new:
-            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u4")
+            ids = self._ids(self.of_words, " ".join(new))
             stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             raw = ids.tobytes()
             self.known.update(zip(new, (raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)), strict=True))
@@ -92,7 +99,7 @@ class WordEncoder:
         out, gaps, look = [], [], self.known.get
         for t in texts:
             if not self.by_word or not is_usual(t):
-                out.append([np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()])
+                out.append([self._ids(self.tokenizer, t).tobytes()])
                 continue
             words = _WORD.findall(t.lower())
             ids = list(map(look, words))
