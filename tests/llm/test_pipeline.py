@@ -4,10 +4,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from weftline.llm.common import materialise
+from weftline.llm.common import give_back_heaps, materialise
 from weftline.llm.mixing import mix
 from weftline.llm.packing import default_tokenizer
 from weftline.llm.toxicity import score_toxicity
@@ -113,3 +114,28 @@ def test_repeated_ids_lose_no_text_and_no_column(spark, sf):
     left = Counter({k: 1 for k in plain if k != (5, norm(words(1) + " tail"))})
     assert seen["near_dedup"] == left  # the copy goes, the other texts under its id stay
     assert set(seen["mixing"]) <= set(left) and all(n <= 3 for n in seen["mixing"].values())
+
+
+def test_heaps_give_back_what_was_left(spark):
+    runtime, gateway = spark._jvm.java.lang.Runtime.getRuntime(), spark.sparkContext._gateway
+    held = [gateway.new_array(gateway.jvm.byte, 100 << 20) for _ in range(5)]
+    wide = runtime.totalMemory()
+    del held
+    give_back_heaps(spark)
+    assert runtime.totalMemory() < wide - (200 << 20)
+
+
+def test_stages_begin_on_heaps_that_gave_back(spark, sf, monkeypatch):
+    """No stage does any work of its own on executors that still hold what the stage before it left."""
+
+    class Asked(Exception):
+        pass
+
+    def asked(session):
+        raise Asked
+
+    monkeypatch.setattr(corpus_pipeline, "give_back_heaps", asked)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Asked):
+            stage(spark, docs, sf)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from weftline.llm.common import by_group, ASCII_LOWER, fresh, in_batches, materialise, quoted, small
+from weftline.llm.common import by_group, ASCII_LOWER, fresh, give_back_heaps, in_batches, materialise, quoted, small
 from weftline.llm.components import connected_components
 
 SEED = 42
@@ -434,6 +434,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, least: flo
     met = reduce(DataFrame.union, [materialise(candidates(prints, hasher, many_texts, least, lot=lot, lots=LOTS), "met") for lot in range(LOTS)])
     pairs = materialise(met.filter("place IS NULL").select("a", "b").distinct(), "pairs")
     crowds = materialise(met.filter("place IS NOT NULL").select(F.col("place").alias("_place"), "crowd"), "crowds")
+    give_back_heaps(docs.sparkSession)  # what the tables left
     # One row for each text of crowded entries, with all of them; texts meet entries in this one join, in proportion to their number.
     places = prints.filter("n > 0").select("key", F.explode(hasher.places("lanes")).alias("place"))
     held = places.join(small(crowds), F.col("place") == F.col("_place")).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("crowd", "place")), asc=False).alias("held"))
@@ -451,6 +452,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, words: int, least: flo
     texts = shingle_sets(docs, id_col, text_col, words).join(small(keys), F.col("key") == F.col("_key"), "left_semi").dropDuplicates(["key"])
     lanes = prints.select(F.col("key").alias("_k"), "lanes").join(small(keys), F.col("_k") == F.col("_key"), "left_semi").dropDuplicates(["_k"])
     wanted = materialise(texts.join(lanes, F.col("key") == F.col("_k")).select("key", "lanes", "hashes"), "sets")
+    give_back_heaps(docs.sparkSession)
     bits = 64 * hasher.lanes
     groups = materialise(connected_components(materialise(_links(first, wanted, bits, least), "links")).toDF("_node", "_group"), "groups")
     of_a, of_b = (small(groups.toDF(f"_{c}", f"_g{c}")) for c in "ab")
