@@ -89,16 +89,20 @@ def query_terms(query: Column, district: Column | None = None, tag: Column | Non
     return F.array_distinct(F.concat(*[p.cast("array<string>") for p in parts]))
 
 
-def joined_parts(*parts: Column, by: str = "\n") -> Column:
-    """The parts that are not empty, joined."""
+def joined_parts(*parts: Column, by: str = "\n", blanks: bool = False) -> Column:
+    """The parts that are not empty, joined; with ``blanks`` all of them, null as an empty one."""
+    if blanks:
+        return F.concat_ws(by, *[F.coalesce(p, F.lit("")) for p in parts])
     return F.concat_ws(by, F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != "")))
 
 
-def document_text(row: str = "") -> Column:
-    """Searchable text of a corpus document: title, content, tags, district, type, issue, unit, applicable tags."""
+TEXT_PARTS = ("title", "content", "tags", "district", "doc_type", "issue_type", "unit", "applicable_tags")
+
+
+def document_text(row: str = "", parts: Sequence[str] = TEXT_PARTS, blanks: bool = False) -> Column:
+    """Searchable text of a corpus document: title, content, tags, district, type, issue, unit, applicable tags, or ``parts`` of these."""
     c = lambda n: F.col(f"{row}{n}")
-    tags = lambda n: F.concat_ws(" ", c(n))
-    return joined_parts(c("title"), c("content"), tags("tags"), c("district"), c("doc_type"), c("issue_type"), c("unit"), tags("applicable_tags"))
+    return joined_parts(*[F.concat_ws(" ", c(n)) if n.endswith("tags") else c(n) for n in parts], blanks=blanks)
 
 
 def matched_terms(terms: Column, text: Column, most: int = 8) -> Column:
