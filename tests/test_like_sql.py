@@ -20,3 +20,9 @@ def test_documents_without_a_part(spark, tmp_path):
     rows = [(1, "a b", "en", "s"), (2, None, "en", "s"), (3, "", "de", "s"), (4, "x", None, "s"), (5, "y\n", "", None), (6, None, None, None), (None, "z", "fr", "s"), (8, "é" * 70, "fr", "s")]
     got, want = both(spark, tmp_path, "fn11_document_text", "documents", rows, "doc_id long, text string, lang string, source string")
     assert got == want and len({w for _, w in got}) == len(rows)
+
+
+def test_titles_of_odd_pages(spark, tmp_path):
+    heads = ["<h1>a&amp;b&amp</h1>", "<h1 class='x'>\u3000a\n\t b\x0bc&lt;&quot;&#x27;&gt;&nbsp;&#39;\u00a0 </h1>", "<h1></h1><h1>b</h1>", "<h1><b>a</b></h1><h1>c</h1>", "<title>t</title>", "<H1>a</H1>", "", None, "<h1>&amp;lt;</h1>", "<h1>a</h1", "<h1>a\r\n</h1>"]
+    got, want = both(spark, tmp_path, "fn32_page_titles", "pages", list(enumerate(heads)), "page_id long, html string")
+    assert got == want and dict(got)["0"] == "a&b&amp"

@@ -42,6 +42,13 @@ def escape_html(c: Column) -> Column:
     return c
 
 
+def unescape_html(c: Column) -> Column:
+    """What ``escape_html`` made, read back: its five references alone, each with its semicolon."""
+    for raw, safe in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"), ("&", "&amp;")):
+        c = F.replace(c, F.lit(safe), F.lit(raw))
+    return c
+
+
 def within(c: Column, least: int, most: int) -> Column:
     """Whether the length in code points is within bounds."""
     return F.char_length(c).between(least, most)
