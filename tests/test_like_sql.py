@@ -2,6 +2,7 @@
 
 import duckdb
 
+from weftline.operators import corpus
 from weftline.queries import ORACLE_SQL, QUERIES
 
 
@@ -26,3 +27,11 @@ def test_titles_of_odd_pages(spark, tmp_path):
     heads = ["<h1>a&amp;b&amp</h1>", "<h1 class='x'>\u3000a\n\t b\x0bc&lt;&quot;&#x27;&gt;&nbsp;&#39;\u00a0 </h1>", "<h1></h1><h1>b</h1>", "<h1><b>a</b></h1><h1>c</h1>", "<title>t</title>", "<H1>a</H1>", "", None, "<h1>&amp;lt;</h1>", "<h1>a</h1", "<h1>a\r\n</h1>"]
     got, want = both(spark, tmp_path, "fn32_page_titles", "pages", list(enumerate(heads)), "page_id long, html string")
     assert got == want and dict(got)["0"] == "a&b&amp"
+
+
+def test_pages_of_one_url_give_one_harvest(spark):
+    """Links at the same place of two pages of a URL: the SQL leaves their order open, the query does not."""
+    rows = [(k, f"http://u{k % 40}", f'<a href="/{k}-x"><a href="/{k}-y">') for k in range(400)]
+    runs = [corpus.harvest(spark.createDataFrame(rows[::step], "page_id long, url string, html string").repartition(n), "http://site.example/", "/", 5, (), 5, ties=["page_id"]) for n, step in ((1, 1), (7, -1))]
+    one, two = ([sorted(map(tuple, r.collect())) for r in runs])
+    assert one == two and ("http://u3", 2, "http://site.example/43-x") in one

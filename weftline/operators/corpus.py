@@ -45,11 +45,12 @@ def page_documents(pages: DataFrame, crawl_time: datetime, url: str = "url", htm
     )
 
 
-def harvest(pages: DataFrame, base: str, part: str, per_page: int, suffixes: Sequence[str] = (".htm", ".html"), least: int = 30, seen: DataFrame | None = None, url: str = "url", html: str = "html") -> DataFrame:
+def harvest(pages: DataFrame, base: str, part: str, per_page: int, suffixes: Sequence[str] = (".htm", ".html"), least: int = 30, seen: DataFrame | None = None, url: str = "url", html: str = "html", ties: Sequence[str] = ()) -> DataFrame:
     """(url, rank, link): the first ``per_page`` links of each page that contain ``part``, end in one of ``suffixes`` (any if
-    empty), are at least ``least`` long, are no office files and have not been seen. Relative links start at ``base``."""
+    empty), are at least ``least`` long, are no office files and have not been seen. Relative links start at ``base``. Links at one place of pages
+    of one URL come by the columns ``ties`` of the pages, then by themselves, so that any run gives the same."""
     link = F.when(F.col("href").rlike("^[a-zA-Z]+:"), F.col("href")).otherwise(F.concat(F.lit(base.rstrip("/")), F.when(F.col("href").startswith("/"), F.col("href")).otherwise(F.concat(F.lit("/"), "href"))))
-    rows = pages.select(F.col(url).alias("url"), F.posexplode(H.hrefs(F.col(html))).alias("pos", "href")).withColumn("link", link)
+    rows = pages.select(F.col(url).alias("url"), *[F.col(c).alias(f"_tie{k}") for k, c in enumerate(ties)], F.posexplode(H.hrefs(F.col(html))).alias("pos", "href")).withColumn("link", link)
     office = F.lit(False)
     for s in rules.FILE_SUFFIXES:
         office = office | F.col("link").contains(s)
@@ -59,7 +60,7 @@ def harvest(pages: DataFrame, base: str, part: str, per_page: int, suffixes: Seq
     rows = rows.filter(~office & (F.char_length("link") >= least) & F.col("link").contains(part) & ends)
     if seen is not None:
         rows = rows.join(seen.select(F.col("url").alias("link")).distinct(), "link", "left_anti")
-    return top_per_group(rows, ["url"], [F.col("pos")], per_page).select("url", "rank", "link")
+    return top_per_group(rows, ["url"], [F.col("pos"), *[F.col(f"_tie{k}") for k in range(len(ties))], F.col("link")], per_page).select("url", "rank", "link")
 
 
 def unseen_pages(pages: DataFrame, pos: str = "pos", url: str = "url") -> DataFrame:
