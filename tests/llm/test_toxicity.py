@@ -255,3 +255,23 @@ def test_ratio_of_a_word_by_its_stems():
             if e is not None:
                 r = math.log((e[0] * math.exp(r) + e[1]) / (e[0] + e[2]))
         assert model.ratio(word) == r
+
+
+def test_models_of_any_size_count_whole(spark, monkeypatch):
+    """With more expressions than are held at a time every one still counts: each text's score is that of the whole models."""
+    rng = np.random.default_rng(11)
+    rows, labels = corpus(300, rng, every=2)
+    rows = [(i, t.replace("bara bast", "you rotten") if labels[i][2] else t.replace("bara bast", "you fine"), a, b) for i, t, a, b in rows]
+    rows += [(900, None, None, None), (901, "", None, None), (None, "vile vile you rotten grobsa", None, None), (7, rows[7][1], "en", "s")]
+    df, ls = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    held = toxicity.learn(df, ls)
+    assert len(held.words) > 1 and len(held.stems) > 1 and len(held.after) > 0
+    monkeypatch.setattr(toxicity, "MOST_EXPRESSIONS", 80)
+    model = toxicity.learn(df, ls)
+    found = [model.lot(k) for k in range(model.lots)]
+    size = lambda m: len(m.words) + len(m.stems) + sum(map(len, m.after.values()))
+    assert model.lots > 2 and sum(map(size, found)) == size(held) > 80 and sum(size(m) > 0 for m in found) > 2
+    words = words_of("vile you rotten grobsa bara you fine")
+    assert abs(sum(m.log_odds(words) for m in found) - held.log_odds(words)) < 1e-9
+    one, two = (sorted((str(r.doc_id), r.text or "", round(r.score, 6)) for r in toxicity.score_texts(df, m).collect()) for m in (held, model))
+    assert one == two and len(one) == len(rows)
