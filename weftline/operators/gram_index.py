@@ -223,7 +223,7 @@ def score_blocks(pairs: DataFrame, vectors: DataFrame, index: GramIndex, queries
     about ``QUERIES_AT_ONCE`` queries at a time."""
     kind = dict(vectors.dtypes)["query_id"]
     lot = F.pmod(F.xxhash64("query_id"), F.lit(queries // QUERIES_AT_ONCE + 1)).alias("lot")
-    asked = pairs.select("query_id", "block").join(small(vectors), "query_id").select("block", lot, "query_id", "keys", "weights")
+    asked = small(pairs.select("query_id", "block")).join(small(vectors), "query_id").select("block", lot, "query_id", "keys", "weights")
     posted = index.postings.join(pairs.select("block", lot).distinct(), "block").select("block", "lot", "key", "slots", "tfs")
     dots = asked.groupBy("block", "lot").cogroup(posted.groupBy("block", "lot")).applyInArrow(_products, f"query_id {kind}, block long, slot int, dot double")
     return dots.join(small(index.docs), ["block", "slot"]).withColumn("score", F.round(F.col("dot") / F.col("length"), DECIMALS)).drop("dot", "length")

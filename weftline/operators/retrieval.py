@@ -149,7 +149,7 @@ def _totals(queries: DataFrame, docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(query_id, doc_id, base) with what a hit shows: matched terms are looked for in the text and added to the score."""
     asked = queries.select("query_id", X.query_terms(F.col("query"), **_given(queries)).alias("_terms"))
     whole = docs.select("doc_id", "title", "doc_type", "district", "source", X.snippet(F.col("content")).alias("snippet"), X.document_text().alias("_text"))
-    found = pairs.join(asked, "query_id").join(whole, "doc_id").withColumn("matched_terms", X.matched_terms(F.col("_terms"), F.col("_text")))
+    found = small(pairs).join(asked, "query_id").join(whole, "doc_id").withColumn("matched_terms", X.matched_terms(F.col("_terms"), F.col("_text")))
     total = F.col("base") + F.least(F.size("matched_terms") * F.lit(rules.BOOSTS["term"]), F.lit(rules.BOOSTS["most_terms"]))
     return found.select("query_id", "doc_id", "title", "doc_type", "district", "source", total.alias("score"), "snippet", "matched_terms")
 

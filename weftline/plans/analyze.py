@@ -12,7 +12,7 @@ from weftline import rules
 from weftline.functions import text as X
 from weftline.operators import crawl, location, retrieval
 from weftline.operators.gram_index import build_index
-from weftline.sources.workspace import store
+from weftline.sources.workspace import small, store
 
 
 @dataclass(frozen=True)
@@ -88,7 +88,7 @@ def analyze(
     checked = validate(requests, config.strict)
     fine = store(checked.filter("is_valid").withColumn("query", F.concat_ws(" ", "title", "body")), "requests")  # both are read by every step of a search
     placed = store(location.resolve(fine, aliases, "request_id", "query", names), "placed")
-    queries = fine.select(F.col("request_id").alias("query_id"), "query").join(placed.select(F.col("id").alias("query_id"), F.col("district").alias("query_district")), "query_id")
+    queries = fine.select(F.col("request_id").alias("query_id"), "query").join(small(placed.select(F.col("id").alias("query_id"), F.col("district").alias("query_district"))), "query_id")
     if not scores and active_backend(config, embed) == "bge":
         scores = lambda q, d: retrieval.embedded_scores(q, d, embed, config.top_k)
     if scores:
@@ -98,7 +98,7 @@ def analyze(
     hit = F.struct("rank", "doc_id", "title", "doc_type", "district", "source", "score", "snippet", "matched_terms")
     lists = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(hit)).alias("retrieval"))  # at most top_k each
     units = classify(F.col("tag"), F.col("title"), F.col("body")) if classify else F.array().cast("array<struct<unit:string,confidence:double>>")
-    rows = fine.join(placed.withColumnRenamed("id", "_id"), F.col("request_id") == F.col("_id"), "left").drop("_id").join(lists, F.col("request_id") == F.col("query_id"), "left").drop("query_id").withColumn("units", units)
+    rows = fine.join(small(placed.withColumnRenamed("id", "_id")), F.col("request_id") == F.col("_id"), "left").drop("_id").join(lists, F.col("request_id") == F.col("query_id"), "left").drop("query_id").withColumn("units", units)
     forced = F.nullif(F.col("forced_unit"), F.lit("")) if "forced_unit" in requests.columns else F.lit(None).cast("string")
     rows = rows.withColumn("primary_unit", F.coalesce(forced, F.get("units", F.lit(0))["unit"], F.lit(rules.DEFAULT_UNIT)))
     template = X.fallback_reply(F.col("district"), X.first_label(F.col("query")), F.col("primary_unit"), F.get("retrieval", F.lit(0))["title"])
